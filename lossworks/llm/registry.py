@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from lossworks.llm import media, mixing, packing, sharding, urls
+from lossworks.llm import media, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, urls
 
 QUERIES = {
+    "op1_quality_gam": quality_model.op1,
+    "op2_line_frequency": quality_rules.op2,
     "op3_mixing": mixing.op3,
     "op4_packing": packing.op4,
+    "op5_ngram_join": ngram_join.op5,
     "op7_kd_sharding": sharding.op7,
     "op8_iso_media": media.op8,
     "op9_url_rules": urls.op9,
+    "op10_pii_surrogates": pii.op10,
 }
 
 ORACLE_SQL = {
+    "op2_line_frequency": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
 }
