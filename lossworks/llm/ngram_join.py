@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossworks.llm.common import broadcast_if_small, documents, written
+from lossworks.llm.common import broadcast_if_small, documents, text_or_empty, written
 
 WORDS, PERCENT = 3, 90
 #: Shingles whose frequency steers the order, at most; the list is broadcast (9 bytes each). Any list gives the same links.
@@ -79,18 +79,18 @@ def _needed(n, percent: int):
 
 
 def _scan(words: int):
-    """Rows of documents (doc_id, n, node) and rows of shingles seen twice or more in a batch (shingle, times)."""
+    """Rows of documents (doc_id, mark, n, node) and rows of shingles seen twice or more in a batch (shingle, times)."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
         return found[times > 1], times[times > 1]
 
-    def batch_of(ids, n, node, shingle, times) -> pa.RecordBatch:
+    def batch_of(ids, marks, n, node, shingle, times) -> pa.RecordBatch:
         a, b = len(ids), len(shingle)
         columns = [
-            pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(b, pa.int64())]) for x in (ids, n, node)
+            pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(b, pa.int64())]) for x in (ids, marks, n, node)
         ] + [pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(x, pa.int64())]) for x in (shingle, times)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "shingle", "times"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "node", "shingle", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -106,11 +106,11 @@ def _scan(words: int):
                     if len(seen) < REMEMBERED:
                         seen.add(node[-1])
             full = size >= COUNTED
-            yield batch_of(batch.column(0), n, node, *(frequent(held) if full else ([], [])))
+            yield batch_of(batch.column(0), batch.column(2), n, node, *(frequent(held) if full else ([], [])))
             if full:
                 held, size = [], 0
         if held:
-            yield batch_of([], [], [], *frequent(held))
+            yield batch_of([], [], [], [], *frequent(held))
 
     return run
 
@@ -246,18 +246,15 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: ``doc_id``, ``mark`` (a hash of the text), ``n``, ``root`` and ``component_id``.
 
-    Documents link when 100 x intersection >= ``percent`` x union of their shingle sets; ``component_id`` is the
-    smallest id reachable. Null and empty texts have no shingles and their own id. A null id is returned with its
-    component's smallest id (null when all are). Repeated rows are one class; an empty table gives no rows; other columns
-    are ignored. Sets are named by 64-bit hashes of sorted 64-bit shingle hashes.
+    ``root`` names the component (null without shingles), ``component_id`` is its smallest id.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(texts.mapInArrow(_scan(words), "doc_id long, n long, node long, shingle long, times long"), "sets")
-    own = rows.filter("node is not null").select("doc_id", "n", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("mark"))
+    rows = written(texts.mapInArrow(_scan(words), "doc_id long, mark long, n long, node long, shingle long, times long"), "sets")
+    own = rows.filter("node is not null").select("doc_id", "mark", "n", "node")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows))
     raw = texts.mapInArrow(_prefixes(words, percent, frequent), "shingle long, node long, n int, rank int")
     met = raw.repartition("shingle").sortWithinPartitions("shingle", "node", "rank")
@@ -297,18 +294,34 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     named = classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(named, "classes")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = named.join(least, "root").select(F.col("node").alias("_node"), "component_id")
-    return own.join(of_class, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    of_class = named.join(least, "root").select(F.col("node").alias("_node"), "root", "component_id")
+    return own.join(of_class, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left").select("doc_id", "mark", "n", "root", "component_id")
+
+
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``.
+
+    Documents link when 100 x intersection >= ``percent`` x union of their shingle sets; ``component_id`` is the
+    smallest id reachable. Null and empty texts have no shingles and their own id. A null id is returned with its
+    component's smallest id (null when all are). Repeated rows are one class; an empty table gives no rows; other columns
+    are ignored. Sets are named by 64-bit hashes of sorted 64-bit shingle hashes.
+    """
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return classified(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id (one of equal rows); null ids all stay."""
-    keep = joined(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    names = docs.columns
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    """``docs`` with one document of each component, that of the smallest id (then of the smallest text hash).
+
+    Documents without shingles all stay. Of equal rows one stays.
+    """
+    found = classified(docs, words, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("own")
+    keep = found.filter("root is not null").groupBy("root").agg(first).select("own.doc_id", "own.mark")
+    keep = keep.unionByName(found.filter("root is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_keep"))
+    marked = docs.withColumn("_mark", F.xxhash64(text_or_empty()))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_keep")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

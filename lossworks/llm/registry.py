@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lossworks.llm import media, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, urls
+from lossworks.llm import media, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, urls
 
 QUERIES = {
     "op1_quality_gam": quality_model.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3,
     "op4_packing": packing.op4,
     "op5_ngram_join": ngram_join.op5,
+    "op6_suffix_dedup": suffix_dedup.op6,
     "op7_kd_sharding": sharding.op7,
     "op8_iso_media": media.op8,
     "op9_url_rules": urls.op9,
