@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossworks.jobs import chainladder
+from lossworks.functions.tables import written
+from lossworks.jobs import apriori, chainladder, diagnostics, review, variance
 from lossworks.operators import factors, triangles
-from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view
+from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +43,8 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def built(spark, sf_dir: str) -> DataFrame:
-    return triangles.build_triangles(claims_view(spark, sf_dir), AS_OF)
+    """The triangles, written once: claims are read and shuffled once, whatever a job does with the cells."""
+    return written(triangles.build_triangles(claims_view(spark, sf_dir), AS_OF), "triangles")
 
 
 COUNTS = ("reported_count", "open_count", "closed_count", "closed_with_pay_count")
@@ -103,3 +105,246 @@ def chain_ladder(spark, sf_dir):
     cells = triangles.measure(built(spark, sf_dir), "paid")
     rows = chainladder.chain_ladder(cells, chainladder.selected(cells))
     return rounded(chainladder.totals(rows, "latest", "ultimate", "unpaid"), latest=2, ultimate=2, unpaid=2)
+
+
+BF_SQL = """
+, p AS (
+  SELECT cl.*, earned_premium AS premium FROM cl JOIN expo USING (segment, origin) WHERE earned_premium > 0
+), ap AS (
+  SELECT segment, CASE WHEN sum(premium) FILTER (1 / cdf >= 0.9) > 0 THEN sum(ultimate) FILTER (1 / cdf >= 0.9) / sum(premium) FILTER (1 / cdf >= 0.9) ELSE sum(ultimate) / sum(premium) END AS apriori
+  FROM p GROUP BY 1
+), bf AS (
+  SELECT segment, origin, origin_idx, latest, cdf, ultimate AS cl_ultimate, premium, apriori, apriori * premium * (1 - 1 / cdf) AS unpaid, latest + apriori * premium * (1 - 1 / cdf) AS ultimate
+  FROM p JOIN ap USING (segment)
+)"""
+
+
+def _ladder(spark, sf_dir, kind: str = "paid") -> DataFrame:
+    cells = triangles.measure(built(spark, sf_dir), kind)
+    return chainladder.chain_ladder(cells, chainladder.selected(cells))
+
+
+@query("bornhuetter_ferguson", with_chain_ladder("paid", f"{BF_SQL} SELECT segment, origin, round(apriori, 8) AS apriori, round(ultimate, 2) AS ultimate, round(unpaid, 2) AS unpaid FROM bf"))
+def bornhuetter_ferguson(spark, sf_dir):
+    out = apriori.bornhuetter_ferguson(_ladder(spark, sf_dir), exposures_view(spark, sf_dir))
+    return rounded(out.select("segment", "origin", "apriori", "ultimate", "unpaid"), apriori=8, ultimate=2, unpaid=2)
+
+
+@query(
+    "benktander",
+    with_chain_ladder("paid", f"""{BF_SQL} SELECT segment, origin, round(1 / cdf, 8) AS credibility, round(cl_ultimate, 2) AS cl_ultimate, round(ultimate, 2) AS bf_ultimate,
+round(latest + (1 - 1 / cdf) * ultimate, 2) AS ultimate FROM bf"""),
+)
+def benktander(spark, sf_dir):
+    cl = _ladder(spark, sf_dir)
+    out = apriori.benktander(apriori.bornhuetter_ferguson(cl, exposures_view(spark, sf_dir)), cl)
+    return rounded(out.select("segment", "origin", "credibility", "cl_ultimate", "bf_ultimate", "ultimate"), credibility=8, cl_ultimate=2, bf_ultimate=2, ultimate=2)
+
+
+CAPE_COD_SQL = """
+, p AS (
+  SELECT cl.*, earned_premium AS premium, earned_premium / cdf AS used_up FROM cl JOIN expo USING (segment, origin) WHERE earned_premium > 0
+), e AS (
+  SELECT a.segment, a.origin, a.latest, a.cdf, a.premium, sum(b.latest * pow(0.75, abs(a.origin_idx - b.origin_idx))) / sum(b.used_up * pow(0.75, abs(a.origin_idx - b.origin_idx))) AS elr,
+         sum(b.latest) / sum(b.used_up) AS pooled
+  FROM p a JOIN p b USING (segment) GROUP BY 1, 2, 3, 4, 5
+)
+SELECT segment, origin, round(pooled, 8) AS pooled_elr, round(elr, 8) AS elr, round(latest + elr * premium * (1 - 1 / cdf), 2) AS ultimate FROM e"""
+
+
+@query("cape_cod", with_chain_ladder("paid", CAPE_COD_SQL))
+def cape_cod(spark, sf_dir):
+    out = apriori.cape_cod(apriori.elr_rows(_ladder(spark, sf_dir), exposures_view(spark, sf_dir)), decay=0.75)
+    return rounded(out.select("segment", "origin", "pooled_elr", "elr", "ultimate"), pooled_elr=8, elr=8, ultimate=2)
+
+
+@query("expected_claims", with_claims(" SELECT segment, origin, round(0.65 * earned_premium, 2) AS ultimate FROM expo WHERE earned_premium > 0 AND origin <= '2001'"))
+def expected_claims(spark, sf_dir):
+    rows = exposures_view(spark, sf_dir).filter("earned_premium > 0 and origin <= '2001'")
+    rows = rows.select("segment", "origin", F.lit(0).alias("origin_idx"), F.col("earned_premium").alias("premium"), F.lit(1.0).alias("loss_adj"), F.lit(1.0).alias("premium_adj"))
+    return apriori.expected_claims(rows, 0.65).select("segment", "origin", F.round("ultimate", 2).alias("ultimate"))
+
+
+FREQ_SEV_SQL = (
+    f", {factors.RATIOS_SQL.format(kind='reported_count')}, {chainladder.CHAIN_LADDER_SQL.format(kind='reported_count')}, "
+    "tri2 AS (SELECT *, CASE WHEN reported_count > 0 THEN paid / reported_count END AS sev FROM tri), "
+    + (factors.RATIOS_SQL + ", " + chainladder.CHAIN_LADDER_SQL).format(kind="sev").replace("FROM tri", "FROM tri2").replace("ldf AS (", "ldf2 AS (").replace("FROM ldf ", "FROM ldf2 ").replace("sel AS (", "sel2 AS (")
+    .replace("JOIN sel ", "JOIN sel2 ").replace("cdf AS (\n", "cdf2 AS (\n").replace("lat JOIN cdf ON lat.segment = cdf.segment AND lat.latest_idx = cdf.age_idx", "lat2 lat JOIN cdf2 cdf ON lat.segment = cdf.segment AND lat.latest_idx = cdf.age_idx")
+    .replace("lat AS (\n", "lat2 AS (\n").replace("cl AS (\n", "cl2 AS (\n")
+    + """
+SELECT cl.segment, cl.origin, round(cl.ultimate, 4) AS ultimate_counts, round(cl2.ultimate, 4) AS ultimate_severity, round(cl.ultimate * cl2.ultimate, 2) AS ultimate
+FROM cl JOIN cl2 USING (segment, origin)"""
+)
+
+
+@query("frequency_severity", with_triangles(FREQ_SEV_SQL))
+def frequency_severity(spark, sf_dir):
+    tri = built(spark, sf_dir)
+    loss, count = triangles.measure(tri, "paid"), triangles.measure(tri, "reported_count")
+    out = apriori.frequency_severity(loss, count, chainladder.selected(count), chainladder.selected(triangles.severity(loss, count)))
+    return rounded(out.select("segment", "origin", "ultimate_counts", "ultimate_severity", "ultimate"), ultimate_counts=4, ultimate_severity=4, ultimate=2)
+
+
+MACK_SQL = """
+, est AS (
+  SELECT segment, age_idx, sum(c1) / sum(c0) AS f, sum(c0) AS den, count(*) AS n FROM ldf WHERE ldf IS NOT NULL GROUP BY 1, 2
+), s2 AS (
+  SELECT e.segment, e.age_idx, e.f, e.den, CASE WHEN e.n > 1 THEN sum(c0 * pow(ldf.ldf - e.f, 2)) / (e.n - 1) END AS raw
+  FROM est e JOIN ldf ON ldf.segment = e.segment AND ldf.age_idx = e.age_idx AND ldf.ldf IS NOT NULL GROUP BY 1, 2, 3, 4, e.n
+), col AS (
+  SELECT segment, age_idx, f, den, coalesce(raw, least(pow(lag(raw, 1) OVER w, 2) / lag(raw, 2) OVER w, lag(raw, 1) OVER w, lag(raw, 2) OVER w)) AS sigma2
+  FROM s2 WINDOW w AS (PARTITION BY segment ORDER BY age_idx)
+), ahead AS (
+  SELECT cl.segment, cl.origin_idx, cl.latest, c.age_idx, c.sigma2 / pow(c.f, 2) AS unit, c.den,
+         cl.latest * coalesce(product(c.f) OVER (PARTITION BY cl.segment, cl.origin_idx ORDER BY c.age_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS c
+  FROM cl JOIN col c ON c.segment = cl.segment AND c.age_idx >= cl.latest_idx
+), mse AS (
+  SELECT cl.segment, cl.origin, cl.origin_idx, cl.latest_idx, cl.latest, cl.ultimate, coalesce(t.s, 0) * pow(cl.ultimate, 2) AS mse
+  FROM cl LEFT JOIN (SELECT segment, origin_idx, sum(unit * (1 / c + 1 / den)) AS s FROM ahead GROUP BY 1, 2) t USING (segment, origin_idx)
+), sh AS (
+  SELECT segment, age_idx, sum(2 * sigma2 / pow(f, 2) / den) OVER (PARTITION BY segment ORDER BY age_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM col
+), prs AS (
+  SELECT a.segment, sum(a.ultimate * b.ultimate * coalesce(sh.g, 0)) AS s FROM mse a JOIN mse b ON a.segment = b.segment AND a.origin_idx < b.origin_idx
+  LEFT JOIN sh ON sh.segment = a.segment AND sh.age_idx = greatest(a.latest_idx, b.latest_idx) GROUP BY 1
+), mk AS (
+  SELECT segment, origin, latest, ultimate, sqrt(mse) AS standard_error FROM mse
+  UNION ALL
+  SELECT m.segment, NULL, sum(latest), sum(ultimate), sqrt(sum(mse) + max(prs.s)) FROM mse m JOIN prs USING (segment) GROUP BY 1
+)"""
+
+
+@query("mack", with_chain_ladder("paid", f"{MACK_SQL} SELECT segment, origin, round(ultimate, 2) AS ultimate, round(ultimate - latest, 2) AS reserve, round(standard_error, 2) AS standard_error FROM mk"))
+def mack(spark, sf_dir):
+    rows, totals = variance.mack(triangles.measure(built(spark, sf_dir), "paid"))
+    out = rows.select("segment", "origin", "ultimate", "reserve", "standard_error").unionByName(
+        totals.select("segment", F.lit(None).cast("string").alias("origin"), "ultimate", "reserve", "standard_error")
+    )
+    return rounded(out, ultimate=2, reserve=2, standard_error=2)
+
+
+@query(
+    "mack_residuals",
+    with_chain_ladder("incurred", f"""{MACK_SQL} SELECT ldf.segment, ldf.origin, from_age, to_age, ldf.origin_idx + ldf.age_idx + 1 AS calendar, round(ldf.ldf, 8) AS factor,
+round(CASE WHEN raw > 0 THEN (ldf.ldf - f) * sqrt(c0) / sqrt(raw) END, 6) AS residual FROM ldf JOIN s2 ON s2.segment = ldf.segment AND s2.age_idx = ldf.age_idx WHERE ldf.ldf IS NOT NULL"""),
+)
+def mack_residuals(spark, sf_dir):
+    out = variance.mack_residuals(triangles.measure(built(spark, sf_dir), "incurred")).drop("kind")
+    return rounded(out, factor=8, residual=6)
+
+
+MERZ_SQL = """
+, q AS (
+  SELECT segment, max(origin_idx) AS n FROM tri GROUP BY 1
+), dg AS (
+  SELECT cl.segment, cl.origin, cl.origin_idx, cl.latest_idx, cl.latest, cl.ultimate, col.den, col.sigma2 / pow(col.f, 2) AS sjr
+  FROM cl LEFT JOIN col ON col.segment = cl.segment AND col.age_idx = cl.latest_idx
+), es AS (
+  SELECT *, sjr / den + coalesce(sum(latest / (den + latest) * sjr / den) OVER (PARTITION BY segment ORDER BY latest_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS est,
+         coalesce(sum(ultimate) OVER (PARTITION BY segment ORDER BY origin_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS younger
+  FROM dg
+), ms AS (
+  SELECT *, CASE WHEN origin_idx > 0 THEN pow(ultimate, 2) * (sjr / latest + est) ELSE 0 END AS msep, CASE WHEN origin_idx > 0 THEN 2 * ultimate * younger * est ELSE 0 END AS cross_ FROM es
+)
+SELECT segment, origin, round(sqrt(msep), 2) AS cdr_root, round(standard_error, 2) AS mack_root FROM ms JOIN mk USING (segment, origin)
+UNION ALL
+SELECT s.segment, NULL, round(sqrt(s.t), 2), round(standard_error, 2) FROM (SELECT segment, sum(msep + cross_) AS t FROM ms GROUP BY 1) s JOIN mk ON mk.segment = s.segment AND mk.origin IS NULL"""
+
+
+@query("merz_wuthrich", with_chain_ladder("paid", MACK_SQL + MERZ_SQL))
+def merz_wuthrich(spark, sf_dir):
+    rows, totals = variance.merz_wuthrich(triangles.measure(built(spark, sf_dir), "paid"))
+    out = rows.select("segment", "origin", "cdr_root", "mack_root").unionByName(totals.select("segment", F.lit(None).cast("string").alias("origin"), "cdr_root", "mack_root"))
+    return rounded(out, cdr_root=2, mack_root=2)
+
+
+CALENDAR_SQL = """
+, md AS (
+  SELECT segment, age_idx, quantile_cont(ldf, 0.5) AS mid FROM ldf WHERE ldf IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1
+), dg AS (
+  SELECT segment, origin_idx + age_idx + 1 AS diagonal, count(*) FILTER (ldf > mid) AS l, count(*) FILTER (ldf < mid) AS s
+  FROM ldf JOIN md USING (segment, age_idx) WHERE ldf IS NOT NULL AND ldf <> mid GROUP BY 1, 2
+), z AS (
+  SELECT segment, l + s AS n, least(l, s) AS z, (factorial(CAST(l + s - 1 AS INTEGER)) / factorial(CAST((l + s - 1) // 2 AS INTEGER)) / factorial(CAST(l + s - 1 - (l + s - 1) // 2 AS INTEGER)))::DOUBLE AS c FROM dg
+), e AS (
+  SELECT segment, z, n, c, n / 2 - c * n / pow(2, n) AS ez FROM z
+)
+SELECT segment, CAST(sum(z) AS BIGINT) AS z, round(sum(ez), 8) AS expected_z, round(sum(n * (n - 1) / 4 - c * n * (n - 1) / pow(2, n) + ez - ez * ez), 8) AS variance_z FROM e GROUP BY 1"""
+
+
+@query("calendar_year_test", with_triangles(f", {factors.RATIOS_SQL.format(kind='paid')}{CALENDAR_SQL}"))
+def calendar_year_test(spark, sf_dir):
+    out = diagnostics.calendar_year_test(triangles.measure(built(spark, sf_dir), "paid"))
+    return rounded(out.select("segment", "z", "expected_z", "variance_z"), expected_z=8, variance_z=8)
+
+
+CORRELATION_SQL = """
+, pr AS (
+  SELECT segment, age_idx, origin_idx, ldf AS sub, lag(ldf) OVER (PARTITION BY segment, origin_idx ORDER BY age_idx) AS pre FROM ldf
+), rk AS (
+  SELECT segment, age_idx, rank() OVER (PARTITION BY segment, age_idx ORDER BY sub) AS r, rank() OVER (PARTITION BY segment, age_idx ORDER BY pre) AS s
+  FROM pr JOIN (SELECT segment, max(origin_idx) + 1 AS o FROM tri GROUP BY 1) USING (segment) WHERE sub IS NOT NULL AND pre IS NOT NULL AND age_idx + 1 <= o - 2
+), t AS (
+  SELECT segment, age_idx, count(*) AS m, 1 - 6 * sum((r - s) * (r - s)) / (count(*) * (count(*) * count(*) - 1))::DOUBLE AS t FROM rk GROUP BY 1, 2 HAVING count(*) > 1
+)
+SELECT segment, round(sum((m - 1) * t) / sum(m - 1), 8) AS statistic, round(0.67 * sqrt(1 / sum(m - 1)), 8) AS bound50 FROM t GROUP BY 1"""
+
+
+@query("factor_correlation", with_triangles(f", {factors.RATIOS_SQL.format(kind='paid')}{CORRELATION_SQL}"))
+def factor_correlation(spark, sf_dir):
+    out = diagnostics.factor_correlation(triangles.measure(built(spark, sf_dir), "paid"))
+    return rounded(out.select("segment", "statistic", "bound50"), statistic=8, bound50=8)
+
+
+def dirty_claims(spark, sf_dir) -> DataFrame:
+    """The claim view with signs flipped, dates swapped and rows doubled for some claims."""
+    key = F.col("claim_id").cast("long")
+    swap = key % 89 == 0
+    rows = claims_view(spark, sf_dir).withColumns({
+        "paid_to_date": F.when(key % 97 == 0, -F.col("paid_to_date")).otherwise(F.col("paid_to_date")),
+        "accident_date": F.when(swap, F.col("report_date")).otherwise(F.col("accident_date")),
+        "report_date": F.when(swap, F.col("accident_date")).otherwise(F.col("report_date")),
+    })
+    return rows.unionByName(rows.filter(key % 83 == 0).withColumn("seq", F.col("seq") + 5_000_000_000))
+
+
+REVIEW_SQL = """
+, d0 AS (
+  SELECT segment, claim_id, CASE WHEN claim_id::BIGINT % 89 = 0 THEN report_date ELSE accident_date END AS accident_date, CASE WHEN claim_id::BIGINT % 89 = 0 THEN accident_date ELSE report_date END AS report_date,
+         evaluation_date, CASE WHEN claim_id::BIGINT % 97 = 0 THEN -paid_to_date ELSE paid_to_date END AS paid, case_reserve, status, seq FROM snap
+), d AS (
+  SELECT * FROM d0 UNION ALL SELECT * REPLACE (seq + 5000000000 AS seq) FROM d0 WHERE claim_id::BIGINT % 83 = 0
+), w AS (
+  SELECT *, lag(paid) OVER o AS bp, lag(evaluation_date) OVER o AS bd, row_number() OVER (PARTITION BY segment, claim_id, evaluation_date ORDER BY seq) AS nth
+  FROM d WINDOW o AS (PARTITION BY segment, claim_id ORDER BY evaluation_date, seq)
+), f AS (
+  SELECT segment, 'non-finite-value' AS check_id, 'fail' AS bad, 0 AS n FROM w
+  UNION ALL SELECT segment, 'negative-paid', 'fail', (paid < 0)::INT FROM w
+  UNION ALL SELECT segment, 'negative-case', 'warning', (case_reserve < 0)::INT FROM w
+  UNION ALL SELECT segment, 'paid-decreasing', 'fail', coalesce(bd <> evaluation_date AND paid < bp, false)::INT FROM w
+  UNION ALL SELECT segment, 'date-order', 'fail', (report_date < accident_date)::INT + (evaluation_date < report_date)::INT FROM w
+  UNION ALL SELECT segment, 'duplicate-snapshot', 'fail', (nth > 1)::INT FROM w
+  UNION ALL SELECT segment, 'future-dated', 'fail', (accident_date > DATE '2001-12-31')::INT + (report_date > DATE '2001-12-31')::INT + (evaluation_date > DATE '2001-12-31')::INT FROM w
+  UNION ALL SELECT segment, 'closed-with-case', 'warning', (status = 'closed' AND case_reserve > 0)::INT FROM w
+)
+SELECT segment, check_id, CASE WHEN sum(n) > 0 THEN bad ELSE 'pass' END AS status, CAST(sum(n) AS BIGINT) AS n_findings FROM f GROUP BY 1, 2, bad"""
+
+
+@query("review_claims", with_claims(REVIEW_SQL))
+def review_claims(spark, sf_dir):
+    return review.review_claims(dirty_claims(spark, sf_dir), AS_OF)[0].drop("place")
+
+
+@query(
+    "review_triangles",
+    with_triangles("""
+, g AS (
+  SELECT segment, sum((paid - incurred > 1e-9 * greatest(1, abs(paid), abs(incurred)))::INT) AS over_, sum(coalesce(paid < lp, false)::INT) AS np, sum(coalesce(incurred < li, false)::INT) AS ni
+  FROM (SELECT *, lag(paid) OVER w AS lp, lag(incurred) OVER w AS li FROM tri WINDOW w AS (PARTITION BY segment, origin_idx ORDER BY age_idx)) GROUP BY 1
+)
+SELECT segment, check_id, CASE WHEN n = 0 THEN 'pass' ELSE bad END AS status, CAST(n AS BIGINT) AS n_findings FROM (
+  SELECT segment, unnest(['non-finite-value', 'shape-mismatch', 'paid-exceeds-incurred', 'negative-incremental-paid', 'negative-incremental-incurred', 'interior-missing']) AS check_id,
+         unnest(['fail', 'fail', 'fail', 'warning', 'warning', 'warning']) AS bad, unnest([0, 0, over_, np, ni, 0]) AS n FROM g)"""),
+)
+def review_triangles(spark, sf_dir):
+    tri = built(spark, sf_dir)
+    return review.review_triangles(triangles.measure(tri, "paid"), triangles.measure(tri, "incurred"))[0].drop("place")
