@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import apriori, chainladder, diagnostics, review, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, large_losses, levels, review, stochastic, variance
 from lossworks.operators import factors, triangles
 from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view
 
@@ -348,3 +348,311 @@ SELECT segment, check_id, CASE WHEN n = 0 THEN 'pass' ELSE bad END AS status, CA
 def review_triangles(spark, sf_dir):
     tri = built(spark, sf_dir)
     return review.review_triangles(triangles.measure(tri, "paid"), triangles.measure(tri, "incurred"))[0].drop("place")
+
+
+LATEST_SQL = """
+, lt AS (
+  SELECT segment, year(arg_max(accident_date, (evaluation_date, -seq))) AS year, arg_max(paid_to_date + case_reserve, (evaluation_date, -seq)) AS v, arg_max(status, (evaluation_date, -seq)) AS status
+  FROM snap GROUP BY segment, claim_id
+)"""
+
+
+@query(
+    "claim_sizes",
+    with_claims(f"""{LATEST_SQL} SELECT segment, CAST(year AS INTEGER) AS year, count(*) AS claim_count, round(sum(v), 2) AS total_incurred, round(max(v), 2) AS max_claim, count(*) FILTER (v > 0) AS nonzero_count,
+round(quantile_disc(v, 0.5), 2) AS p50, round(quantile_disc(v, 0.75), 2) AS p75, round(quantile_disc(v, 0.9), 2) AS p90, round(quantile_disc(v, 0.95), 2) AS p95, round(quantile_disc(v, 0.99), 2) AS p99 FROM lt GROUP BY 1, 2"""),
+)
+def claim_sizes(spark, sf_dir):
+    out = large_losses.size_by_year(claims_view(spark, sf_dir), AS_OF)
+    return rounded(out, **{c: 2 for c in ("total_incurred", "max_claim", "p50", "p75", "p90", "p95", "p99")})
+
+
+CAPS_SQL = """
+, bs AS (
+  SELECT segment, max(year(accident_date)) AS base FROM snap GROUP BY 1
+), an AS (
+  SELECT segment, unnest([quantile_disc(s, 0.75), quantile_disc(s, 0.9), quantile_disc(s, 0.95), quantile_disc(s, 0.99)]) AS a
+  FROM (SELECT segment, v / pow(1.03, year - base) AS s FROM lt JOIN bs USING (segment)) WHERE s > 0 GROUP BY 1
+), cp AS (
+  SELECT DISTINCT segment, CASE WHEN a / m < 1.5 THEN 1 WHEN a / m < 3.5 THEN 2.5 WHEN a / m < 7.5 THEN 5 ELSE 10 END * m AS cap FROM (SELECT segment, a, pow(10, floor(log10(a))) AS m FROM an)
+  UNION SELECT segment, 123456 FROM bs
+), c AS (
+  SELECT segment, cap, year, v, cap * pow(1.03, year - base) AS lim FROM lt JOIN bs USING (segment) JOIN cp USING (segment)
+)
+SELECT segment, cap::DOUBLE AS cap, CAST(year AS INTEGER) AS year, count(*) FILTER (v > lim) AS pierce_count, round(count(*) FILTER (v > lim) / count(*), 8) AS pierce_share,
+       round(CASE WHEN sum(v) > 0 THEN sum(CASE WHEN v > lim THEN v - lim ELSE 0 END) / sum(v) ELSE 0 END, 8) AS excess_share
+FROM c GROUP BY GROUPING SETS ((segment, cap, year), (segment, cap))"""
+
+
+@query("cap_candidates", with_claims(LATEST_SQL + CAPS_SQL))
+def cap_candidates(spark, sf_dir):
+    claims = claims_view(spark, sf_dir)
+    caps = large_losses.candidate_caps(claims, AS_OF, 0.03, (123456.0,))
+    return rounded(large_losses.cap_candidates(claims, caps, AS_OF, 0.03).drop("effective_cap"), pierce_share=8, excess_share=8)
+
+
+@query(
+    "cap_claims",
+    with_claims(""", b AS (SELECT segment, max(year(accident_date)) AS base FROM snap GROUP BY 1), c AS (SELECT s.*, 50000 * pow(1.05, year(accident_date) - base) AS lim FROM snap s JOIN b USING (segment))
+SELECT segment, claim_id, seq, round(least(paid_to_date, lim), 4) AS paid_to_date, round(least(paid_to_date + case_reserve, lim) - least(paid_to_date, lim), 4) AS case_reserve FROM c"""),
+)
+def cap_claims(spark, sf_dir):
+    out = large_losses.cap_claims(claims_view(spark, sf_dir), 50000.0, 0.05)
+    return rounded(out.select("segment", "claim_id", "seq", "paid_to_date", "case_reserve"), paid_to_date=4, case_reserve=4)
+
+
+KM_SQL = """
+, o AS (
+  SELECT segment, round(v, 0) AS value, count(*) FILTER (status <> 'open') AS events, count(*) AS n FROM lt GROUP BY 1, 2
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY segment ORDER BY value DESC) AS at_risk FROM o
+), s AS (
+  SELECT segment, value, product(1 - events / at_risk) OVER (PARTITION BY segment ORDER BY value) AS survival FROM r WHERE events > 0
+)
+SELECT segment, p::DOUBLE AS p, min(CASE WHEN survival <= 1 - p + 1e-12 THEN value END) AS quantile FROM s CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(p) GROUP BY 1, 2"""
+
+
+@query("survival_quantiles", with_claims(LATEST_SQL + KM_SQL))
+def survival_quantiles(spark, sf_dir):
+    seen = large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF)
+    return large_losses.survival_quantiles(seen.withColumn("value", F.round("value", 0)), (0.25, 0.5, 0.75))
+
+
+TREND_SQL = """
+, pts AS (
+  SELECT segment, year, avg(v) AS value FROM lt GROUP BY 1, 2
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY segment ORDER BY year DESC) AS back, row_number() OVER (PARTITION BY segment ORDER BY value DESC) AS hi, row_number() OVER (PARTITION BY segment ORDER BY value) AS lo, count(*) OVER (PARTITION BY segment) AS n FROM pts WHERE value > 0
+), w AS (
+  SELECT segment, year, value, unnest(list_filter(['all', CASE WHEN back <= 5 THEN 'last5' END, CASE WHEN back <= 3 THEN 'last3' END, CASE WHEN n >= 5 AND hi > 1 AND lo > 1 THEN 'exhilo' END], lambda x: x IS NOT NULL)) AS fit FROM k
+)
+SELECT segment, fit, round(CASE WHEN count(*) >= 3 THEN exp(regr_slope(ln(value), year)) - 1 END, 8) AS annual_rate, round(CASE WHEN count(*) >= 3 THEN regr_r2(ln(value), year) END, 8) AS r_squared, count(*) AS n_points FROM w GROUP BY 1, 2"""
+
+
+@query("trend", with_claims(LATEST_SQL + TREND_SQL))
+def trend(spark, sf_dir):
+    latest = large_losses.latest_snapshots(claims_view(spark, sf_dir), AS_OF)
+    points = latest.groupBy("segment", F.year("accident_date").alias("year")).agg(F.avg(F.col("paid_to_date") + F.col("case_reserve")).alias("value"))
+    return rounded(levels.analyze_trend(points).drop("excluded"), annual_rate=8, r_squared=8)
+
+
+ON_LEVEL_SQL = """
+, ch AS (
+  SELECT segment, CAST(origin AS INTEGER) AS y, make_date(CAST(origin AS INTEGER), 7, 1) AS d, round((earned_premium / lag(earned_premium) OVER (PARTITION BY segment ORDER BY origin) - 1) / 10, 6) AS change FROM expo
+), st AS (
+  SELECT segment, y + (dayofyear(d) - 1) / dayofyear(make_date(y, 12, 31)) AS since, 1 + change AS step FROM ch WHERE change IS NOT NULL
+), er AS (
+  SELECT segment, since, product(step) OVER (PARTITION BY segment ORDER BY since) AS level, lead(since) OVER (PARTITION BY segment ORDER BY since) AS till FROM st
+  UNION ALL SELECT segment, -1e9, 1, min(since) FROM st GROUP BY 1
+), x AS (
+  SELECT segment, origin, CAST(origin AS DOUBLE) AS p0, least(greatest(since, CAST(origin AS DOUBLE) - 1), CAST(origin AS DOUBLE) + 1) AS a, least(greatest(coalesce(till, 1e9), CAST(origin AS DOUBLE) - 1), CAST(origin AS DOUBLE) + 1) AS b, level
+  FROM expo JOIN er USING (segment)
+), sh AS (
+  -- area earned up to policy date w of a calendar year p0: half a square up to p0, the rest of the other triangle beyond
+  SELECT segment, origin, level, CASE WHEN b <= p0 THEN pow(b - p0 + 1, 2) / 2 ELSE 1 - pow(p0 + 1 - b, 2) / 2 END - CASE WHEN a <= p0 THEN pow(a - p0 + 1, 2) / 2 ELSE 1 - pow(p0 + 1 - a, 2) / 2 END AS share FROM x
+), cur AS (
+  SELECT segment, product(step) AS cur FROM st GROUP BY 1
+)
+SELECT segment, origin, round(sum(share * level), 8) AS average_level, round(max(cur) / sum(share * level), 8) AS on_level_factor FROM sh JOIN cur USING (segment) GROUP BY 1, 2"""
+
+
+@query("on_level", with_claims(ON_LEVEL_SQL))
+def on_level(spark, sf_dir):
+    """Rate changes stand at each July 1, a tenth of the premium's growth."""
+    premium = exposures_view(spark, sf_dir)
+    before = F.lag("earned_premium").over(Window.partitionBy("segment").orderBy("origin"))
+    year = F.col("origin").cast("int")
+    changes = premium.select("segment", F.make_date(year, F.lit(7), F.lit(1)).alias("effective_date"), F.round((F.col("earned_premium") / before - 1) / 10, 6).alias("change")).filter("change is not null")
+    origins = premium.select("segment", "origin", year.cast("double").alias("p0"), (year + 1).cast("double").alias("p1"))
+    return rounded(levels.on_level(origins, changes).drop("current_level"), average_level=8, on_level_factor=8)
+
+
+TAIL_SQL = """
+, b AS (
+  SELECT segment, age_idx + 1 AS j, f, CASE WHEN f > 1 THEN ln(f - 1) END AS y FROM sel
+), ft AS (
+  SELECT segment, count(y) AS n_points, regr_slope(y, j) AS slope, regr_intercept(y, j) AS intercept, max(j) AS last FROM b GROUP BY 1
+), xs AS (
+  SELECT segment, k, 1 + exp(intercept + slope * (last + k)) AS f FROM ft CROSS JOIN (SELECT unnest(range(1, 201)) AS k) WHERE n_points >= 3 AND slope < 0
+), dn AS (
+  SELECT *, coalesce(max((f - 1 < 1e-7)::INT) OVER (PARTITION BY segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM xs
+), tl AS (
+  SELECT segment, product(f) AS tail FROM dn WHERE done = 0 GROUP BY 1
+)
+SELECT segment, n_points, round(slope, 8) AS slope, coalesce(n_points >= 3 AND slope < 0 AND tail <= 5, false) AS valid, round(CASE WHEN coalesce(n_points >= 3 AND slope < 0 AND tail <= 5, false) THEN tail ELSE 1 END, 8) AS tail_factor
+FROM ft LEFT JOIN tl USING (segment)"""
+
+
+@query("tail_fit", with_chain_ladder("paid", TAIL_SQL))
+def tail_fit(spark, sf_dir):
+    out = levels.fit_tail(chainladder.selected(triangles.measure(built(spark, sf_dir), "paid")))
+    return rounded(out.select("segment", "n_points", "slope", "valid", "tail_factor"), slope=8, tail_factor=8)
+
+
+PAYOUT_SQL = """
+, pc AS (
+  SELECT segment, age_idx, age, 1 / cdf AS pct, lead(age) OVER w AS till, lead(1 / cdf) OVER w AS nxt FROM cdf WINDOW w AS (PARTITION BY segment ORDER BY age_idx)
+), fl AS (
+  SELECT cl.segment, cl.origin, CAST(age - latest_age AS INTEGER) AS from_months, CAST(till - latest_age AS INTEGER) AS to_months, ultimate * (nxt - pct) AS amount
+  FROM cl JOIN pc ON cl.segment = pc.segment AND pc.age >= cl.latest_age AND till IS NOT NULL
+)"""
+
+
+@query("payout_pattern", with_chain_ladder("paid", PAYOUT_SQL + " SELECT segment, origin, from_months, to_months, round(amount, 2) AS amount FROM fl"))
+def payout_pattern(spark, sf_dir):
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    picked = chainladder.selected(cells)
+    return rounded(cashflow.payout_pattern(chainladder.chain_ladder(cells, picked), cells, picked), amount=2)
+
+
+@query(
+    "discount_unpaid",
+    with_chain_ladder("paid", PAYOUT_SQL + """
+, pv AS (
+  SELECT segment, origin, amount, amount / pow(1 + [0.02, 0.025, 0.03][CAST(least(greatest(ceil(t), 1), 3) AS INTEGER)], t) AS pv FROM (SELECT *, (from_months + to_months) / 24 AS t FROM fl)
+)
+SELECT segment, origin, round(sum(amount), 2) AS nominal, round(sum(pv), 2) AS discounted FROM pv GROUP BY GROUPING SETS ((segment, origin), (segment))"""),
+)
+def discount_unpaid(spark, sf_dir):
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    picked = chainladder.selected(cells)
+    flows = cashflow.payout_pattern(chainladder.chain_ladder(cells, picked), cells, picked)
+    curve = spark.createDataFrame([(1, 0.02), (2, 0.025), (3, 0.03)], "year int, rate double")
+    return rounded(cashflow.discount(flows, curve, "mid", "example curve").drop("provenance"), nominal=2, discounted=2)
+
+
+@query(
+    "ulae_ratios",
+    with_triangles("""
+, p AS (
+  SELECT segment, origin AS period, 0.04 * arg_max(paid, age_idx) AS ulae_paid, arg_max(incurred, age_idx) AS r, arg_max(paid, age_idx) AS p, 0.9 * arg_max(paid, age_idx) AS c FROM tri WHERE paid IS NOT NULL GROUP BY 1, 2
+)
+SELECT segment, period, round(sum(ulae_paid), 2) AS ulae_paid, round(sum(0.3 * r + 0.3 * p + 0.4 * c), 2) AS basis, round(sum(ulae_paid) / sum(0.3 * r + 0.3 * p + 0.4 * c), 8) AS ratio FROM p GROUP BY GROUPING SETS ((segment, period), (segment))"""),
+)
+def ulae_ratios(spark, sf_dir):
+    """Expenses are 4 % of payments, nine tenths of which belong to closed claims."""
+    tri = built(spark, sf_dir)
+    paid, incurred = (triangles.latest(triangles.measure(tri, k)).select("segment", "origin", F.col("latest").alias(k)) for k in ("paid", "incurred"))
+    rows = paid.join(incurred, ["segment", "origin"]).select("segment", F.col("origin").alias("period"), (0.04 * F.col("paid")).alias("ulae_paid"), F.col("incurred").alias("reported_ultimate"), "paid", (0.9 * F.col("paid")).alias("closed_ultimate"))
+    return rounded(cashflow.ulae_ratios(rows, (0.3, 0.3, 0.4)), ulae_paid=2, basis=2, ratio=8)
+
+
+@query(
+    "actual_expected",
+    with_chain_ladder("paid", """
+, pr AS (
+  SELECT cl.segment, cl.origin, cl.latest, cl.cdf, t.paid AS prior, d.cdf AS pcdf FROM cl JOIN tri t ON t.segment = cl.segment AND t.origin = cl.origin AND t.age_idx = cl.latest_idx - 1
+  JOIN cdf d ON d.segment = cl.segment AND d.age_idx = cl.latest_idx - 1
+)
+SELECT segment, origin, round(sum(prior * pcdf * (1 / cdf - 1 / pcdf)), 2) AS expected, round(sum(latest - prior), 2) AS actual FROM pr GROUP BY GROUPING SETS ((segment, origin), (segment))"""),
+)
+def actual_expected(spark, sf_dir):
+    """The diagonal before the latest one is the prior valuation."""
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    picked = chainladder.selected(cells)
+    now = chainladder.chain_ladder(cells, picked)
+    at = triangles.latest(cells).select("segment", "origin", (F.col("latest_idx") - 1).alias("age_idx"))
+    before = at.join(cells.select("segment", "origin", "age_idx", "value"), ["segment", "origin", "age_idx"]).join(chainladder.cdfs(cells, picked).select("segment", "age_idx", F.col("cdf").alias("c")), ["segment", "age_idx"])
+    rows = now.join(before, ["segment", "origin"]).select(
+        "segment", "origin", (F.col("value") * F.col("c")).alias("prior_ultimate"), F.col("value").alias("prior_latest"), F.col("latest").alias("current_latest"), (1 / F.col("c")).alias("pct_prior"), F.col("percent_developed").alias("pct_current")
+    )
+    return rounded(cashflow.actual_expected(rows).select("segment", "origin", "expected", "actual"), expected=2, actual=2)
+
+
+CASE_SQL = """
+, rt AS (
+  SELECT segment, age_idx, sum(nc) / sum(case_reserve) AS cr, sum(np - paid) / sum(case_reserve) AS pr
+  FROM (SELECT *, lead(case_reserve) OVER w AS nc, lead(paid) OVER w AS np FROM tri WINDOW w AS (PARTITION BY segment, origin_idx ORDER BY age_idx)) WHERE case_reserve > 0 AND nc IS NOT NULL GROUP BY 1, 2
+), sd AS (
+  SELECT segment, origin, origin_idx, max(age_idx) AS k, arg_max(paid, age_idx) AS paid, arg_max(case_reserve, age_idx) AS cs FROM tri WHERE paid IS NOT NULL GROUP BY 1, 2, 3
+), ed AS (
+  SELECT segment, max(age_idx) AS e FROM tri GROUP BY 1
+), fw AS (
+  SELECT s.segment, s.origin, s.paid, s.cs, j, CASE WHEN j = e THEN 1 ELSE coalesce(pr, 0) END AS pay, coalesce(product(coalesce(cr, 1)) OVER (PARTITION BY s.segment, s.origin_idx ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS run
+  FROM (SELECT s.*, e, unnest(range(k, e + 1)) AS j FROM sd s JOIN ed USING (segment)) s LEFT JOIN rt ON rt.segment = s.segment AND rt.age_idx = j
+)
+SELECT segment, origin, round(max(paid), 2) AS paid_to_date, round(max(cs), 2) AS case_outstanding, round(sum(cs * run * pay), 2) AS unpaid FROM fw GROUP BY 1, 2"""
+
+
+@query("case_outstanding", with_triangles(CASE_SQL))
+def case_outstanding(spark, sf_dir):
+    """Selections are the case-weighted ratios of each interval."""
+    tri = built(spark, sf_dir)
+    paid, case = triangles.measure(tri, "paid"), triangles.measure(tri, "case_reserve")
+    row = Window.partitionBy("segment", "origin_idx").orderBy("age_idx")
+    steps = tri.withColumns({"nc": F.lead("case_reserve").over(row), "np": F.lead("paid").over(row)}).filter("case_reserve > 0 and nc is not null")
+    picked = steps.groupBy("segment", "age_idx").agg((F.sum("nc") / F.sum("case_reserve")).alias("case_ratio"), (F.sum(F.col("np") - F.col("paid")) / F.sum("case_reserve")).alias("paid_on_case"))
+    out = adjust.case_outstanding(paid, case, picked)
+    return rounded(out.select("segment", "origin", "paid_to_date", "case_outstanding", "unpaid"), paid_to_date=2, case_outstanding=2, unpaid=2)
+
+
+def _net_sql() -> str:
+    ladder = with_chain_ladder("paid", " SELECT segment, origin, ultimate, unpaid FROM cl")
+    returned = ladder.replace("FROM lineitem GROUP", "FROM lineitem WHERE l_returnflag = 'R' GROUP")
+    return f"WITH gross AS ({ladder}), rec AS ({returned}) SELECT segment, origin, round(rec.ultimate, 2) AS recovered_ultimate, round(gross.ultimate - rec.ultimate, 2) AS net_ultimate, round(gross.unpaid - rec.unpaid, 2) AS net_unpaid FROM gross JOIN rec USING (segment, origin)"
+
+
+@query("net_of_recoveries", _net_sql())
+def net_of_recoveries(spark, sf_dir):
+    """Returned lines are the recoveries."""
+    cells = triangles.measure(written(triangles.build_triangles(claims_view(spark, sf_dir, recoveries=True), AS_OF), "recoveries"), "paid")
+    rows, _ = adjust.net_of_recoveries(_ladder(spark, sf_dir), chainladder.chain_ladder(cells, chainladder.selected(cells)))
+    return rounded(rows.select("segment", "origin", "recovered_ultimate", "net_ultimate", "net_unpaid"), recovered_ultimate=2, net_ultimate=2, net_unpaid=2)
+
+
+ODP_SQL = """
+, b AS (
+  SELECT t.segment, t.origin_idx, t.age_idx, t.paid, t.paid - coalesce(lag(t.paid) OVER w, 0) AS q, l.latest / product(CASE WHEN t.age_idx < l.latest_idx THEN s.f ELSE 1 END) OVER (PARTITION BY t.segment, t.origin_idx ORDER BY t.age_idx DESC) AS cum
+  FROM tri t JOIN lat l ON l.segment = t.segment AND l.origin_idx = t.origin_idx AND t.age_idx <= l.latest_idx LEFT JOIN sel s ON s.segment = t.segment AND s.age_idx = t.age_idx WINDOW w AS (PARTITION BY t.segment, t.origin_idx ORDER BY t.age_idx)
+), m AS (
+  SELECT segment, origin_idx, q, cum - coalesce(lag(cum) OVER (PARTITION BY segment, origin_idx ORDER BY age_idx), 0) AS m FROM b
+), r AS (
+  SELECT segment, origin_idx, CASE WHEN m > 0 THEN (q - m) / sqrt(m) END AS r FROM m
+)
+SELECT segment, count(r) AS n, CAST(2 * count(DISTINCT origin_idx) - 1 AS BIGINT) AS p, round(sum(CASE WHEN abs(r) > 1e-10 THEN r * r ELSE 0 END) / (count(r) - 2 * count(DISTINCT origin_idx) + 1), 6) AS phi FROM r GROUP BY 1"""
+
+
+@query("odp_fit", with_chain_ladder("paid", ODP_SQL))
+def odp_fit(spark, sf_dir):
+    return rounded(stochastic.odp_fit(triangles.measure(built(spark, sf_dir), "paid")).select("segment", "n", F.col("p").cast("long").alias("p"), "phi"), phi=6)
+
+
+@query("odp_bootstrap")
+def odp_bootstrap(spark, sf_dir):
+    return stochastic.summary(stochastic.bootstrap(triangles.measure(built(spark, sf_dir), "paid"), 1000, 7))
+
+
+@query(
+    "crosscheck",
+    with_chain_ladder("paid", f"""{MACK_SQL}, o AS (SELECT origin, segment, ultimate, ultimate * CASE WHEN segment = 'BUILDING' THEN 1.01 ELSE 1 END AS u2 FROM mk WHERE origin IS NOT NULL)
+SELECT segment, count(*) AS common, round(max(abs(ultimate - u2) / greatest(ultimate, u2)), 8) AS max_ultimate, CASE WHEN segment = 'BUILDING' THEN 'disagree' ELSE 'agree' END AS verdict FROM o GROUP BY 1"""),
+)
+def crosscheck(spark, sf_dir):
+    """Chain ladder against Mack, with one segment's ultimates moved by a hundredth."""
+    rows, _ = variance.mack(triangles.measure(built(spark, sf_dir), "paid"))
+    a = rows.select("segment", "origin", "ultimate", F.col("reserve").alias("unpaid"), "standard_error")
+    b = a.withColumn("ultimate", F.col("ultimate") * F.when(F.col("segment") == "BUILDING", 1.01).otherwise(1.0))
+    return rounded(compare.crosscheck(a, b).select("segment", "common", "max_ultimate", "verdict"), max_ultimate=8)
+
+
+@query("crosscheck_stochastic")
+def crosscheck_stochastic(spark, sf_dir):
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    one, two = (stochastic.summary(stochastic.bootstrap(cells, 1000, s)).select("segment", "origin", "mean", "sd", F.col("n").alias("n_sims"), F.lit(s).alias("seed")).filter("origin is not null") for s in (1, 2))
+    return compare.crosscheck_stochastic(one, two).select("segment", "origin", "mean_deviation", "mean_bound", "sd_deviation", "sd_bound", "verdict")
+
+
+@query(
+    "changed_assumptions",
+    f"WITH a AS ({with_chain_ladder('paid', ' SELECT segment, age_idx, CAST(round(f, 1) AS VARCHAR) AS v FROM sel')}), b AS ({with_chain_ladder('incurred', ' SELECT segment, age_idx, CAST(round(f, 1) AS VARCHAR) AS v FROM sel')}) "
+    "SELECT segment AS analysis_id, 'ldf-' || age_idx AS field, 'changed' AS change, a.v AS prior_value, b.v AS current_value FROM a JOIN b USING (segment, age_idx) WHERE a.v <> b.v",
+)
+def changed_assumptions(spark, sf_dir):
+    """Selected factors of the paid triangle against those of the incurred one, to one decimal."""
+    tri = built(spark, sf_dir)
+
+    def ledger(kind: str) -> DataFrame:
+        picked = chainladder.selected(triangles.measure(tri, kind))
+        return picked.select(F.col("segment").alias("analysis_id"), (F.col("age_idx") + 1).alias("seq"), F.lit("actuary").alias("actor"), F.concat(F.lit("ldf-"), F.col("age_idx").cast("string")).alias("field"), F.round("ldf", 1).cast("string").alias("value"), F.lit("weighted").alias("rationale"))
+
+    return compare.changed_assumptions(ledger("paid"), ledger("incurred"))

@@ -10,15 +10,16 @@ AS_OF = "2001-12-31"
 LOSS_RUN = ("claim_id", "accident_date", "report_date", "evaluation_date", "paid_to_date", "case_reserve", "status")
 
 
-def claims_view(spark: SparkSession, sf_dir: str, as_of: str | None = AS_OF) -> DataFrame:
+def claims_view(spark: SparkSession, sf_dir: str, as_of: str | None = AS_OF, recoveries: bool = False) -> DataFrame:
     """``segment, claim_id, accident_date, report_date, evaluation_date, paid_to_date, case_reserve, status, seq``.
 
     An order is a claim, its line numbers are yearly evaluations, the market segment is the line of business. Amounts are
-    whole cents until the end, so that sums don't depend on their order.
+    whole cents until the end, so that sums don't depend on their order. ``recoveries``: returned lines only.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.pow(F.lit(0.5), F.col("l_linenumber") - 1) * 100 + 0.5)
-    lines = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(cents).alias("cents"))
+    rows = read("lineitem").filter("l_returnflag = 'R'") if recoveries else read("lineitem")
+    lines = rows.groupBy("l_orderkey", "l_linenumber").agg(F.sum(cents).alias("cents"))
     claim = Window.partitionBy("l_orderkey")
     lines = lines.withColumns({
         "paid": F.sum("cents").over(claim.orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)),
