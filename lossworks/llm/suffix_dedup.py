@@ -22,6 +22,8 @@ from lossworks.llm.common import broadcast_if_small, documents, text_or_empty, w
 
 LENGTH = 50
 PIECE = 16
+#: Bytes by which the directly sorted suffixes are ordered; matches longer than that need more.
+SORTED_BYTES = 56
 #: Bytes that go through one suffix array; a minimiser with more distinct text than that is split into single strings.
 MOST_SORTED = 2_000_000
 MOST_HELD = 100_000
@@ -181,7 +183,7 @@ def suffix_order(data: np.ndarray, word: np.ndarray) -> np.ndarray:
     where = np.where(up != 0, np.arange(n), n)
     small = up[np.minimum.accumulate(where[::-1])[::-1]] > 0
     direct = np.flatnonzero(small)
-    direct = direct[np.lexsort([word[direct + 8 * k] for k in range(6, -1, -1)])] if len(direct) else direct
+    direct = direct[np.lexsort([word[direct + 8 * k] for k in range(SORTED_BYTES // 8 - 1, -1, -1)])] if len(direct) else direct
     bounds = np.searchsorted(data[direct], np.arange(257))
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
     queue[data[-1]].append(np.array([n - 1]))
@@ -210,9 +212,9 @@ def suffix_order(data: np.ndarray, word: np.ndarray) -> np.ndarray:
 def smallest_holder(parts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, place, smallest id) for every string of ``length`` bytes in ``parts`` that a smaller id holds as well."""
     sizes = np.array([len(p) for p in parts])
-    joined = np.frombuffer(b"\xff".join(parts) + bytes(8 * (length // 8 + 2)), dtype=np.uint8)  # byte 255 is in no UTF-8
+    joined = np.frombuffer(b"\xff".join(parts) + bytes(max(length, SORTED_BYTES) + 8), dtype=np.uint8)  # byte 255 is in no UTF-8
     n = int(sizes.sum()) + len(parts) - 1
-    word = np.zeros(n + 8 * (length // 8) + 8, dtype=U)
+    word = np.zeros(n + max(length, SORTED_BYTES), dtype=U)
     for k in range(8):
         word |= joined[k : k + len(word)].astype(U) << U(56 - 8 * k)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -314,6 +316,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most_sorted: int = MOST_
     general way to the same result). Stretches shuffle once, by minimiser, with about 20 bytes each; a string that very
     many documents share makes rows of one key, but no more than one row in a document's hundreds, and they stream.
     """
+    if not PIECE <= length <= SORTED_BYTES:
+        raise ValueError(f"the least length of a match is from {PIECE} to {SORTED_BYTES} bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
     known = texts.filter("doc is not null").filter(F.octet_length("text") >= length)
     marks = written(known.select("doc", F.md5(F.encode("text", "UTF-8")).alias("mark"), F.octet_length("text").cast("long").alias("n")), "marks")
