@@ -110,7 +110,7 @@ def loss_run_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
 def parsed_loss_run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims, errors) from loss-run rows whose columns are text."""
     text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in LOSS_RUN}
-    date = {c: F.when(text[c].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text[c], F.lit("yyyy-MM-dd"))) for c in LOSS_RUN if c.endswith("_date")}
+    date = {c: F.when(text[c].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text[c], "yyyy-MM-dd")) for c in ("accident_date", "report_date", "evaluation_date")}
     amount = {c: F.when(text[c].rlike(r"^-?\d+(\.\d+)?$"), text[c].try_cast("double")) for c in ("paid_to_date", "case_reserve")}
     status = F.lower(text["status"])
     checks = [(text["claim_id"] == "", "claim_id is missing")]
