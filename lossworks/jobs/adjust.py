@@ -51,3 +51,62 @@ def net_of_recoveries(gross: DataFrame, recoveries: DataFrame) -> tuple[DataFram
     rows = both.filter(here).select("segment", "origin", *(F.col(f"gross_{c}") for c in names), *(F.col(f"recovered_{c}") for c in names), *((F.col(f"gross_{c}") - F.col(f"recovered_{c}")).alias(f"net_{c}") for c in names))
     side = F.when(F.col("gross_latest").isNull(), "no gross row").otherwise("no recovery row")
     return rows, both.filter(~here).select("segment", F.lit("net_of_recoveries").alias("method"), F.lit("UNALIGNED").alias("code"), F.concat(side, F.lit(" for "), "origin").alias("message"))
+
+
+def fisher_lange(paid: DataFrame, closed: DataFrame, ultimate_counts: DataFrame, severity_trend: float) -> DataFrame:
+    """A row per origin: ``latest_age, paid_to_date, ultimate_counts, unpaid, ultimate``.
+
+    Future closures are the ultimate counts (segment, origin, ultimate_counts) times each age's latest disposal rate; each
+    costs the age's severity, trended by calendar months from the observed ones. Ages must be equally spaced.
+    """
+    if not severity_trend > -1:
+        raise ValueError("BAD_TREND: the severity trend must be above -1")
+    growth = F.lit(1.0 + severity_trend)
+    row = Window.partitionBy(*ROW).orderBy("age_idx")
+    both = paired(paid, closed)[0]
+    first = F.col("age_idx") == 0
+    both = both.withColumns({
+        "_p": F.when(first, F.col("a")).otherwise(F.col("a") - F.lag("a").over(row)), "_c": F.when(first, F.col("b")).otherwise(F.col("b") - F.lag("b").over(row)),
+        "_step": F.col("age") - F.lag("age").over(row),
+    })
+    steps = both.groupBy(*SEG).agg(F.min("_step").alias("step"), F.max("_step").alias("_most")).filter("step = _most").drop("_most")
+    both = both.join(steps, SEG).withColumn("cal", F.col("origin_idx") * F.col("step") + F.col("age"))
+    both = both.join(ultimate_counts.select("segment", "origin", finite("ultimate_counts").alias("u")).filter("u >= 0"), ["segment", "origin"])
+    both = both.withColumn("ref", F.max(F.when(F.col("_p").isNotNull() | F.col("_c").isNotNull(), F.col("cal"))).over(Window.partitionBy(*SEG)))
+    good = F.col("_c") > 0
+    rate = F.when(F.col("u") > 0, F.col("_c") / F.col("u"))
+    ages = both.groupBy(*SEG, F.col("age_idx").alias("_j"), F.col("age").alias("_age")).agg(
+        F.max_by(rate, F.when(rate.isNotNull(), F.col("origin_idx"))).alias("_d"),
+        (F.sum(F.when(good, F.col("_p") * F.pow(growth, (F.col("ref") - F.col("cal")) / 12.0))) / F.sum(F.when(good & F.col("_p").isNotNull(), F.col("_c")))).alias("_s"),
+    )
+    at = F.max(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.struct("age_idx", "age", "a")))
+    seed = both.groupBy(*SEG, "origin", "origin_idx", "step", "ref", "u").agg(at.alias("s")).filter("s is not null")
+    rows = seed.join(ages, SEG, "left")
+    ahead = F.col("_j") > F.col("s.age_idx")
+    cost = F.col("u") * F.col("_d") * F.col("_s") * F.pow(growth, (F.col("origin_idx") * F.col("step") + F.col("_age") - F.col("ref")) / 12.0)
+    out = rows.groupBy(*SEG, "origin", "origin_idx", F.col("s.age").alias("latest_age"), F.col("s.a").alias("paid_to_date"), F.col("u").alias("ultimate_counts")).agg(F.sum(F.when(ahead, F.coalesce(cost, F.lit(0.0))).otherwise(0.0)).alias("unpaid"))
+    return out.withColumn("ultimate", F.col("paid_to_date") + F.col("unpaid"))
+
+
+def case_adequacy(triangles: DataFrame, severity_trend: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(adjusted incurred cells, trends): average open cases restated to the latest diagonal's level.
+
+    The trend is given, or the point-weighted mean of the columns' log-linear yearly trends (three points at least each,
+    else 0). Each cell is paid plus open claims at the diagonal's average, deflated by the years between; without open
+    claims it is paid, and without a diagonal average the incurred value stays.
+    """
+    cells = triangles.select("segment", "origin", "origin_idx", "age", "age_idx", *(finite(c).alias(c) for c in ("paid", "incurred", "open_count")))
+    cells = cells.withColumns({"avg": safe_ratio(F.col("incurred") - F.col("paid"), F.col("open_count")), "_years": F.min("age").over(Window.partitionBy("segment")) / 12.0})
+    y = F.when(F.col("avg") > 0, F.ln("avg"))
+    columns = cells.withColumn("y", y).groupBy("segment", "age_idx", "_years").agg(F.count("y").alias("n"), F.regr_slope("y", "origin_idx").alias("b")).filter("n >= 3 and b is not null")
+    fitted = columns.groupBy("segment").agg((F.sum((F.exp(F.col("b") / F.col("_years")) - 1) * F.col("n")) / F.sum("n")).alias("_fit"))
+    trends = cells.select("segment").distinct().join(fitted, "segment", "left").select("segment", F.coalesce(F.lit(severity_trend).cast("double"), "_fit", F.lit(0.0)).alias("trend")).filter("trend > -1")
+    column = Window.partitionBy("segment", "age_idx")
+    has = F.when(F.col("open_count").isNotNull(), F.col("origin_idx"))
+    rows = cells.join(trends, "segment").withColumns({"_row": F.max(has).over(column), "_diag": F.max_by("avg", has).over(column)})
+    level = F.col("_diag") / F.pow(1 + F.col("trend"), (F.col("_row") - F.col("origin_idx")) * F.col("_years"))
+    value = (
+        F.when(F.col("paid").isNull() | F.col("open_count").isNull(), F.lit(None).cast("double")).when(F.col("open_count") == 0, F.col("paid"))
+        .when(F.col("_diag").isNull(), F.col("incurred")).otherwise(F.col("paid") + level * F.col("open_count"))
+    )
+    return rows.select("segment", F.lit("incurred").alias("kind"), "origin", "origin_idx", "age", "age_idx", value.alias("value")), trends

@@ -84,3 +84,13 @@ def ledger_errors(ledger: DataFrame) -> DataFrame:
     own = Window.partitionBy("analysis_id").orderBy("seq")
     code = F.when((F.col("actor") != "default") & (F.trim(F.coalesce("rationale", F.lit(""))) == ""), "NO_RATIONALE").when(F.col("seq") != F.col("_n"), "BAD_SEQUENCE")
     return ledger.withColumn("_n", F.row_number().over(own)).withColumn("code", code).filter("code is not null").select("analysis_id", "seq", "field", "code")
+
+
+def result_table(results: dict[str, DataFrame]) -> DataFrame:
+    """``method, segment, origin, ultimate, unpaid, standard_error`` of several methods' rows; what one lacks is null."""
+    out = None
+    for method, rows in results.items():
+        names = [c for c in ("segment", "origin", "ultimate", "unpaid", "standard_error") if c in rows.columns]
+        part = rows.select(F.lit(method).alias("method"), *names)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -57,3 +57,41 @@ def factor_correlation(cells: DataFrame) -> DataFrame:
     out = columns.groupBy(*SEG).agg((F.sum((F.col("m") - 1) * F.col("t")) / F.sum(F.col("m") - 1)).alias("statistic"), (1.0 / F.sum(F.col("m") - 1)).alias("variance"))
     out = out.withColumn("bound50", 0.67 * F.sqrt("variance"))
     return out.withColumn("correlated", F.abs("statistic") > F.col("bound50"))
+
+
+def _median_trend(grid: DataFrame, value: str) -> DataFrame:
+    """Per segment the median over columns of the growth per origin that a log-linear fit (three points) gives."""
+    y = F.when(F.col(value) > 0, F.ln(value))
+    columns = grid.withColumn("_y", y).groupBy("segment", "age_idx").agg(F.count("_y").alias("n"), F.regr_slope("_y", "origin_idx").alias("b")).filter("n >= 3 and b is not null")
+    return columns.groupBy("segment").agg(F.percentile(F.exp("b") - 1, F.lit(0.5)).alias(f"{value}_trend"))
+
+
+def _recent_shift(grid: DataFrame, value: str, recent: int = 3, mature: float = 0.95) -> DataFrame:
+    """Per segment the median over immature columns of the last values' mean over the earlier ones', less 1."""
+    column = Window.partitionBy("segment", "age_idx")
+    rows = grid.filter(F.col(value).isNotNull()).withColumns({
+        "_back": F.row_number().over(column.orderBy(F.desc("origin_idx"))), "_up": F.row_number().over(column.orderBy(value)), "_n": F.count("*").over(column),
+    })
+    sums = rows.groupBy("segment", "age_idx", "_n").agg(
+        F.max(F.when(F.col("_up") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("mid"), F.avg(F.when(F.col("_back") <= recent, F.col(value))).alias("new"), F.avg(F.when(F.col("_back") > recent, F.col(value))).alias("old")
+    )
+    sums = sums.filter((F.col("_n") >= recent + 2) & (F.col("mid") < mature) & (F.col("old") != 0))
+    return sums.groupBy("segment").agg(F.percentile(F.col("new") / F.col("old") - 1, F.lit(0.5)).alias(f"{value}_shift"))
+
+
+def run_diagnostics(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(measures, findings) per segment: closure shift, case and paid-to-incurred trends, calendar-year effect."""
+    from lossworks.operators.triangles import measure, ratio_grids
+
+    grid = ratio_grids(triangles)
+    out = triangles.select("segment").distinct()
+    for part in (_recent_shift(grid, "closed_to_reported"), _median_trend(grid, "average_open_case"), _median_trend(grid, "paid_to_incurred")):
+        out = out.join(part, "segment", "left")
+    out = out.join(calendar_year_test(measure(triangles, "paid")).select("segment", "significant"), "segment", "left")
+    tests = (
+        ("SETTLEMENT_RATE_SHIFT", F.abs("closed_to_reported_shift") > 0.05), ("CASE_ADEQUACY_SHIFT", F.abs("average_open_case_trend") > 0.08),
+        ("PAID_TO_INCURRED_SHIFT", F.abs("paid_to_incurred_trend") > 0.03), ("CALENDAR_YEAR_EFFECT", F.col("significant")),
+    )
+    found = F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in tests)))
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("NO_MATERIAL_DISTORTIONS")))
+    return out, out.select("segment", F.explode(found).alias("code"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, large_losses, levels, review, stochastic, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, large_losses, levels, munich, review, severity, stochastic, variance
 from lossworks.operators import factors, triangles
-from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view
+from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view, parsed_loss_run
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -656,3 +656,120 @@ def changed_assumptions(spark, sf_dir):
         return picked.select(F.col("segment").alias("analysis_id"), (F.col("age_idx") + 1).alias("seq"), F.lit("actuary").alias("actor"), F.concat(F.lit("ldf-"), F.col("age_idx").cast("string")).alias("field"), F.round("ldf", 1).cast("string").alias("value"), F.lit("weighted").alias("rationale"))
 
     return compare.changed_assumptions(ledger("paid"), ledger("incurred"))
+
+
+FISHER_LANGE_SQL = """
+, ic AS (
+  SELECT t.segment, t.origin, t.origin_idx, t.age_idx, t.age, t.paid, t.closed_count, cl.ultimate AS u, t.paid - coalesce(lag(t.paid) OVER w, 0) AS p, t.closed_count - coalesce(lag(t.closed_count) OVER w, 0) AS c,
+         12 * t.origin_idx + t.age AS cal FROM tri t JOIN cl USING (segment, origin) WINDOW w AS (PARTITION BY t.segment, t.origin_idx ORDER BY t.age_idx)
+), rf AS (
+  SELECT segment, max(cal) AS ref FROM ic WHERE p IS NOT NULL GROUP BY 1
+), ag AS (
+  SELECT segment, age_idx, age, arg_max(c / u, origin_idx) FILTER (c IS NOT NULL AND u > 0) AS d, sum(p * pow(1.05, (ref - cal) / 12)) FILTER (c > 0) / sum(c) FILTER (c > 0) AS s FROM ic JOIN rf USING (segment) GROUP BY 1, 2, 3
+), sd AS (
+  SELECT segment, origin, origin_idx, u, max(age_idx) AS k, arg_max(paid, age_idx) AS paid FROM ic WHERE paid IS NOT NULL GROUP BY 1, 2, 3, 4
+)
+SELECT sd.segment, sd.origin, round(sd.paid, 2) AS paid_to_date, round(u, 4) AS ultimate_counts, round(sum(CASE WHEN age_idx > k THEN coalesce(u * d * s * pow(1.05, (12 * origin_idx + age - ref) / 12), 0) ELSE 0 END), 2) AS unpaid
+FROM sd JOIN ag USING (segment) JOIN rf USING (segment) GROUP BY sd.segment, sd.origin, sd.paid, u"""
+
+
+@query("fisher_lange", with_chain_ladder("reported_count", FISHER_LANGE_SQL))
+def fisher_lange(spark, sf_dir):
+    """Ultimate counts are the chain ladder's of the reported counts."""
+    tri = built(spark, sf_dir)
+    counts = triangles.measure(tri, "reported_count")
+    ultimate = chainladder.chain_ladder(counts, chainladder.selected(counts)).select("segment", "origin", F.col("ultimate").alias("ultimate_counts"))
+    out = adjust.fisher_lange(triangles.measure(tri, "paid"), triangles.measure(tri, "closed_count"), ultimate, 0.05)
+    return rounded(out.select("segment", "origin", "paid_to_date", "ultimate_counts", "unpaid"), paid_to_date=2, ultimate_counts=4, unpaid=2)
+
+
+ADEQUACY_SQL = """
+, av AS (
+  SELECT *, CASE WHEN open_count > 0 THEN (incurred - paid) / open_count END AS avg_ FROM tri
+), bt AS (
+  SELECT segment, sum((exp(b) - 1) * n) / sum(n) AS trend FROM (
+    SELECT segment, age_idx, count(*) AS n, regr_slope(ln(avg_), origin_idx) AS b FROM av WHERE avg_ > 0 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1
+), dgl AS (
+  SELECT segment, age_idx, max(origin_idx) AS row_, arg_max(coalesce(avg_, -1), origin_idx) AS diag FROM av WHERE open_count IS NOT NULL GROUP BY 1, 2
+)
+SELECT segment, origin, age, round(CASE WHEN paid IS NULL THEN NULL WHEN open_count = 0 THEN paid WHEN diag = -1 THEN incurred ELSE paid + diag / pow(1 + coalesce(trend, 0), row_ - origin_idx) * open_count END, 2) AS value
+FROM av LEFT JOIN bt USING (segment) LEFT JOIN dgl USING (segment, age_idx)"""
+
+
+@query("case_adequacy", with_triangles(ADEQUACY_SQL))
+def case_adequacy(spark, sf_dir):
+    return rounded(adjust.case_adequacy(built(spark, sf_dir))[0].select("segment", "origin", "age", "value"), value=2)
+
+
+DIAGNOSTICS_SQL = """
+, gr AS (
+  SELECT segment, origin_idx, age_idx, CASE WHEN incurred > 0 THEN paid / incurred END AS pi, CASE WHEN reported_count > 0 THEN closed_count / reported_count END AS cr, CASE WHEN open_count > 0 THEN (incurred - paid) / open_count END AS ac FROM tri
+), tr AS (
+  SELECT segment, quantile_cont(exp(a) - 1, 0.5) AS ac FROM (SELECT segment, age_idx, regr_slope(ln(ac), origin_idx) AS a FROM gr WHERE ac > 0 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1
+), tp AS (
+  SELECT segment, quantile_cont(exp(a) - 1, 0.5) AS pi FROM (SELECT segment, age_idx, regr_slope(ln(pi), origin_idx) AS a FROM gr WHERE pi > 0 GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1
+), rk AS (
+  SELECT *, row_number() OVER (PARTITION BY segment, age_idx ORDER BY origin_idx DESC) AS back, row_number() OVER (PARTITION BY segment, age_idx ORDER BY cr) AS up, count(*) OVER (PARTITION BY segment, age_idx) AS n FROM gr WHERE cr IS NOT NULL
+), sf AS (
+  SELECT segment, quantile_cont(nw / od - 1, 0.5) AS shift FROM (
+    SELECT segment, age_idx, n, max(CASE WHEN up = n // 2 + 1 THEN cr END) AS mid, avg(CASE WHEN back <= 3 THEN cr END) AS nw, avg(CASE WHEN back > 3 THEN cr END) AS od FROM rk GROUP BY 1, 2, 3) WHERE n >= 5 AND mid < 0.95 AND od <> 0 GROUP BY 1
+)
+SELECT segment, round(shift, 8) AS closed_to_reported_shift, round(tr.ac, 8) AS average_open_case_trend, round(tp.pi, 8) AS paid_to_incurred_trend
+FROM rng LEFT JOIN sf USING (segment) LEFT JOIN tr USING (segment) LEFT JOIN tp USING (segment)"""
+
+
+@query("run_diagnostics", with_triangles(DIAGNOSTICS_SQL))
+def run_diagnostics(spark, sf_dir):
+    out = diagnostics.run_diagnostics(built(spark, sf_dir))[0].drop("significant")
+    return rounded(out, closed_to_reported_shift=8, average_open_case_trend=8, paid_to_incurred_trend=8)
+
+
+@query("munich_chain_ladder")
+def munich_chain_ladder(spark, sf_dir):
+    tri = built(spark, sf_dir)
+    return munich.munich_chain_ladder(triangles.measure(tri, "paid"), triangles.measure(tri, "incurred"))
+
+
+@query("fit_severity")
+def fit_severity(spark, sf_dir):
+    """Fits of either kind, with the factors from a cap of 50,000 to 250,000."""
+    seen = large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF)
+    fits = severity.fit_severity(seen, "lognormal").unionByName(severity.fit_severity(seen, "pareto"))
+    factor = severity.uncap_factor(F.col("kind"), F.col("p1"), F.col("p2"), F.lit(50_000.0), F.lit(250_000.0))
+    return fits.withColumn("uncap_factor", F.when(F.col("valid"), factor))
+
+
+INCREMENTAL_SQL = """ SELECT segment, origin, age, round(paid - CASE WHEN age_idx > 0 THEN lag(paid) OVER (PARTITION BY segment, origin_idx ORDER BY age_idx) ELSE 0 END, 2) AS value FROM tri"""
+
+
+@query("incremental_triangle", with_triangles(INCREMENTAL_SQL))
+def incremental_triangle(spark, sf_dir):
+    return rounded(triangles.incremental(triangles.measure(built(spark, sf_dir), "paid")).select("segment", "origin", "age", "value"), value=2)
+
+
+@query("subtract_triangles", with_triangles(" SELECT segment, origin, age, round(incurred - paid, 2) AS value FROM tri"))
+def subtract_triangles(spark, sf_dir):
+    tri = built(spark, sf_dir)
+    return rounded(triangles.subtract(triangles.measure(tri, "incurred"), triangles.measure(tri, "paid")).select("segment", "origin", "age", "value"), value=2)
+
+
+@query("loss_run_claims", with_claims(" SELECT claim_id, accident_date, report_date, evaluation_date, round(paid_to_date, 2) AS paid_to_date, status FROM snap"))
+def loss_run_claims(spark, sf_dir):
+    """The claims written as text fields and parsed again."""
+    rows = claims_view(spark, sf_dir)
+    text = rows.select(*(F.col(c).cast("string").alias(c) for c in ("claim_id", "accident_date", "report_date", "evaluation_date")), *(F.format_string("%.2f", c).alias(c) for c in ("paid_to_date", "case_reserve")), F.upper("status").alias("status"))
+    return parsed_loss_run(text)[0].drop("seq", "case_reserve")
+
+
+@query("result_table", with_chain_ladder("paid", f"""{MACK_SQL}{BF_SQL}
+SELECT 'chain_ladder' AS method, segment, origin, round(ultimate, 2) AS ultimate, round(unpaid, 2) AS unpaid, NULL::DOUBLE AS standard_error FROM cl
+UNION ALL SELECT 'bornhuetter_ferguson', segment, origin, round(ultimate, 2), round(unpaid, 2), NULL FROM bf
+UNION ALL SELECT 'mack', segment, origin, round(ultimate, 2), round(ultimate - latest, 2), round(standard_error, 2) FROM mk WHERE origin IS NOT NULL"""))
+def result_table(spark, sf_dir):
+    """Results of several methods in one vocabulary; an absent standard error stays absent."""
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    cl = chainladder.chain_ladder(cells, chainladder.selected(cells))
+    bf = apriori.bornhuetter_ferguson(cl, exposures_view(spark, sf_dir))
+    rows, _ = variance.mack(cells)
+    found = {"chain_ladder": cl, "bornhuetter_ferguson": bf, "mack": rows.withColumnRenamed("reserve", "unpaid")}
+    return rounded(compare.result_table(found), ultimate=2, unpaid=2, standard_error=2)
