@@ -110,3 +110,37 @@ def case_adequacy(triangles: DataFrame, severity_trend: float | None = None) ->
         .when(F.col("_diag").isNull(), F.col("incurred")).otherwise(F.col("paid") + level * F.col("open_count"))
     )
     return rows.select("segment", F.lit("incurred").alias("kind"), "origin", "origin_idx", "age", "age_idx", value.alias("value")), trends
+
+
+def settlement(paid: DataFrame, closed: DataFrame, ultimate_counts: DataFrame, exponential: bool = True) -> DataFrame:
+    """Paid cells restated to the latest diagonal's disposal rates.
+
+    A cell's closed counts become its age's latest rate times the origin's ultimate counts; paid is read off the origin's
+    own (closed, paid) points: a point hit exactly, between two, from the origin (0, 0) below the first, and along the last
+    two beyond the end. Of points with equal counts the one with the larger paid amount counts. Cells without a target keep
+    their value; none falls below 0. A triangle's row has few points, so each cell meets those of its own origin only.
+    """
+    both = paired(paid, closed)[0].join(ultimate_counts.select("segment", "origin", finite("ultimate_counts").alias("u")), ["segment", "origin"], "left")
+    has = F.when(F.col("b").isNotNull(), F.col("origin_idx"))
+    rate = F.when(F.col("u") > 0, F.col("b") / F.col("u"))
+    both = both.withColumn("_rate", F.max_by(rate, has).over(Window.partitionBy("segment", "age_idx")))
+    both = both.withColumn("_x", F.when(F.col("b").isNotNull() & (F.col("u") > 0), F.col("_rate") * F.col("u")))
+    points = both.filter("a is not null and b is not null").groupBy("segment", "origin_idx", F.col("b").alias("_px")).agg(F.max("a").alias("_py"))
+    points = points.withColumns({"_lx": F.lag("_px").over(Window.partitionBy("segment", "origin_idx").orderBy("_px")), "_ly": F.lag("_py").over(Window.partitionBy("segment", "origin_idx").orderBy("_px"))})
+    met = both.join(points, ["segment", "origin_idx"], "left")
+    gap, point = F.col("_px") - F.col("_x"), F.struct("_px", "_py", "_lx", "_ly")
+    near = met.groupBy(*(c for c in both.columns)).agg(
+        F.max(F.when(F.abs(gap) < 1e-9, F.col("_py"))).alias("_hit"), F.max_by(point, F.when(gap < 0, F.col("_px"))).alias("_low"), F.min_by(point, F.when(gap > 0, F.col("_px"))).alias("_high"),
+        F.count_if(gap < 0).alias("_nl"), F.count_if(gap > 0).alias("_nh"),
+    )
+    zero = F.lit(0.0)
+    x1 = F.when(F.col("_nl") == 0, zero).when(F.col("_nh") == 0, F.coalesce("_low._lx", zero)).otherwise(F.col("_low._px"))
+    y1 = F.when(F.col("_nl") == 0, zero).when(F.col("_nh") == 0, F.coalesce("_low._ly", zero)).otherwise(F.col("_low._py"))
+    x2 = F.when(F.col("_nh") == 0, F.col("_low._px")).otherwise(F.col("_high._px"))
+    y2 = F.when(F.col("_nh") == 0, F.col("_low._py")).otherwise(F.col("_high._py"))
+    out = near.withColumns({"_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2})
+    part = F.when(F.col("_x2") != F.col("_x1"), (F.col("_x") - F.col("_x1")) / (F.col("_x2") - F.col("_x1"))).otherwise(zero)
+    line = F.col("_y1") + (F.col("_y2") - F.col("_y1")) * part
+    curve = F.when((F.col("_y1") > 0) & (F.col("_y2") > 0) & F.lit(exponential), F.col("_y1") * F.pow(F.col("_y2") / F.col("_y1"), part)).otherwise(line)
+    value = F.when(F.col("_x").isNull() | F.col("a").isNull(), F.col("a")).otherwise(F.greatest(F.coalesce("_hit", curve, F.col("a")), zero))
+    return out.select(*SEG, "origin", "origin_idx", "age", "age_idx", value.alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, large_losses, levels, munich, review, severity, stochastic, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, growth, large_losses, levels, munich, review, severity, stochastic, variance
 from lossworks.operators import factors, triangles
 from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view, parsed_loss_run
 
@@ -773,3 +773,19 @@ def result_table(spark, sf_dir):
     rows, _ = variance.mack(cells)
     found = {"chain_ladder": cl, "bornhuetter_ferguson": bf, "mack": rows.withColumnRenamed("reserve", "unpaid")}
     return rounded(compare.result_table(found), ultimate=2, unpaid=2, standard_error=2)
+
+
+@query("growth_curve")
+def growth_curve(spark, sf_dir):
+    """Curves with a level per origin, and with one loss ratio for all, truncated at 20 years."""
+    cells = triangles.measure(built(spark, sf_dir), "incurred")
+    return growth.growth_curve(cells, truncation=240).unionByName(growth.growth_curve(cells, truncation=240, exposures=exposures_view(spark, sf_dir)))
+
+
+@query("settlement_adjustment")
+def settlement_adjustment(spark, sf_dir):
+    """Paid amounts at the latest disposal rates; ultimate counts are the chain ladder's of the reported counts."""
+    tri = built(spark, sf_dir)
+    counts = triangles.measure(tri, "reported_count")
+    ultimate = chainladder.chain_ladder(counts, chainladder.selected(counts)).select("segment", "origin", F.col("ultimate").alias("ultimate_counts"))
+    return adjust.settlement(triangles.measure(tri, "paid"), triangles.measure(tri, "closed_count"), ultimate)

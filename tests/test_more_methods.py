@@ -66,3 +66,36 @@ def test_increased_limits(spark):
     out = {(r["segment"], r["limit"]): r["factor"] for r in severity.interpolated_ilf(table, asked).collect()}
     assert out[("s", 200.0)] == pytest.approx(2**0.5) and out[("s", 400.0)] == pytest.approx(2) and out[("s", 1000.0)] == pytest.approx(2.5)
     assert out[("s", 1001.0)] is None and out[("bad", 1.5)] is None
+
+
+def test_growth_curves_published(spark):
+    from lossworks.jobs.growth import growth_curve
+    from tests.published import TAYLOR_ASHE
+
+    tri = [list(r) for r in TAYLOR_ASHE]
+    tri[0][3] = 2182708
+    both = cells(spark, tri, [[1, 2], [3, None]], first=-9).withColumn("origin", (F.col("origin_idx") + 1991).cast("string"))
+    out = growth_curve(both).collect()
+    total = next(r for r in out if r["segment"] == "s0" and r["origin"] is None)
+    assert total["omega"] == pytest.approx(1.434294, abs=2e-4) and total["theta"] == pytest.approx(48.6249, abs=0.01)
+    assert total["sigma2"] == pytest.approx(65029, rel=1e-3) and total["reserve"] == pytest.approx(35_640_618, rel=1e-3)
+    assert [r["valid"] for r in out if r["segment"] == "s1"] == [False]
+    cut = next(r for r in growth_curve(both, truncation=240).collect() if r["segment"] == "s0" and r["origin"] is None)
+    assert cut["reserve"] == pytest.approx(28_987_633, rel=1e-3) and cut["total_sd"] == pytest.approx(4_885_707, rel=5e-3)
+    weibull = next(r for r in growth_curve(both, "weibull").collect() if r["segment"] == "s0" and r["origin"] is None)
+    assert (weibull["omega"], weibull["theta"], weibull["reserve"]) == (pytest.approx(1.296906, abs=1e-3), pytest.approx(48.88453, abs=0.02), pytest.approx(21_214_761, rel=1e-3))
+    premium = both.select("segment", "origin", (10_000_000.0 + 400_000.0 * F.col("origin_idx")).alias("earned_premium")).distinct()
+    cc = next(r for r in growth_curve(both, truncation=240, exposures=premium).collect() if r["segment"] == "s0" and r["origin"] is None)
+    assert (cc["omega"], cc["theta"]) == (pytest.approx(1.447634, abs=1e-3), pytest.approx(48.0205, abs=0.02))
+    assert cc["elr"] == pytest.approx(0.5978, abs=1e-4) and cc["reserve"] == pytest.approx(29_707_484, rel=1e-3)
+
+
+def test_settlement_branches(spark):
+    closed = cells(spark, [[50, 80, 100], [40, 90, None], [60, None, None]], kind="closed")
+    paid = cells(spark, [[500, 900, 1200], [300, 1000, None], [700, None, None]])
+    ultimate = closed.select("segment", "origin", F.lit(100.0).alias("ultimate_counts")).distinct()
+    out = {(r["origin_idx"], r["age_idx"]): r["value"] for r in adjust.settlement(paid, closed, ultimate, exponential=False).collect()}
+    assert out[(0, 0)] == pytest.approx(500 + 400 * 10 / 30) and out[(0, 1)] == pytest.approx(900 + 300 * 10 / 20) and out[(0, 2)] == 1200
+    assert out[(1, 0)] == pytest.approx(300 + 700 * 20 / 50) and out[(1, 1)] == 1000 and out[(1, 2)] is None
+    curve = {(r["origin_idx"], r["age_idx"]): r["value"] for r in adjust.settlement(paid, closed, ultimate).collect()}
+    assert curve[(0, 0)] == pytest.approx(500 * (900 / 500) ** (10 / 30))
