@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +27,10 @@ from lossworks.llm.common import broadcast_if_small, documents, text_or_empty, w
 WORDS, PERCENT = 3, 90
 #: Shingles whose frequency steers the order, at most; the list is broadcast (9 bytes each). Any list gives the same links.
 MOST_FREQUENT = 1 << 20
+#: Columns that say where a shingle stands in its document's order.
+AT = ("rank", "before", "behind")
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
-COUNTED = 2_000_000  # shingles that one task counts at a time
+COUNTED = 4_000_000  # shingles that one task counts at a time
 REMEMBERED = 500_000
 MOST_BROADCAST = 1_000_000
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -116,14 +118,17 @@ def _scan(words: int):
 
 
 def _prefixes(words: int, percent: int, frequent):
-    """The longest prefixes: (shingle, node, n, rank) in the order rare first, once for each set in a task."""
+    """The longest prefixes: (shingle, node, n, rank, end) in the order rare first, once for each set in a task.
+
+    ``end`` is the place of a prefix's last shingle in the order, as a number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
         seen: set[int] = set()
         for batch in batches:
             out: list[np.ndarray] = []
-            nodes, sizes, lengths = [], [], []
+            nodes, sizes, lengths, ends = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 node, n = class_of(found), len(found)
@@ -131,18 +136,23 @@ def _prefixes(words: int, percent: int, frequent):
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(node)
+                level = np.zeros(n, dtype=np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    found = found[np.argsort(np.where(keys[at] == found, levels[at], 0), kind="stable")]
+                    level = np.where(keys[at] == found, levels[at], 0)
+                    order = np.argsort(level, kind="stable")
+                    found, level = found[order], level[order]
                 out.append(found[: n - _needed(n, percent) + LONGEST])
+                last = len(out[-1]) - 1
+                ends.append((int(level[last]) << 56) + (int(found[last]) >> 8) + (1 << 55))
                 nodes.append(node)
                 sizes.append(n)
                 lengths.append(len(out[-1]))
             if out:
                 rank = np.concatenate([np.arange(x) for x in lengths])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out)), pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(rank.astype(np.int32))],
-                    names=["shingle", "node", "n", "rank"],
+                    [pa.array(np.concatenate(out)), pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(np.repeat(ends, lengths))],
+                    names=["shingle", "node", "n", "rank", "end"],
                 )
 
     return run
@@ -153,7 +163,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A batch's last shingle may go on in the next one: its rows wait, as names and numbers only, for the end of the run.
     """
-    names = ["shingle", "node", "n", "rank"]
+    names = ["shingle", "node", "n", "rank", "end"]
     rest: list[np.ndarray] = [np.empty(0, np.int64) for _ in names]
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -164,7 +174,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = c > 1
         if not keep.any():
             return None
-        kinds = [np.int64, np.int64, np.int32, np.int32]
+        kinds = [np.int64, np.int64, np.int32, np.int32, np.int64]
         return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(k)) for x, k in zip(columns, kinds, strict=True)] + [pa.array(c[keep])], names=[*names, "c"])
 
     for batch in batches:
@@ -180,11 +190,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int):
+    """(node, set), once for each set in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column(1)]
-            values = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([*found, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), values], names=["node", "set"])
+            found = {class_of(x): x for x in (shingles(t.as_py(), words) for t in batch.column(1))}
+            found = {k: x for k, x in found.items() if k not in seen}
+            if len(seen) < REMEMBERED:
+                seen.update(found)
+            sets = [*found.values()]
+            values = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([*sets, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), values], names=["node", "set"])
 
     return run
 
@@ -207,7 +224,8 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def adaptive(entries: DataFrame, percent: int) -> DataFrame:
-    """``entries`` within each document's chosen prefix, with ``l``, the shared shingles it lets a pair be asked for.
+    """``entries`` within each document's chosen prefix, with ``l``, the shared shingles it lets a pair be asked for,
+    and of the shingles that any other document's longest prefix has too the number ``before`` and ``behind`` this one.
 
     Asking for l costs reading the lists of the prefix lengthened to l, and verifying at most 1/l as many candidates as
     those lists have entries; a verification costs in proportion to the set's size.
@@ -221,7 +239,8 @@ def adaptive(entries: DataFrame, percent: int) -> DataFrame:
         cost = read.cast("double") * (1 + F.col("n") / (16.0 * length * length))
         costs.append(F.when(F.lit(length) <= needed, F.struct(cost.alias("cost"), F.lit(length).alias("l"))))
     chosen = entries.withColumn("l", F.array_min(F.filter(F.array(*costs), lambda c: c.isNotNull()))["l"])
-    return chosen.filter(F.col("rank") < base + F.col("l") - 1).select("shingle", "node", "n", "l")
+    chosen = chosen.withColumn("before", F.row_number().over(own.orderBy("rank")) - 1).withColumn("behind", F.count("*").over(own) - 1 - F.col("before"))
+    return chosen.filter(F.col("rank") < base + F.col("l") - 1).select("shingle", "node", "n", "l", *AT)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,8 +261,29 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _fits(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _overlap(a: str, b: str, percent: int):
+    """The least overlap of two sets of these sizes that have the similarity."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100.0 + percent) - 1e-9)
+
+
+def _short(n: str, percent: int, length) -> Column:
+    """A prefix's length less the set's size, for prefixes lengthened to ``length``."""
+    return F.least(F.lit(0), length - F.ceil(F.col(n) * percent / 100))
+
+
+def _may_link(a: str, b: str, percent: int):
+    """What a shared shingle tells of two documents with columns ``n`` and ``AT`` (suffixed ``a`` and ``b``).
+
+    Their sizes must be near; what precedes the shingle in both and what follows it in both must leave room for the
+    overlap; and the prefix that ends first must share all but (size - overlap) of its shingles, of which no more are
+    shared than stand before this one in both prefixes, and behind it in both.
+    """
+    n1, n2, r1, r2, b1, b2, h1, h2 = (F.col(f"{c}{k}") for c in ("n", *AT) for k in (a, b))
+    need = _overlap(f"n{a}", f"n{b}", percent)
+    near = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    room = F.least(r1, r2) + 1 + F.least(n1 - r1 - 1, n2 - r2 - 1) >= need
+    longest = F.least(_short(f"n{a}", percent, F.lit(LONGEST)), _short(f"n{b}", percent, F.lit(LONGEST)))
+    return near & room & (F.least(b1, b2) + 1 + F.least(h1, h2) >= longest + need)
 
 
 def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -256,36 +296,59 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = written(texts.mapInArrow(_scan(words), "doc_id long, mark long, n long, node long, shingle long, times long"), "sets")
     own = rows.filter("node is not null").select("doc_id", "mark", "n", "node")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows))
-    raw = texts.mapInArrow(_prefixes(words, percent, frequent), "shingle long, node long, n int, rank int")
+    raw = texts.mapInArrow(_prefixes(words, percent, frequent), "shingle long, node long, n int, rank int, end long")
     met = raw.repartition("shingle").sortWithinPartitions("shingle", "node", "rank")
     # a set that several tasks hold comes several times; its second row for a shingle goes
-    shared = written(met.mapInArrow(_shared, "shingle long, node long, n int, rank int, c long").dropDuplicates(["shingle", "node"]), "shared")
+    shared = written(met.mapInArrow(_shared, "shingle long, node long, n int, rank int, end long, c long").dropDuplicates(["shingle", "node"]), "shared")
     entries = written(adaptive(shared, percent), "prefixes")
 
-    pivots = entries.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    star = entries.join(pivots, "shingle").select("node", "n", F.explode(F.array("low", "high")).alias("p"))
-    star = star.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), "n", F.col("p.n").alias("m"))
-    star = written(star.filter((F.col("a") < F.col("b")) & _fits("n", "m", percent)).select("a", "b").distinct(), "pivot-pairs")
+    own_row = F.struct("node", "n", *AT)
+    # the most central member has the fewest shingles of its own: what near copies have in common links to it
+    shared_part = F.struct(((F.col("before") + F.col("behind") + 1) / (F.col("n") + _short("n", percent, F.lit(LONGEST)))).alias("part"), "node")
+    pivots = entries.groupBy("shingle").agg(F.min(own_row).alias("low"), F.max_by(own_row, shared_part).alias("high"))
+    star = entries.join(pivots, "shingle").select(*(F.col(c).alias(f"{c}1") for c in ("node", "n", *AT)), F.explode(F.array("low", "high")).alias("p"))
+    star = star.select("*", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("node", "n", *AT))).filter((F.col("node1") != F.col("node2")) & _may_link("1", "2", percent))
+    star = written(star.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "pivot-pairs")
     classes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
 
+    profiles = shared.groupBy("node").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.collect_list("shingle").alias("prefix"))
+    profiles = written(profiles, "profiles")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes share enough.
+
+        A shingle of the prefix that ends first is within the other prefix or not in the other set at all. So those that
+        the prefixes don't share are lost, and what is left must reach the overlap that the similarity asks for.
+        """
+        left, right = (profiles.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "end", "prefix"))) for x in "ab")
+        met = pairs.join(left, "a").join(right, "b").withColumn("m", F.size(F.array_intersect("prefix_a", "prefix_b")))
+
+        def enough(x: str):
+            return F.col("m") >= _short(f"n_{x}", percent, F.lit(LONGEST)) + _overlap("n_a", "n_b", percent)
+
+        ok = F.when(F.col("end_a") < F.col("end_b"), enough("a")).when(F.col("end_a") > F.col("end_b"), enough("b")).otherwise(enough("a") | enough("b"))
+        return written(met.filter(ok).select("a", "b"), "likely")
+
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = likely(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = broadcast_if_small(written(classes.join(ends, "node").select(F.col("first").alias("doc_id")).distinct(), "ends"), MOST_BROADCAST)
         chosen = texts.join(ids, "doc_id").unionByName(texts.filter("doc_id is null"))
-        sets = written(chosen.mapInArrow(_sets(words), "node long, set array<long>").dropDuplicates(["node"]), "end-sets")
+        sets = written(chosen.mapInArrow(_sets(words), "node long, set array<long>"), "end-sets")
         left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        return written(met.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b"), "links")
+        return written(met.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b").distinct(), "links")
 
     links = verified(star)
     roots = components(links)
     placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_ = placed.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("shingle")
     placed = written(placed.join(mixed_, "shingle", "left_semi"), "placed")
-    x, y = (placed.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "l", "root"))) for k in (1, 2))
+    x, y = (placed.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "l", *AT, "root"))) for k in (1, 2))
+    own_short = F.least(_short("n1", percent, F.col("l1")), _short("n2", percent, F.col("l2"))) + _overlap("n1", "n2", percent)
     pairs = (
-        x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _fits("n1", "n2", percent))
-        .groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("l1", "l2")).alias("ask"))
+        x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _may_link("1", "2", percent))
+        .groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("met"), F.max(F.greatest(F.least("l1", "l2"), own_short)).alias("ask"))
         .filter("met >= ask").select("a", "b").join(star, ["a", "b"], "left_anti")
     )
     more = verified(written(pairs, "pairs"))
@@ -326,3 +389,23 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir))
+
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY 1, 2
+"""

@@ -20,4 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_frequency": quality_rules.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op5_ngram_join": ngram_join.OP5_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
 }

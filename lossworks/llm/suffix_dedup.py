@@ -374,3 +374,27 @@ def known_copies(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)
+), m AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY 1
+), g AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN m USING (s) WHERE least < doc_id
+), r AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), sp AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY 1, 2
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+         string_agg(piece, '' ORDER BY a) AS front
+  FROM (SELECT sp.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY sp.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY sp.doc_id ORDER BY a), 0))) AS piece FROM sp JOIN d USING (doc_id)) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
