@@ -83,7 +83,7 @@ ln AS (
 
 
 def _header(name: str) -> str:
-    return "_".join(name.replace("﻿", "").strip().lower().split())
+    return "_".join(name.replace("\ufeff", "").strip().lower().split())
 
 
 def loss_run_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
