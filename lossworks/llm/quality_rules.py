@@ -72,8 +72,7 @@ def line_hash(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, host, text_hash``, the base figures, ``lines`` (hash and words of each line with a word) and
-    ``sketch`` (the smallest line hash: near copies of a document mostly share it)."""
+    """Per row: ``doc_id, host, text_hash``, the base figures and ``lines`` (hash and words of each line with a word)."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     line = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
@@ -97,20 +96,20 @@ def measured(docs: DataFrame) -> DataFrame:
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             line.alias("lines"),
         )
-        .withColumns({"n_words": F.col("f.n_words"), "n_repeat_words": F.col("f.n_repeat_words"), "sketch": F.array_min("lines.h")})
-        .select("doc_id", "host", "text_hash", *BASE, "lines", "sketch")
+        .withColumns({"n_words": F.col("f.n_words"), "n_repeat_words": F.col("f.n_repeat_words")})
+        .select("doc_id", "host", "text_hash", *BASE, "lines")
     )
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
     """``host, h`` of the lines above their host's limit.
 
-    Documents with one sketch count once, so that the copies of a document don't make its own lines boilerplate. Both
-    counts combine before they shuffle, and (host, line, sketch) spreads a line that every document has.
+    Documents are distinct texts, so that the exact copies of one don't make its own lines boilerplate. Both counts
+    combine before they shuffle, and (host, line, text) spreads a line that every document has.
     """
-    seen = rows.select("host", "sketch", F.explode("lines.h").alias("h")).distinct()
+    seen = rows.select("host", "text_hash", F.explode("lines.h").alias("h")).distinct()
     counts = seen.groupBy("host", "h").agg(F.count("*").alias("n"))
-    hosts = rows.filter("sketch is not null").select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    hosts = rows.filter(F.size("lines") > 0).select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     counts = counts.filter(F.col("n") > MIN_DOCS)
     hosts = hosts.withColumnRenamed("host", "_host")
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > F.col("docs") * MOST_DOCS).select("host", "h")
@@ -136,7 +135,7 @@ def judged(docs: DataFrame) -> DataFrame:
         .groupBy("row").agg(F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("boilerplate"))
     )
     return (
-        rows.drop("lines", "sketch").join(hit, "row", "left").drop("row")
+        rows.drop("lines").join(hit, "row", "left").drop("row")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= F.col("n_words") * MOST_REMOVED))

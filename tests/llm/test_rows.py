@@ -55,6 +55,17 @@ def test_quality_rules(spark):
     assert quality_rules.cleaned(frame(spark, rows)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_a_shared_line_counts_once_for_each_text(spark):
+    """A shared line with the smallest hash of all is in 30 of 30 texts, however many copies of one there are."""
+    shared = min((f"all pages {a}{b} carry this" for a in "abcdefghij" for b in "abcdefghij"), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    rows = [(i, f"{shared}\n{prose(random.Random(i), 40)}", "en", "hot", 0) for i in range(30)]
+    assert all(hashlib.md5(shared.encode()).hexdigest() < hashlib.md5(x.strip().lower().encode()).hexdigest() for r in rows for x in r[1].split("\n")[1:])
+    out = {r["doc_id"]: r for r in quality_rules.judged(frame(spark, rows)).collect()}
+    assert all(r["n_removed_words"] == 5 for r in out.values())
+    few = [*rows[:9], *((100 + i, rows[0][1], "en", "hot", 0) for i in range(30))]
+    assert all(r["n_removed_words"] == 0 for r in quality_rules.judged(frame(spark, few)).collect())
+
+
 def plain_targets(sizes, cap=3):
     """By rounds: share what is left by weight, fix whoever is above its cap, until none is."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
