@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lossworks.llm.common import documents
 
@@ -106,9 +107,15 @@ def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[t
 def read_media(media: bytes) -> dict:
     """Codec, duration, sample and keyframe byte ranges of a file's first track with samples; no payload is decoded."""
     data = memoryview(media)
-    at: dict[bytes, tuple[int, int]] = {}
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, start, end in walk(data, 0, len(data)):
-        at.setdefault(path[-1], (start, end))
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1].setdefault(path[-1], (start, end))
+    at = next((t for t in tracks if b"stsz" in t and struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0]), None)
+    if at is None:
+        raise ValueError("no track of the file has samples")
 
     def ints(kind: bytes, skip: int, width: str = ">u4") -> np.ndarray:
         start, end = at[kind]
@@ -145,7 +152,8 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_ms long, n_frames long, keyframes array<struct<offset:long,size:long>>"
+KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +166,31 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def feature(found: dict) -> str:
-    keys = found["keyframes"]
-    digest = hashlib.sha256(keys.astype(">u8").tobytes()).hexdigest()[:16]
-    return f"codec={found['codec'].strip()};ms={found['duration'] * 1000 // found['timescale']};frames={len(found['sizes'])};keyframes={len(keys)};first={keys[0][0]}+{keys[0][1]};last={keys[-1][0]}+{keys[-1][1]};ranges={digest}"
+def feature() -> Column:
+    """Codec, duration and keyframe ranges of a row of ``media_features`` in one string, the ranges as a digest."""
+    keys = F.col("keyframes")
+    digest = F.substring(F.sha2(F.unhex(F.array_join(F.transform(keys, lambda k: F.concat(F.lpad(F.hex(k["offset"]), 16, "0"), F.lpad(F.hex(k["size"]), 16, "0"))), "")), 256), 1, 16)
+
+    def span(k: Column) -> Column:
+        return F.concat_ws("+", k["offset"].cast("string"), k["size"].cast("string"))
+
+    return F.concat(
+        F.lit("codec="), F.trim("codec"), F.lit(";ms="), F.col("duration_ms").cast("string"), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";keyframes="), F.size(keys).cast("string"),
+        F.lit(";first="), span(F.get(keys, F.lit(0))), F.lit(";last="), span(F.get(keys, F.size(keys) - 1)), F.lit(";ranges="), digest,
+    )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+    names, kinds = zip(*(x.split() for x in FEATURES.split(", ")), strict=True)
+    kinds = [{"string": pa.string(), "long": pa.int64()}.get(k, KEYFRAMES) for k in kinds]
     for batch in batches:
         rows = []
         for doc, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             media = media.as_py()
             found = read_media(media)
             payload = samples(media, found)
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)))
+            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), found["codec"], found["duration"] * 1000 // found["timescale"], len(found["sizes"]), [{"offset": o, "size": n} for o, n in found["keyframes"].tolist()]))
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-        kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -187,9 +203,11 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of files, from the stored bytes alone."""
+    """Digests, codec, duration and the byte range of every keyframe of files, from the stored bytes alone."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, FEATURES)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return media_features(encode_media(documents(spark, sf_dir)))
+    """The features, with codec, duration and ranges as one string that engines without arrays can compare."""
+    out = media_features(encode_media(documents(spark, sf_dir)))
+    return out.withColumn("feature", feature()).drop("codec", "duration_ms", "n_frames", "keyframes")

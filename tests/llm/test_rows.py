@@ -196,6 +196,36 @@ def test_media_tables():
     assert [p[-1] for p, _, _ in media.walk(memoryview(stored), 0, len(stored)) if len(p) == 1] == [b"ftyp", b"mdat", b"moov"]
 
 
+def test_media_features_have_every_keyframe(spark):
+    rows = [(1, "x" * 576 * 100, "en", "s", 0), (2, "é", "en", "s", 0)]
+    encoded = media.encode_media(frame(spark, rows))
+    stored = {r["doc_id"]: bytes(r["media"]) for r in encoded.collect()}
+    features = media.media_features(encoded)
+    out = {r["doc_id"]: r for r in features.withColumn("feature", media.feature()).collect()}
+    assert (out[1]["codec"], out[1]["duration_ms"], out[1]["n_frames"], len(out[1]["keyframes"])) == ("raw ", 4000, 100, 9) and len(out[2]["keyframes"]) == 1
+    for doc, r in out.items():
+        keys = media.read_media(stored[doc])["keyframes"]
+        assert [tuple(k) for k in r["keyframes"]] == [tuple(k) for k in keys.tolist()]
+        digest = hashlib.sha256(keys.astype(">u8").tobytes()).hexdigest()[:16]
+        assert r["feature"] == f"codec=raw;ms={r['duration_ms']};frames={r['n_frames']};keyframes={len(keys)};first={keys[0][0]}+576;last={keys[-1][0]}+576;ranges={digest}"
+
+
+def test_media_tables_are_of_one_track():
+    """Before the video stand an empty track and none of its tables mix with the video's; a second track doesn't either."""
+    stored = media.write_media(bytes(576 * 30))
+    want = media.read_media(stored)
+    moov = stored.index(b"moov") - 4
+    trak = stored.index(b"trak", moov) - 4
+    empty = media.box(b"trak", media.box(b"mdia", media.full_box(b"mdhd", bytes(8) + b"\0\0\0\1" + bytes(8)), media.box(b"minf", media.box(b"stbl", media.full_box(b"stsd", bytes(4) + b"\0\0\0\x10mp4a"), media.full_box(b"stsz", bytes(8)), media.full_box(b"stco", bytes(4))))))
+    other = media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.full_box(b"co64", bytes(4))))))
+    for before, after in ((empty, b""), (empty, other)):
+        two = stored[:moov] + media.box(b"moov", stored[moov + 8 : trak], before, stored[trak:], after)
+        got = media.read_media(two)
+        assert got["codec"] == "raw " and got["duration"] == want["duration"] and np.array_equal(got["keyframes"], want["keyframes"])
+    with pytest.raises(ValueError, match="no track"):
+        media.read_media(media.box(b"moov", empty))
+
+
 URLS = [
     ("http://a.net/es/1", "net/es/", "block"), ("https://WWW.Example.com/en/x?q", "www.example.com/en/", "allow"), ("https://m.example.com/en/", "example.com/en/", "block"),
     ("https://m.example.com/en", "com/", "allow"), ("https://notexample.com/en/", "com/", "allow"), ("http://x.org/fr/", None, "allow"), (None, None, "allow"), ("no scheme", None, "allow"),
