@@ -24,7 +24,6 @@ BLOCK = "=block"
 MIN_SUPPORT = 0.001
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.8
-LONGEST = 4
 MOST_BROADCAST = 100_000
 
 
@@ -93,7 +92,7 @@ def mined_rules(urls: DataFrame, labels: DataFrame) -> DataFrame:
         return spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_COUNT / n), minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = (
-        model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= LONGEST))
+        model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
         .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
         .withColumn("rule_id", F.array_join("tokens", " "))
     )

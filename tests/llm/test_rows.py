@@ -258,6 +258,18 @@ def test_url_rules_are_mined(spark):
     assert not any(set(a["tokens"]) < set(b["tokens"]) for a in rules for b in rules)
 
 
+def test_url_rules_of_five_tokens(spark):
+    """Five path tokens together are bad; any four of them are as often good."""
+    steps = ["a", "b", "c", "d", "e"]
+    rows = [(i, f"http://x.org/{'/'.join(steps)}") for i in range(10)] + [(100 + i, f"http://x.org/{'/'.join(s for s in steps if s != steps[i % 5])}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "page_id long, bad int")
+    rules = urls.mined_rules(urls.tokens(urls.with_rule(urls.parts(pages))), labels).collect()
+    assert [(r["tokens"], r["confidence"]) for r in rules] == [([f"p:{s}" for s in steps], 1.0)]
+    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(pages, labels).collect()}
+    assert all(got[i] == ("block" if i < 100 else "allow") for i, _ in rows)
+
+
 def test_surrogates(spark):
     text = "Mail a.b7@mail2.example.com, call +1 (017) 555-7713. 4111 1111 1111 1111 or 10.20.30.40; a.b7@mail2.example.com"
     rows = [
