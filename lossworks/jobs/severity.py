@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lossworks.functions.numbers import finite
+from lossworks.functions.tables import written
 
 # The rational approximation 7.1.26 of the error function.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 LEAST, THIN, LEAST_EXACT, MOST_CENSORED = 10, 30, 5, 0.8
-MOST_VALUES = 2_000_000
 
 
 def normal_cdf(z: Column) -> Column:
@@ -63,83 +66,130 @@ def interpolated_ilf(table: DataFrame, limits: DataFrame) -> DataFrame:
     return out.select(F.col("_segment").alias("segment"), F.col("_limit").alias("limit"), F.exp(F.ln("f0") + t * (F.ln("f1") - F.ln("f0"))).alias("factor"))
 
 
-def _cdf(z: np.ndarray) -> np.ndarray:
-    t = 1 / (1 + ERF_P * np.abs(z) / np.sqrt(2))
-    tail = np.polyval([*ERF_A[::-1], 0.0], t) * np.exp(-z * z / 2) / 2
-    return np.where(z >= 0, 1 - tail, tail)
+def descent(start: np.ndarray, rounds: int = 200, least_gain: float = 0.0) -> Generator[list[np.ndarray], list[float], np.ndarray]:
+    """A minimum of a smooth function of two numbers, by damped Newton steps on central differences.
+
+    Yields lists of points and is sent the function's values there, so that many functions can be asked at once. A step
+    that promises less than ``least_gain`` of the value is the last and isn't tried: sums in changing order can't tell it.
+    """
 
+    def around(x: np.ndarray) -> list[np.ndarray]:
+        e = np.diag(1e-4 * np.maximum(1, np.abs(x)))
+        return [x, *(x + s for s in e), *(x - s for s in e), x + e[0] + e[1], x + e[0] - e[1], x - e[0] + e[1], x - e[0] - e[1]]
 
-def minimised(f, start: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """A minimum of a smooth function of two numbers: damped Newton steps on central differences."""
-    x, value, damp = np.asarray(start, dtype=float), f(start), 1e-3
+    x, damp = np.asarray(start, dtype=float), 1e-3
+    values = yield around(x)
     for _ in range(rounds):
+        value, up, down, (pp, pm, mp, mm) = values[0], values[1:3], values[3:5], values[5:]
         h = 1e-4 * np.maximum(1, np.abs(x))
-        e = np.diag(h)
-        up, down = [f(x + s) for s in e], [f(x - s) for s in e]
         g = np.array([(u - d) / (2 * k) for u, d, k in zip(up, down, h, strict=True)])
-        cross = (f(x + e[0] + e[1]) - f(x + e[0] - e[1]) - f(x - e[0] + e[1]) + f(x - e[0] - e[1])) / (4 * h[0] * h[1])
+        cross = (pp - pm - mp + mm) / (4 * h[0] * h[1])
         hess = np.array([[(up[0] - 2 * value + down[0]) / h[0] ** 2, cross], [cross, (up[1] - 2 * value + down[1]) / h[1] ** 2]])
         while damp < 1e12:
             w, v = np.linalg.eigh(hess)
             step = -v @ ((v.T @ g) / (np.maximum(np.abs(w), 1e-9) + damp * np.abs(w).max()))
-            if (new := f(x + step)) <= value:
+            if -(g @ step) < 2 * least_gain * max(1, abs(value)):
+                return x + step
+            values = yield around(x + step)
+            if values[0] <= value:
                 break
             damp *= 4
         else:
             return x
         moved, x, damp = np.abs(step).max(), x + step, max(damp / 8, 1e-12)
-        gained, value = value - new, new
-        if moved < 1e-9 or gained < 1e-12 * max(1, abs(value)):
+        if moved < 1e-9 or value - values[0] < 1e-12 * max(1, abs(value)):
             return x
     return x
 
 
-def fit_severity(observations: DataFrame, kind: str, most_values: int = MOST_VALUES) -> DataFrame:
+def minimised(f, start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The minimum that ``descent`` finds of ``f``."""
+    steps = descent(start, rounds)
+    points = next(steps)
+    while True:
+        try:
+            points = steps.send([f(p) for p in points])
+        except StopIteration as found:
+            return found.value
+
+
+def _summed(kind: str, rows: DataFrame, asked: dict) -> dict:
+    """Per segment of ``asked`` (segment: points) the sums over ``rows`` of the log-likelihood terms at each point.
+
+    Of a lognormal only the open claims: its closed ones need no more than their two sums.
+    """
+    segments, places, first, second = zip(*((s, k, p[0], p[1]) for s, ps in asked.items() for k, p in enumerate(ps)), strict=True)
+    first, second = np.array(first), np.array(second)
+    columns = [pa.array(segments, to_arrow_type(rows.schema["segment"].dataType)), pa.array(places, pa.int32()), first, second if kind == "pareto" else np.exp(-second), np.exp(first)]
+    at = F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns, names=["_segment", "k", "a", "b", "theta"])))
+    if kind == "lognormal":
+        rows = rows.filter("censored")
+        term = F.ln(F.greatest(1 - normal_cdf((F.ln("value") - F.col("a")) * F.col("b")), F.lit(1e-300)))
+    else:
+        log = F.log1p(F.col("value") / F.col("theta"))  # ln(value + theta) less ln(theta): exact for a large theta too
+        term = F.when(F.col("censored"), -F.exp("b") * log).otherwise(F.col("b") - F.col("a") - (F.exp("b") + 1) * log)
+    out = rows.join(at, F.col("segment").eqNullSafe(F.col("_segment"))).groupBy("_segment", "k").agg(F.sum(F.col("w") * term).alias("v")).collect()
+    sums = {(r["_segment"], r["k"]): r["v"] for r in out}
+    return {s: [sums.get((s, k), 0.0) for k in range(len(ps))] for s, ps in asked.items()}
+
+
+def fit_severity(observations: DataFrame, kind: str) -> DataFrame:
     """``segment, kind, p1, p2, log_likelihood, n_exact, n_censored, n_excluded, valid, message`` by censored likelihood.
 
-    Observations are counted per distinct value first, so a task holds a segment's distinct values, not its claims;
-    a segment with more than ``most_values`` of them is reported instead of fitted. Too few observations, too few closed
-    ones, too many open ones, and implausible parameters make a fit invalid.
+    Observations are counted per distinct value and written; they stay partitioned, whatever a segment's size. Each step of
+    the optimiser is one aggregate for all segments, of which the driver holds two parameters and a few sums each. Too few
+    observations, too few closed ones, too many open ones, and implausible parameters make a fit invalid.
     """
+    spark = observations.sparkSession
     good = finite("value") > 0
     excluded = observations.groupBy("segment").agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("n_excluded"))
-    counted = observations.filter(good).groupBy("segment", "censored", finite("value").alias("value")).agg(F.count("*").cast("double").alias("w"))
-    sizes = counted.groupBy("segment").agg(F.count("*").alias("n"))
-    rows = counted.join(sizes.filter(F.col("n") <= most_values).select("segment"), "segment", "left_semi")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, w, c = frame["value"].to_numpy(), frame["w"].to_numpy(), frame["censored"].to_numpy(dtype=bool)
-        xe, we, xc, wc = x[~c], w[~c], x[c], w[c]
-        n, ne = w.sum(), we.sum()
-        out = {"segment": frame["segment"].iloc[0], "kind": kind, "p1": None, "p2": None, "log_likelihood": None, "n_exact": int(ne), "n_censored": int(n - ne), "valid": False, "message": None}
+    rows = written(observations.filter(good).groupBy("segment", "censored", finite("value").alias("value")).agg(F.count("*").cast("double").alias("w")), "severities")
+    schema = f"segment {rows.schema['segment'].dataType.simpleString()}"
+    exact = F.when(~F.col("censored"), F.col("w")).otherwise(0.0)
+    log = F.ln("value")
+    sums = rows.groupBy("segment").agg(F.sum("w").alias("n"), F.sum(exact).alias("ne"), F.sum(exact * F.col("value")).alias("s0"), F.sum(exact * log).alias("s1"), F.sum(exact * log * log).alias("s2")).collect()
+    sums = {r["segment"]: r for r in sums}
+
+    def closed(r, p: np.ndarray) -> float:
+        if kind != "lognormal":
+            return 0.0
+        return -r["s1"] - r["ne"] * (p[1] + 0.5 * np.log(2 * np.pi)) - (r["s2"] - 2 * p[0] * r["s1"] + r["ne"] * p[0] ** 2) / (2 * np.exp(p[1]) ** 2)
+
+    def losses(asked: dict) -> dict:
+        open_ = _summed(kind, rows, asked)
+        return {s: [-(closed(sums[s], p) + v) for p, v in zip(ps, open_[s], strict=True)] for s, ps in asked.items()}
+
+    running, asked, best = {}, {}, {}
+    for s, r in sums.items():
+        n, ne = r["n"], r["ne"]
         if n < LEAST or ne < LEAST_EXACT or (n - ne) / n > MOST_CENSORED:
-            return pd.DataFrame([out | {"message": "too few observations, or too few of them closed"}])
-        logs = np.log(xe)
-        if kind == "lognormal":
-            s1, s2 = (we * logs).sum(), (we * logs**2).sum()
-
-            def loss(p):
-                mu, sigma = p[0], np.exp(p[1])
-                exact = -s1 - ne * (p[1] + 0.5 * np.log(2 * np.pi)) - (s2 - 2 * mu * s1 + ne * mu * mu) / (2 * sigma**2)
-                return -(exact + (wc * np.log(np.maximum(1 - _cdf((np.log(xc) - mu) / sigma), 1e-300))).sum())
-
-            mean = s1 / ne
-            best = minimised(loss, np.array([mean, 0.5 * np.log(max(1e-6, s2 / ne - mean**2))]))
-            p1, p2 = best[0], np.exp(best[1])
-            fine = 1e-6 <= p2 <= 3.5
-        else:
-
-            def loss(p):
-                theta, alpha = np.exp(p)
-                return -((we * (p[1] + alpha * p[0] - (alpha + 1) * np.log(xe + theta))).sum() + (wc * alpha * (p[0] - np.log(xc + theta))).sum())
-
-            best = minimised(loss, np.log([(we * xe).sum() / ne, 2.0]))
-            p1, p2 = np.exp(best)
-            fine = p2 > 1
-        fine = bool(fine and np.isfinite(loss(best)))
+            continue
+        mean = r["s1"] / ne
+        start = np.array([mean, 0.5 * np.log(max(1e-6, r["s2"] / ne - mean**2))]) if kind == "lognormal" else np.log([r["s0"] / ne, 2.0])
+        running[s] = descent(start, least_gain=1e-12)
+        asked[s] = next(running[s])
+    while asked:
+        values, left = losses(asked), {}
+        for s in asked:
+            try:
+                left[s] = running[s].send(values[s])
+            except StopIteration as found:
+                best[s] = found.value
+        asked = left
+    loss = losses({s: [p] for s, p in best.items()}) if best else {}
+    fits = []
+    for s, r in sums.items():
+        n, ne = int(r["n"]), int(r["ne"])
+        if s not in best:
+            fits.append((s, None, None, None, ne, n - ne, False, "too few observations, or too few of them closed"))
+            continue
+        p1, p2 = (best[s][0], np.exp(best[s][1])) if kind == "lognormal" else np.exp(best[s])
+        fine = bool((1e-6 <= p2 <= 3.5 if kind == "lognormal" else p2 > 1) and np.isfinite(loss[s][0]))
         said = None if fine else "the fitted tail is not usable"
-        return pd.DataFrame([out | {"p1": float(p1), "p2": float(p2), "log_likelihood": float(-loss(best)), "valid": fine, "message": said or ("few observations" if n < THIN else None)}])
-
-    fits = rows.groupBy("segment").applyInPandas(run, "segment string, kind string, p1 double, p2 double, log_likelihood double, n_exact long, n_censored long, valid boolean, message string")
-    out = excluded.join(fits, "segment", "left").withColumn("kind", F.lit(kind)).withColumn("valid", F.coalesce("valid", F.lit(False)))
-    return out.withColumn("message", F.when(F.col("n_exact").isNull(), F.coalesce("message", F.lit("no usable observation, or too many distinct ones"))).otherwise(F.col("message")))
+        fits.append((s, float(p1), float(p2), float(-loss[s][0]), ne, n - ne, fine, said or ("few observations" if n < THIN else None)))
+    fits = spark.createDataFrame(fits, f"{schema}, p1 double, p2 double, log_likelihood double, n_exact long, n_censored long, valid boolean, message string")
+    fits = fits.withColumnRenamed("segment", "_segment")
+    out = excluded.join(fits, F.col("segment").eqNullSafe(F.col("_segment")), "left").select(
+        "segment", "n_excluded", F.lit(kind).alias("kind"), "p1", "p2", "log_likelihood", "n_exact", "n_censored", F.coalesce("valid", F.lit(False)).alias("valid"), "message"
+    )
+    return out.withColumn("message", F.when(F.col("n_exact").isNull(), F.lit("no usable observation")).otherwise(F.col("message")))

@@ -50,6 +50,17 @@ def test_severity_fit_recovers_the_parameters(spark):
     assert (fit["p"]["p1"], fit["p"]["p2"]) == (pytest.approx(20000, rel=0.25), pytest.approx(2.5, rel=0.2))
 
 
+def test_severity_fit_has_no_most_values(spark):
+    """Over two million distinct values in a segment, spread over the quantiles of each distribution."""
+    n = 2_100_000
+    u = (F.col("id") + 0.5) / n
+    df = spark.range(n).select(F.lit("s").alias("segment"), (20000 * (F.pow(1 - u, F.lit(-1 / 2.5)) - 1)).alias("value"), F.lit(False).alias("censored"))
+    [fit] = severity.fit_severity(df, "pareto").collect()
+    assert fit["valid"] and fit["n_exact"] == n and (fit["p1"], fit["p2"]) == (pytest.approx(20000, rel=0.01), pytest.approx(2.5, rel=0.01))
+    [fit] = severity.fit_severity(df, "lognormal").collect()
+    assert fit["valid"] and fit["n_exact"] == n
+
+
 def test_limited_expected_values(spark):
     rng = np.random.default_rng(5)
     draws = {"lognormal": np.exp(rng.normal(8, 1, 400_000)), "pareto": 5000 * (rng.random(400_000) ** (-1 / 3) - 1)}
