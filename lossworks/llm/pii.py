@@ -27,6 +27,8 @@ CYRILLIC = ("ба", "бел", "вар", "да", "дел", "га", "ган", "ж
 ENDINGS = {"given_m": ("n", "rd", "s", "l"), "given_f": ("na", "lia", "ra", "sa"), "surname": ("man", "son", "ler", "ner")}
 ENDINGS_CYRILLIC = {"given_m": ("н", "р", "с", "л"), "given_f": ("на", "лия", "ра", "са"), "surname": ("ов", "ин", "ко", "ев")}
 
+MALE, FEMALE = (tuple(dict.fromkeys((*titles, *(t.upper() for t in titles)))) for titles in (MALE, FEMALE))
+
 TITLE = "|".join(MALE + FEMALE)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they claim a match; each stands by itself within the text.
@@ -38,7 +40,7 @@ KINDS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}|AKIA[0-9A-Z]{16}|(?:gh[pousr]|GH[POUSR])_[A-Za-z0-9]{36}|(?:sk|SK)-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "name": rf"(?<!\w)(?:{TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})",
 }
 MASTER = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -96,7 +98,10 @@ def _letters(secret: Column, c: Column, i: Column) -> Column:
 
 
 def _hex(secret: Column, value: Column) -> Column:
-    return _each(value, lambda c, i: F.when(c.rlike("^[0-9a-f]$"), _pick(secret, i, "0123456789abcdef")).when(c.rlike("^[A-F]$"), _pick(secret, i, "ABCDEF")).otherwise(c))
+    def made(letters: str) -> Column:
+        return _each(value, lambda c, i: F.when(c.rlike(f"^[0-9{letters}]$"), _pick(secret, i, "0123456789" + letters)).when(c.rlike("^[A-F]$"), _pick(secret, i, "ABCDEF")).otherwise(c))
+
+    return F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), made("ABCDEF")).otherwise(made("abcdef"))
 
 
 def luhn(value: Column) -> Column:
@@ -153,7 +158,7 @@ def surrogate(kind: Column, value: Column, nonce: Column, key: str = KEY) -> Col
         phone = F.concat(code, _each(F.substring(value, F.length(code) + 1, F.length(value)), lambda c, i: _letters(s, c, i)))
         iban = F.concat(F.substring(value, 1, 2), _each(F.substring(value, F.lit(3), F.length(value)), lambda c, i: _letters(s, c, i)))
         ssn = F.concat(_pick(s, F.lit(-1), "12345678"), F.substring(whole, F.lit(2), F.length(value)))
-        prefix = F.regexp_extract(value, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
+        prefix = F.regexp_extract(value, r"^(?:AKIA|(?:gh[pousr]|GH[POUSR])_|(?:sk|SK)-)", 0)
         secret_ = F.when(prefix == "", _hex(s, value)).otherwise(
             F.concat(prefix, _each(F.substring(value, F.length(prefix) + 1, F.length(value)), lambda c, i: _letters(s, c, i)))
         )

@@ -296,6 +296,16 @@ def test_surrogates(spark):
     assert pii.replaced(frame(spark, [])).count() == 0
 
 
+def test_surrogates_in_upper_case(spark):
+    """Whatever is found in a text is found in the text in upper case, and its surrogate is in upper case."""
+    text = "token = '9233a8ecf7c5b09fe5949719b6b82bc439e9329b' of mrs Smith; ghp_" + "a1" * 18 + "; sk-" + "b2" * 12 + "; 9a:bb:cc:dd:ee:f1; Señora López."
+    out = pii.replaced(frame(spark, [(1, text.upper(), "en", "s", 0)])).collect()[0]
+    got = out["text"]
+    assert out["n_entities"] == 6 and got == got.upper()
+    assert not any(x in got for x in ("9233A8EC", "SMITH", "A1A1", "B2B2", "9A:BB", "LÓPEZ"))
+    assert re.search(r"TOKEN = '[0-9A-F]{40}' OF MRS [A-Z]+; GHP_[A-Z0-9]{36}; SK-[A-Z0-9]{24}; ", got)
+
+
 def test_surrogates_stay_distinct_in_a_tight_format(spark):
     """All 99 x 9 addresses of a narrow format: first draws meet, later ones don't."""
     values = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(10, 60)]
