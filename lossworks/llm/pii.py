@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from lossworks.llm.common import broadcast_if_small, documents, let, text_or_empty, written
 
 KEY = "surrogates-1"
-ROUNDS = 24
+#: From this round on draws come from a wider space of the same type, wider each round.
+WIDEN = 4
+#: So many rounds in a row without a single new replacement mean that a format of fixed size is full.
+BARREN = 32
 MOST_BROADCAST = 200_000
 
 # Titles before names, by gender and script.
@@ -123,7 +126,7 @@ def _card(secret: Column, value: Column) -> Column:
     return F.when(luhn(value) == 0, fitted).otherwise(drawn)
 
 
-def _ip(secret: Column, value: Column, nonce: Column) -> Column:
+def _ip(secret: Column, value: Column, nonce: int) -> Column:
     """Octets of as many digits; of any number of digits once several draws have met others."""
 
     def octet(o: Column, i: Column) -> Column:
@@ -132,30 +135,44 @@ def _ip(secret: Column, value: Column, nonce: Column) -> Column:
         own = (
             F.when(F.length(o) == 1, F.pmod(h, F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(h, F.lit(90)) + 10).otherwise(F.pmod(h, F.lit(155)) + 100)
         ).cast("string")
-        return F.when(nonce > 3, wide).otherwise(own)
+        return wide if nonce >= WIDEN else own
 
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
-def _name(secret: Column, value: Column, kind: str) -> Column:
+def _name(secret: Column, value: Column, kind: str, more: int) -> Column:
+    """A name of three syllables and ``more``, and an ending."""
+
     def made(syllables: tuple[str, ...], endings: dict) -> Column:
-        parts = [_pick(secret, F.lit(k), syllables) for k in range(3)] + [_pick(secret, F.lit(9), endings[kind])]
+        parts = [_pick(secret, F.lit(k), syllables) for k in range(3)] + [_pick(secret, F.lit(100 + k), syllables) for k in range(more)] + [_pick(secret, F.lit(9), endings[kind])]
         return F.initcap(F.concat(*parts))
 
     name = F.when(value.rlike(r"\p{IsCyrillic}"), made(CYRILLIC, ENDINGS_CYRILLIC)).otherwise(made(LATIN, ENDINGS))
     return F.when(value == F.upper(value), F.upper(name)).otherwise(name)
 
 
-def surrogate(kind: Column, value: Column, nonce: Column, key: str = KEY) -> Column:
-    """The replacement that ``key`` and ``nonce`` draw for an entity, in the entity's format."""
-    secret = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, nonce.cast("string"), value), 256)
+def surrogate(kind: Column, value: Column, nonce: int, key: str = KEY) -> Column:
+    """The replacement that ``key`` and ``nonce`` draw for an entity, in the entity's format.
+
+    After some rounds an address gets a longer local part, a name more syllables, an international number more digits.
+    """
+    secret = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, F.lit(str(nonce)), value), 256)
+    more = max(0, nonce - WIDEN + 1)
 
     def drawn(s: Column) -> Column:
         whole = _each(value, lambda c, i: _letters(s, c, i))
         last = F.regexp_extract(value, r"\.[^.]*$", 0)  # an address keeps its top-level domain
         email = F.concat(_each(F.substring(value, F.lit(1), F.length(value) - F.length(last)), lambda c, i: _letters(s, c, i)), last)
+        if more:
+            local = F.repeat(F.lit("a"), F.least(F.lit(64), F.instr(value, "@") - 1 + more))
+            domain = F.substring(email, F.instr(value, "@"), F.length(value))
+            email = F.concat(_each(local, lambda c, i: _letters(s, c, i + 1000)), domain)
         code = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)", 0)  # a number keeps its country code
         phone = F.concat(code, _each(F.substring(value, F.length(code) + 1, F.length(value)), lambda c, i: _letters(s, c, i)))
+        if more:  # up to twelve digits, which four to a group always leave a number
+            room = F.lit(12) - F.length(F.regexp_replace(value, "[^0-9]", ""))
+            added = F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(F.lit(more), room)))
+            phone = F.when(value.rlike(r"^\+[0-9 .-]+$"), F.concat(phone, _each(added, lambda c, i: _letters(s, c, i + 1000)))).otherwise(phone)
         iban = F.concat(F.substring(value, 1, 2), _each(F.substring(value, F.lit(3), F.length(value)), lambda c, i: _letters(s, c, i)))
         ssn = F.concat(_pick(s, F.lit(-1), "12345678"), F.substring(whole, F.lit(2), F.length(value)))
         prefix = F.regexp_extract(value, r"^(?:AKIA|(?:gh[pousr]|GH[POUSR])_|(?:sk|SK)-)", 0)
@@ -165,7 +182,7 @@ def surrogate(kind: Column, value: Column, nonce: Column, key: str = KEY) -> Col
         out = F.when(kind == "email", email).when(kind == "ip", _ip(s, value, nonce)).when(kind == "phone", phone).when(kind == "card", _card(s, value))
         out = out.when(kind == "iban", iban).when(kind == "ssn", ssn).when(kind == "secret", secret_).when(kind == "mac", _hex(s, value))
         for name in ENDINGS:
-            out = out.when(kind == name, _name(s, value, name))
+            out = out.when(kind == name, _name(s, value, name, more))
         return out.otherwise(whole)
 
     return let(secret, drawn)
@@ -175,13 +192,13 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, value, surrogate`` for distinct ``kind, value``, with no two alike and none a real entity.
 
     Each round draws for those still without one. Of several that drew the same the smallest value keeps it; it is drawn
-    again if a real entity has it or an earlier round gave it away. Rounds go on until none is left (``ROUNDS`` at most;
-    what a format has no room for then fails loudly).
+    again if a real entity has it or an earlier round gave it away. Rounds go on until none is left, from ever wider
+    spaces; only a format of fixed size (an IP address, a social-security number) that is full fails, and loudly.
     """
     real = written(entities.select("kind", "value").distinct(), "entities")
-    left, given = real, None
-    for nonce in range(ROUNDS):
-        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(nonce), key))
+    left, given, nonce, barren = real, None, 0, 0
+    while barren < BARREN:
+        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), nonce, key))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         taken = real.select("kind", F.col("value").alias("surrogate"))
         taken = taken if given is None else taken.unionByName(given.select("kind", "surrogate"))
@@ -190,6 +207,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         left = written(left.join(got.select("kind", "value"), ["kind", "value"], "left_anti"), "undrawn")
         if left.isEmpty():
             return given
+        nonce, barren = nonce + 1, barren + 1 if got.isEmpty() else 0
     raise ValueError("a format has more entities than distinct replacements")
 
 

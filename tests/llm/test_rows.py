@@ -296,6 +296,18 @@ def test_surrogates(spark):
     assert pii.replaced(frame(spark, [])).count() == 0
 
 
+def test_surrogates_never_run_out(spark, monkeypatch):
+    """More entities than their first formats have strings: all 676 addresses of one letter each, 60 names of 32, short numbers."""
+    monkeypatch.setattr(pii, "LATIN", ("ba", "bel"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("surname", f"Na{a}{b}") for a in letters[:6] for b in letters[:10]] + [("phone", f"+1 {n // 100:02d} {n % 100:02d}") for n in range(10_000)]
+    out = pii.surrogates(spark.createDataFrame(values, "kind string, value string")).collect()
+    assert sorted((r["kind"], r["value"]) for r in out) == sorted(values)
+    assert len({(r["kind"], r["surrogate"]) for r in out}) == len(values) and not {(r["kind"], r["surrogate"]) for r in out} & set(values)
+    assert all(re.fullmatch(r"[a-z]{1,64}@[a-z]\.com", r["surrogate"]) for r in out if r["kind"] == "email")
+    assert all(re.fullmatch(r"\+1 \d\d(?:[ .-]?\d{2,4}){1,4}", r["surrogate"]) for r in out if r["kind"] == "phone")
+
+
 def test_surrogates_in_upper_case(spark):
     """Whatever is found in a text is found in the text in upper case, and its surrogate is in upper case."""
     text = "token = '9233a8ecf7c5b09fe5949719b6b82bc439e9329b' of mrs Smith; ghp_" + "a1" * 18 + "; sk-" + "b2" * 12 + "; 9a:bb:cc:dd:ee:f1; Señora López."
