@@ -6,8 +6,10 @@ lengthened while that lowers its estimated candidate cost, and a pair is verifie
 shingles as the shorter lengthening of the two allows to ask for.
 
 Equal sets are one class from the start. Every shingle's members are first verified against two of them (its pivots), so
-that a group of near copies becomes one component from linearly many pairs; then all candidate pairs whose ends are still
-in different components are verified. A pair left out joins two documents that are linked already, so components are exact.
+that a group of near copies becomes one component from linearly many pairs; then the candidate pairs whose ends are still
+in different components are verified. These meet only where the shingle can be the first they share and the sketches of
+their prefixes leave room for all that must be shared, so members of a group that don't link don't pair up either. A pair
+left out joins two documents that are linked already or can't link, so components are exact.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ WORDS, PERCENT = 3, 90
 MOST_FREQUENT = 1 << 20
 #: Columns that say where a shingle stands in its document's order.
 AT = ("rank", "before", "behind")
+#: Columns of 64 bits each that sketch a document's prefix: every shingle that other documents have too sets one bit.
+SKETCH = tuple(f"bits{k}" for k in range(4))
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
 COUNTED = 4_000_000  # shingles that one task counts at a time
 REMEMBERED = 500_000
@@ -225,7 +229,8 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def adaptive(entries: DataFrame, percent: int) -> DataFrame:
     """``entries`` within each document's chosen prefix, with ``l``, the shared shingles it lets a pair be asked for,
-    and of the shingles that any other document's longest prefix has too the number ``before`` and ``behind`` this one.
+    of the shingles that any other document's longest prefix has too the number ``before`` and ``behind`` this one, and
+    their sketch.
 
     Asking for l costs reading the lists of the prefix lengthened to l, and verifying at most 1/l as many candidates as
     those lists have entries; a verification costs in proportion to the set's size.
@@ -240,7 +245,10 @@ def adaptive(entries: DataFrame, percent: int) -> DataFrame:
         costs.append(F.when(F.lit(length) <= needed, F.struct(cost.alias("cost"), F.lit(length).alias("l"))))
     chosen = entries.withColumn("l", F.array_min(F.filter(F.array(*costs), lambda c: c.isNotNull()))["l"])
     chosen = chosen.withColumn("before", F.row_number().over(own.orderBy("rank")) - 1).withColumn("behind", F.count("*").over(own) - 1 - F.col("before"))
-    return chosen.filter(F.col("rank") < base + F.col("l") - 1).select("shingle", "node", "n", "l", *AT)
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    word = F.shiftright("shingle", 6).bitwiseAND(len(SKETCH) - 1)
+    chosen = chosen.withColumns({c: F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).over(own) for k, c in enumerate(SKETCH)})
+    return chosen.filter(F.col("rank") < base + F.col("l") - 1).select("shingle", "node", "n", "l", *AT, *SKETCH)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,6 +294,24 @@ def _may_link(a: str, b: str, percent: int):
     return near & room & (F.least(b1, b2) + 1 + F.least(h1, h2) >= longest + need)
 
 
+def _may_be_first(a: str, b: str, percent: int):
+    """What a shared shingle tells of two documents if it is the first one they share, with ``SKETCH`` besides.
+
+    Every pair has such a shingle, within the prefixes of both, so that all others need not bring the two together. None
+    of the overlap lies before it; and a bit that only one of the sketches has stands for a shingle that isn't shared.
+    """
+    n1, n2, r1, r2, b1, b2, h1, h2 = (F.col(f"{c}{k}") for c in ("n", *AT) for k in (a, b))
+    need = _overlap(f"n{a}", f"n{b}", percent)
+    ask = need + F.least(_short(f"n{a}", percent, F.lit(LONGEST)), _short(f"n{b}", percent, F.lit(LONGEST)))
+
+    def shared_at_most(x: str, y: str, held: Column) -> Column:
+        return held - sum(F.bit_count(F.col(f"{c}{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}{y}")))) for c in SKETCH)
+
+    near = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    room = F.least(n1 - r1, n2 - r2) >= need
+    return near & room & (F.least(h1, h2) + 1 >= ask) & (shared_at_most(a, b, b1 + h1 + 1) >= ask) & (shared_at_most(b, a, b2 + h2 + 1) >= ask)
+
+
 def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id``, ``mark`` (a hash of the text), ``n``, ``root`` and ``component_id``.
 
@@ -344,13 +370,9 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_ = placed.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("shingle")
     placed = written(placed.join(mixed_, "shingle", "left_semi"), "placed")
-    x, y = (placed.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "l", *AT, "root"))) for k in (1, 2))
-    own_short = F.least(_short("n1", percent, F.col("l1")), _short("n2", percent, F.col("l2"))) + _overlap("n1", "n2", percent)
-    pairs = (
-        x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _may_link("1", "2", percent))
-        .groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("met"), F.max(F.greatest(F.least("l1", "l2"), own_short)).alias("ask"))
-        .filter("met >= ask").select("a", "b").join(star, ["a", "b"], "left_anti")
-    )
+    x, y = (placed.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", *AT, *SKETCH, "root"))) for k in (1, 2))
+    met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & _may_be_first("1", "2", percent))
+    pairs = met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verified(written(pairs, "pairs"))
     roots = components(links.unionByName(more)).withColumnRenamed("node", "_node")
 

@@ -69,6 +69,35 @@ def test_ngram_join(spark, k, percent):
     assert count((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == count((r[0], len(s), c) for r, s, c in zip(rows, sets, want, strict=True))
 
 
+def test_ngram_join_of_a_large_clump(spark):
+    """2,000 near copies of one text, half of them too far from all others: components by matrices."""
+    import numpy as np
+
+    rng = random.Random(12)
+    base, rows = prose(rng, 150).split(), []
+    for i in range(2000):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randrange(9)):
+            own[at] = f"edit{rng.randrange(10_000)}"
+        rows.append((i, " ".join(own), "en", "s", 0))
+    sets = [shingle_set(r[1], 5) for r in rows]
+    place = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[x] for x in s]] = 1
+    met = held @ held.T
+    n = held.sum(axis=1)
+    link, least = 100 * met >= 80 * (n[:, None] + n[None, :] - met), np.arange(len(rows))
+    while True:
+        new = np.where(link, least[None, :], len(rows)).min(axis=1)
+        if np.array_equal(new, least):
+            break
+        least = new
+    assert 200 < len(set(least.tolist())) < 1800
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(frame(spark, rows), 5, 80).collect()}
+    assert got == dict(enumerate(least.tolist()))
+
+
 def test_ngram_join_does_not_depend_on_the_order(spark, monkeypatch):
     """Any list of frequent shingles gives the same links."""
     rng = random.Random(6)
