@@ -1,13 +1,14 @@
-"""Helpers that several corpus operators share: column names, words, written intermediate tables."""
+"""Helpers that several corpus operators share: words, column names, written and broadcast tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossworks.functions.tables import shared_dir, written
+
+__all__ = ["broadcast_if_small", "documents", "let", "n_words", "shared_dir", "small_enough", "text_or_empty", "unused", "words_of", "written"]
+
 #: A word is a maximal run of anything but blank and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -36,36 +37,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset a local master gets a temporary folder of its own; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before each as it takes to clash with none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
 
-    Cuts the lineage: later steps read the files, whichever executors are lost meanwhile.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The most bytes that are broadcast, by a sum over the table itself.
+MOST_BYTES = 16 << 20
 
 
-def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most so many rows; reads no more than one row beyond."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def small_enough(df: DataFrame, most_bytes: int) -> bool:
+    """Whether the rows of ``df`` take at most so many bytes: lengths of strings and binaries, 16 for any other value."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    row = sum(((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if k in ("string", "binary") else F.lit(16)) for c, k in kinds.items()), F.lit(16))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most_bytes
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint where a count of the rows proves the size; else the join shuffles."""
-    return F.broadcast(df) if small_enough(df, most_rows) else df
+def broadcast_if_small(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """A broadcast hint where a sum over the rows proves the size; else the join shuffles. ``df`` is a written table."""
+    return F.broadcast(df) if small_enough(df, MOST_BYTES if most_bytes is None else most_bytes) else df

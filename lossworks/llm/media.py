@@ -104,37 +104,93 @@ def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[t
         start = stop
 
 
-def read_media(media: bytes) -> dict:
-    """Codec, duration, sample and keyframe byte ranges of a file's first track with samples; no payload is decoded."""
-    data = memoryview(media)
-    tracks: list[dict[bytes, tuple[int, int]]] = []
+class Unreadable(ValueError):
+    """A file without a complete sample table; the message says what is missing."""
+
+
+def tracks(data: memoryview) -> list[dict[bytes, tuple[int, int]]]:
+    """Each track's boxes by kind, the first of a kind within its track, as (body start, body end)."""
+    out: list[dict[bytes, tuple[int, int]]] = []
     for path, start, end in walk(data, 0, len(data)):
         if path[-1] == b"trak":
-            tracks.append({})
+            out.append({})
         elif b"trak" in path:
-            tracks[-1].setdefault(path[-1], (start, end))
-    at = next((t for t in tracks if b"stsz" in t and struct.unpack_from(">I", data, t[b"stsz"][0] + 8)[0]), None)
-    if at is None:
-        raise ValueError("no track of the file has samples")
+            out[-1].setdefault(path[-1], (start, end))
+    return out
+
+
+def sample_sizes(data: memoryview, at: dict) -> np.ndarray:
+    """The size of every sample, from ``stsz`` or the compact ``stz2`` (4, 8 or 16 bits each)."""
+    if b"stsz" in at:
+        start, end = at[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data[start:end], 4)
+        sizes = np.full(n, fixed, dtype=np.int64) if fixed else np.frombuffer(data[start + 12 : start + 12 + 4 * n], dtype=">u4").astype(np.int64)
+    elif b"stz2" in at:
+        start, end = at[b"stz2"]
+        bits, n = struct.unpack_from(">II", data[start:end], 4)
+        raw = np.frombuffer(data[start + 12 : end], dtype=np.uint8)
+        sizes = (
+            np.stack((raw >> 4, raw & 15), axis=1).ravel() if bits & 255 == 4 else raw[: len(raw) // 2 * 2].view(">u2") if bits & 255 == 16 else raw
+        ).astype(np.int64)[:n]
+    else:
+        return np.empty(0, dtype=np.int64)
+    if len(sizes) != n:
+        raise Unreadable("the table of sample sizes is cut off")
+    return sizes
+
+
+def read_media(media: bytes) -> dict:
+    """Codec, durations, sample and keyframe byte ranges of a file's first track with samples; no payload is decoded.
 
-    def ints(kind: bytes, skip: int, width: str = ">u4") -> np.ndarray:
+    Tables never mix between tracks. ``duration`` is the sum of the samples' own durations (``stts``), or what ``mdhd``
+    says where that table is missing. Files without such a track (empty, foreign, cut off before ``moov``, or with their
+    samples in fragments, which have no sample table) raise ``Unreadable``.
+    """
+    data = memoryview(media)
+    try:
+        for at in tracks(data):
+            if len(sizes := sample_sizes(data, at)):
+                return _track(data, at, sizes)
+    except (struct.error, KeyError, IndexError, ZeroDivisionError) as e:
+        raise Unreadable(f"a box is missing or cut off: {e}") from e
+    raise Unreadable("no track of the file has samples")
+
+
+def _track(data: memoryview, at: dict, sizes: np.ndarray) -> dict:
+    def ints(kind: bytes, width: str = ">u4", columns: int = 1) -> np.ndarray:
         start, end = at[kind]
-        return np.frombuffer(data[start + skip : end], dtype=width).astype(np.int64)
+        n = struct.unpack_from(">I", data[start:end], 4)[0]
+        raw = data[start + 8 : min(end, start + 8 + n * columns * int(width[-1]))]
+        if len(raw) != n * columns * int(width[-1]):
+            raise Unreadable(f"the table {kind.decode()} is cut off")
+        return np.frombuffer(raw, dtype=width).astype(np.int64)
 
+    n = len(sizes)
     codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
     start = at[b"mdhd"][0]
     scale, duration = struct.unpack_from(">IQ", data, start + 20) if data[start] else struct.unpack_from(">II", data, start + 12)
-    fixed, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
-    sizes = np.full(n, fixed, dtype=np.int64) if fixed else ints(b"stsz", 12)[:n]
-    chunks = ints(b"stco", 8) if b"stco" in at else ints(b"co64", 8, ">u8")
-    runs = ints(b"stsc", 8).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    of_chunk = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-    ends = np.cumsum(sizes)
+    if not scale:
+        raise Unreadable("the time scale is 0")
+    if b"stts" in at:
+        times = ints(b"stts", columns=2).reshape(-1, 2)
+        duration = int((times[:, 0] * times[:, 1]).sum())
+    chunks = ints(b"stco") if b"stco" in at else ints(b"co64", ">u8")
+    runs = ints(b"stsc", columns=3).reshape(-1, 3)
+    lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if not len(runs) or (lengths < 0).any():
+        raise Unreadable("the table of chunks is not in order")
+    per_chunk = np.repeat(runs[:, 1], lengths)
+    if int(per_chunk.sum()) < n:
+        raise Unreadable("the chunks hold fewer samples than there are sizes")
+    of_chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
+    starts = np.cumsum(sizes) - sizes
     firsts = np.concatenate(([0], np.cumsum(per_chunk)[:-1]))
-    before = (ends - sizes) - (ends - sizes)[firsts[of_chunk]]
-    offsets = chunks[of_chunk] + before
-    keys = ints(b"stss", 8) - 1 if b"stss" in at else np.arange(n)
+    offsets = chunks[of_chunk] + starts - starts[firsts[of_chunk]]
+    keys = ints(b"stss") - 1 if b"stss" in at else np.arange(n)
+    if len(keys) and not (0 <= keys.min() and keys.max() < n):
+        raise Unreadable("a keyframe's number is no sample's")
+    if len(offsets) and int((offsets + sizes).max()) > len(data):
+        raise Unreadable("samples lie beyond the file's end")
     return {"codec": codec, "timescale": scale, "duration": duration, "offsets": offsets, "sizes": sizes, "keyframes": np.stack((offsets[keys], sizes[keys]), axis=1)}
 
 
@@ -152,7 +208,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_ms long, n_frames long, keyframes array<struct<offset:long,size:long>>"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_ms long, n_frames long, keyframes array<struct<offset:long,size:long>>, problem string"
 KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 
 
@@ -175,7 +231,7 @@ def feature() -> Column:
         return F.concat_ws("+", k["offset"].cast("string"), k["size"].cast("string"))
 
     return F.concat(
-        F.lit("codec="), F.trim("codec"), F.lit(";ms="), F.col("duration_ms").cast("string"), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";keyframes="), F.size(keys).cast("string"),
+        F.lit("codec="), F.coalesce(F.trim("codec"), F.lit("")), F.lit(";ms="), F.coalesce(F.col("duration_ms"), F.lit(0)).cast("string"), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";keyframes="), F.size(keys).cast("string"),
         F.lit(";first="), span(F.get(keys, F.lit(0))), F.lit(";last="), span(F.get(keys, F.size(keys) - 1)), F.lit(";ranges="), digest,
     )
 
@@ -186,10 +242,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            media = media.as_py()
-            found = read_media(media)
-            payload = samples(media, found)
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), found["codec"], found["duration"] * 1000 // found["timescale"], len(found["sizes"]), [{"offset": o, "size": n} for o, n in found["keyframes"].tolist()]))
+            media = media.as_py() or b""
+            try:
+                found = read_media(media)
+                payload = samples(media, found)
+                own = (found["codec"], found["duration"] * 1000 // found["timescale"], len(found["sizes"]), [{"offset": o, "size": n} for o, n in found["keyframes"].tolist()], None)
+            except Unreadable as e:
+                payload, own = b"", (None, None, 0, [], str(e))
+            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), *own))
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -203,11 +263,15 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests, codec, duration and the byte range of every keyframe of files, from the stored bytes alone."""
+    """Digests, codec, duration and the byte range of every keyframe of files, from the stored bytes alone.
+
+    A null file counts as an empty one. What has no readable sample table has an empty payload, no codec, duration or
+    keyframes, and ``problem`` says why; it is null for all others.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, FEATURES)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """The features, with codec, duration and ranges as one string that engines without arrays can compare."""
     out = media_features(encode_media(documents(spark, sf_dir)))
-    return out.withColumn("feature", feature()).drop("codec", "duration_ms", "n_frames", "keyframes")
+    return out.withColumn("feature", feature()).drop("codec", "duration_ms", "n_frames", "keyframes", "problem")

@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossworks.llm.common import broadcast_if_small, documents, n_words, text_or_empty, written
+from lossworks.llm.common import broadcast_if_small, documents, n_words, text_or_empty, unused, written
 
 CAP = 3
 SEED = "mix-1"
-MOST_SOURCES = 200_000
 
 
 def cyclic_weight(order: Column, cycle: int = 3) -> Column:
@@ -62,21 +61,22 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``; any columns of those names are replaced.
 
     A null text has size 0, a null source is a source of its own, last in the order. Repeated rows with one ``doc_id``
-    share one coin. A source of size 0 has target 0 and its documents are kept once (they hold no words).
-    Sums per source combine before the shuffle. The table of targets, a row per source, is written and counted: up to
-    ``MOST_SOURCES`` rows it is broadcast, so a source with a third of all rows is no hot key; beyond, the join shuffles.
+    share one coin, all rows without an id as well: many of them can move their source off its target. A source of size 0 has target 0 and its documents are kept once (they hold no words).
+    Sums per source combine before the shuffle. The table of targets, a row per source, is written and measured: up to
+    16 MB it is broadcast, so a source with a third of all rows is no hot key; beyond, the join shuffles.
     """
     sized = docs.withColumn("size", n_words(text_or_empty()))
     per_source = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "targets")
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    wanted = per_source.select(F.col("source").alias("_source"), "source_size", "target")
+    source, rate_ = unused(docs.columns, "_source", "_rate")
+    wanted = per_source.select(F.col("source").alias(source), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    whole = F.floor("_rate")
+    whole = F.floor(rate_)
     return (
         sized.drop("source_size", "target", "copies", "taken")
-        .join(broadcast_if_small(wanted, MOST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_rate", rate)
-        .withColumn("copies", (whole + (coin(seed) < F.col("_rate") - whole).cast("long")).cast("long"))
+        .join(broadcast_if_small(wanted), F.col("source").eqNullSafe(F.col(source)))
+        .withColumn(rate_, rate)
+        .withColumn("copies", (whole + (coin(seed) < F.col(rate_) - whole).cast("long")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*names, "size", "source_size", "target", "copies", "taken")
     )
@@ -85,7 +85,8 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as many times as ``copies`` says."""
     kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*kept)
+    (copy,) = unused(mixed.columns, "_copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*kept)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

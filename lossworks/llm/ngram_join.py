@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossworks.llm.common import broadcast_if_small, documents, text_or_empty, written
+from lossworks.llm.common import broadcast_if_small, documents, text_or_empty, unused, written
 
 WORDS, PERCENT = 3, 90
 #: Shingles whose frequency steers the order, at most; the list is broadcast (9 bytes each). Any list gives the same links.
@@ -36,7 +36,6 @@ SKETCH = tuple(f"bits{k}" for k in range(4))
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
 COUNTED = 4_000_000  # shingles that one task counts at a time
 REMEMBERED = 500_000
-MOST_BROADCAST = 1_000_000
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -358,7 +357,7 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = likely(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = broadcast_if_small(written(classes.join(ends, "node").select(F.col("first").alias("doc_id")).distinct(), "ends"), MOST_BROADCAST)
+        ids = broadcast_if_small(written(classes.join(ends, "node").select(F.col("first").alias("doc_id")).distinct(), "ends"))
         chosen = texts.join(ids, "doc_id").unionByName(texts.filter("doc_id is null"))
         sets = written(chosen.mapInArrow(_sets(words), "node long, set array<long>"), "end-sets")
         left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
@@ -403,10 +402,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     found = classified(docs, words, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("own")
     keep = found.filter("root is not null").groupBy("root").agg(first).select("own.doc_id", "own.mark")
-    keep = keep.unionByName(found.filter("root is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_keep"))
-    marked = docs.withColumn("_mark", F.xxhash64(text_or_empty()))
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    id_, keep_, mark = unused(docs.columns, "_id", "_keep", "_mark")
+    keep = keep.unionByName(found.filter("root is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias(id_), F.col("mark").alias(keep_))
+    marked = docs.withColumn(mark, F.xxhash64(text_or_empty()))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(keep_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

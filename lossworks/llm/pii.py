@@ -9,17 +9,18 @@ different entities stay different and equal ones stay equal in all documents.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossworks.llm.common import broadcast_if_small, documents, let, text_or_empty, written
+from lossworks.llm.common import broadcast_if_small, documents, let, text_or_empty, unused, written
 
 KEY = "surrogates-1"
 #: From this round on draws come from a wider space of the same type, wider each round.
 WIDEN = 4
 #: So many rounds in a row without a single new replacement mean that a format of fixed size is full.
 BARREN = 32
-MOST_BROADCAST = 200_000
 
 # Titles before names, by gender and script.
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин")
@@ -88,9 +89,44 @@ def _each(value: Column, body) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: body(c, i)), "")
 
 
+#: Characters in a row of one script, as a rule; a letter is replaced by one of the same case from the same row.
+ROW = 32
+CASES = ("Lu", "Ll", "Lo")
+
+
+def _rows() -> dict[str, str]:
+    """Letters by case and row, like ``Ll:7`` for small Greek ones; ideographs and Hangul have one row each."""
+    out: dict[str, str] = {}
+    for cp in (*range(0x100, 0x3100), *range(0x4E00, 0x5000), *range(0xAC00, 0xAE00)):
+        c = chr(cp)
+        case = unicodedata.category(c)
+        if case in CASES and unicodedata.normalize("NFKC", c) == c:
+            row = f"{case}:{'ideograph' if 0x4E00 <= cp < 0x5000 else 'hangul' if cp >= 0xAC00 else cp // ROW}"
+            out[row] = out.get(row, "") + c
+    return {k: v for k, v in out.items() if len(v) > 1}
+
+
+LETTER_ROWS = _rows()
+
+
+def _other_letters(secret: Column, c: Column, i: Column) -> Column:
+    """A letter outside Latin-1 and basic Cyrillic: one of its row; of an unknown row, an ASCII one of the same case."""
+    code = F.ascii(c)
+    case = F.when(c.rlike(r"^\p{Lu}$"), "Lu").when(c.rlike(r"^\p{Ll}$"), "Ll").otherwise("Lo")
+    ideograph = code.between(0x3400, 0x9FFF) | code.between(0xF900, 0xFAFF) | (code >= 0x20000)
+    row = F.when(ideograph, "ideograph").when(code.between(0xAC00, 0xD7A3), "hangul").otherwise(F.floor(code / ROW).cast("string"))
+    table = F.create_map(*(F.lit(x) for pair in LETTER_ROWS.items() for x in pair))
+    known = F.element_at(table, F.concat_ws(":", case, row))
+    choices = F.coalesce(known, F.when(case == "Lu", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").otherwise("abcdefghijklmnopqrstuvwxyz"))
+    return F.substring(choices, F.pmod(F.xxhash64(secret, i), F.length(choices)).cast("int") + 1, F.lit(1))
+
+
 def _letters(secret: Column, c: Column, i: Column) -> Column:
-    """A character of the same class: digit, or letter of the same case and script; all others stay."""
-    out = c
+    """A character of the same class: digit, or letter of the same case and script; all others stay.
+
+    A digit of any script becomes an ASCII one; a letter is never left as it is but by the draw.
+    """
+    out = F.when(c.rlike(r"^\p{L}$"), _other_letters(secret, c, i)).when(c.rlike(r"^\p{N}$"), _pick(secret, i, "0123456789")).otherwise(c)
     for class_, choices in (
         ("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         ("[à-öø-ÿ]", "àáâãäåèéêëìíîïòóôõöùúûü"), ("[À-ÖØ-Þ]", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ"),
@@ -211,33 +247,47 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError("a format has more entities than distinct replacements")
 
 
+def cut(docs: DataFrame, pieces: str = "pieces", found: str = "found", row: str = "row") -> DataFrame:
+    """``docs`` cut at the matches: ``pieces`` of text around them and ``found``, each match's units; nulls without one.
+
+    Where something was found ``text`` is null, as the pieces and matches hold all of it. ``row`` numbers the rows.
+    """
+    text = text_or_empty()
+    matches = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(MASTER), F.lit(0)))
+    own = docs.withColumn(found, matches)
+    hit = F.size(found) > 0
+    return own.select(
+        *(c for c in docs.columns if c.lower() != "text"),
+        F.when(~F.coalesce(hit, F.lit(False)), F.col("text")).alias("text"),
+        F.when(hit, F.transform(found, units)).alias(found),
+        F.when(hit, F.split(text, MASTER, -1)).alias(pieces),
+        F.monotonically_increasing_id().alias(row),
+    )
+
+
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` rewritten and ``n_entities`` added (any such column is replaced).
 
     Null texts stay null, empty ones empty; documents without an entity pass unchanged and never shuffle. Repeated rows
-    are rewritten alike; an empty table gives no rows. Those with entities are written once, cut at their matches; each
-    match meets its replacement by kind and value (broadcast when counted small; else the join shuffles and Spark splits
-    a value that very many documents have), and goes back to its own row.
+    are rewritten alike; an empty table gives no rows. All are searched once and written, those with entities cut at their
+    matches; each match meets its replacement by kind and value (broadcast when measured small; else the join shuffles
+    and Spark splits a value that very many documents have), and goes back to its own row.
     """
     names = [c for c in docs.columns if c != "n_entities"]
-    text = text_or_empty()
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(MASTER), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    plain = docs.select(*names).filter(~(text.rlike(HINT) & text.rlike(MASTER)))
-    hits = written(
-        docs.select(*names).filter(text.rlike(HINT) & text.rlike(MASTER)).withColumn("_found", F.transform(found, units))
-        .withColumn("_pieces", F.split(text, MASTER, -1)).drop("text").withColumn("_row", F.monotonically_increasing_id()),
-        "entity-rows",
-    )
-    each = hits.select("_row", F.posexplode("_found").alias("_i", "_units")).select("_row", "_i", F.posexplode("_units").alias("_j", "_unit"))
-    each = each.select("_row", "_i", "_j", F.col("_unit.kind").alias("_kind"), F.col("_unit.value").alias("_value"))
+    found, pieces, row, number, unit_number, new = unused(names, "_found", "_pieces", "_row", "_i", "_j", "_new")
+    rows = written(cut(docs.select(*names), pieces, found, row), "entity-rows")
+    hits = rows.filter(F.col(found).isNotNull())
+    each = hits.select(row, F.posexplode(found).alias(number, "_units")).select(row, number, F.posexplode("_units").alias(unit_number, "_unit"))
+    each = each.select(row, number, unit_number, F.col("_unit.kind").alias("_kind"), F.col("_unit.value").alias("_value"))
     mapped = surrogates(each.filter("_kind is not null").select(F.col("_kind").alias("kind"), F.col("_value").alias("value")), key)
     mapped = written(mapped, "mapping")
-    out = each.join(broadcast_if_small(mapped, MOST_BROADCAST), (F.col("_kind") == F.col("kind")) & (F.col("_value") == F.col("value")), "left")
-    out = out.groupBy("_row", "_i").agg(F.sort_array(F.collect_list(F.struct("_j", F.coalesce("surrogate", "_value").alias("s")))).alias("u"))
-    out = out.withColumn("s", F.array_join("u.s", "")).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", "s"))).alias("_new"))
-    whole = F.array_join(F.flatten(F.zip_with("_pieces", "_new.s", lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    rewritten = hits.join(out, "_row").withColumn("text", whole).withColumn("n_entities", F.size("_found").cast("long"))
-    return plain.withColumn("n_entities", F.lit(0).cast("long")).unionByName(rewritten.select(*names, "n_entities"))
+    out = each.join(broadcast_if_small(mapped), (F.col("_kind") == F.col("kind")) & (F.col("_value") == F.col("value")), "left")
+    out = out.groupBy(row, number).agg(F.sort_array(F.collect_list(F.struct(unit_number, F.coalesce("surrogate", "_value").alias("s")))).alias("u"))
+    out = out.withColumn("s", F.array_join("u.s", "")).groupBy(row).agg(F.sort_array(F.collect_list(F.struct(number, "s"))).alias(new))
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.col(new)["s"], lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    rewritten = hits.join(out, row).withColumn("text", whole).withColumn("n_entities", F.size(found).cast("long"))
+    plain = rows.filter(F.col(found).isNull()).withColumn("n_entities", F.lit(0).cast("long"))
+    return plain.select(*names, "n_entities").unionByName(rewritten.select(*names, "n_entities"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

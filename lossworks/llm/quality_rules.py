@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossworks.llm.common import WORD, broadcast_if_small, documents, let, text_or_empty, words_of, written
+from lossworks.llm.common import WORD, broadcast_if_small, documents, let, text_or_empty, unused, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -20,7 +20,6 @@ MOST_REPEATED = 20  # per cent of the words
 MOST_DOCS, MIN_DOCS = 0.02, 10
 #: A document is rejected when more than this part of its words stood in boilerplate lines.
 MOST_REMOVED = 0.5
-MOST_BROADCAST = 500_000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -72,7 +71,10 @@ def line_hash(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, host, text_hash``, the base figures and ``lines`` (hash and words of each line with a word)."""
+    """Per row: ``doc_id, host, text_hash``, the base figures and ``lines`` (hash and words of each line with a word).
+
+    A null text counts as an empty one: all figures 0, no lines.
+    """
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     line = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
@@ -125,13 +127,13 @@ def judged(docs: DataFrame) -> DataFrame:
     ``boilerplate`` lists the hashes of the lines to remove. A null text has no words and fails; a null source is a host
     of its own; repeated rows are judged alike; an empty table gives no rows. Texts are read once: the figures and line
     hashes are written, and the counts and verdicts come from that table. The boilerplate lines of a host are at most
-    its lines / (MOST_DOCS x documents); they are broadcast when counted small, else the join shuffles.
+    its lines / (MOST_DOCS x documents); they are broadcast when measured small, else the join shuffles.
     """
     rows = written(measured(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
     frequent = written(frequent_lines(rows), "frequent").select(F.col("host").alias("_host"), F.col("h").alias("_h"))
     each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     hit = (
-        each.join(broadcast_if_small(frequent, MOST_BROADCAST), (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")))
+        each.join(broadcast_if_small(frequent), (F.col("h") == F.col("_h")) & F.col("host").eqNullSafe(F.col("_host")))
         .groupBy("row").agg(F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("boilerplate"))
     )
     return (
@@ -146,19 +148,21 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents and without boilerplate lines; its columns stay, ``n_chars`` follows.
 
     Verdicts meet the texts by id, source and text hash; equal rows have equal verdicts, so one of each is kept to join.
+    Null and empty texts have no words and go; repeated rows stay repeated; an empty table gives no rows.
     """
     names = docs.columns
+    id_, host, hash_, lines = unused(names, "_id", "_host", "_hash", "_lines")
     verdicts = (
         judged(docs).filter("kept")
-        .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("boilerplate").alias("_lines"))
-        .dropDuplicates(["_id", "_host", "_hash"])
+        .select(F.col("doc_id").alias(id_), F.col("host").alias(host), F.col("text_hash").alias(hash_), F.col("boilerplate").alias(lines))
+        .dropDuplicates([id_, host, hash_])
     )
     source = F.col("source") if "source" in names else F.lit(None).cast("string")
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_host")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
+        F.col("doc_id").eqNullSafe(F.col(id_)) & source.eqNullSafe(F.col(host)) & (F.xxhash64(text_or_empty()) == F.col(hash_))
     )
-    left = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_lines", line_hash(x))))
-    out = docs.join(verdicts, same).withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    left = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(lines, line_hash(x))))
+    out = docs.join(verdicts, same).withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*names)
@@ -187,12 +191,10 @@ WITH d AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM li GROUP BY r
 ), h AS (
   SELECT r, source, substr(md5(norm), 1, 16) AS h, n FROM li
-), sk AS (
-  SELECT r, min(h) AS sketch FROM h GROUP BY r
 ), docs AS (
-  SELECT source, count(DISTINCT sketch) AS docs FROM h JOIN sk USING (r) GROUP BY source
+  SELECT source, count(DISTINCT text) AS docs FROM d WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]') GROUP BY source
 ), freq AS (
-  SELECT c.source, c.h FROM (SELECT source, h, count(DISTINCT sketch) AS n FROM h JOIN sk USING (r) GROUP BY source, h) c
+  SELECT c.source, c.h FROM (SELECT h.source, h, count(DISTINCT d.text) AS n FROM h JOIN d USING (r) GROUP BY h.source, h) c
   JOIN docs ON c.source IS NOT DISTINCT FROM docs.source AND n > 10 AND n > docs.docs * 0.02
 ), gone AS (
   SELECT r, sum(n) AS n FROM h JOIN freq ON h.h = freq.h AND h.source IS NOT DISTINCT FROM freq.source GROUP BY r

@@ -27,7 +27,7 @@ SORTED_BYTES = 56
 #: Bytes that go through one suffix array; a minimiser with more distinct text than that is split into single strings.
 MOST_SORTED = 2_000_000
 MOST_HELD = 100_000
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 16 << 20  # bytes
 LONGEST_RUN = 1 << 20
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.Philox(7))

@@ -1,7 +1,8 @@
 """URL filters: explicit host/path rules, and association rules that FP-growth mines from labelled URLs.
 
-A rule says "these URL tokens together mean block". Rules below the support or confidence limits go, and so do rules that
-a shorter rule already covers. Rules are found by an inverted index: each is filed under its rarest token only.
+A rule says "these URL tokens together mean block". They are mined from the pages that the
+explicit rules decide and from those whose URL names a labelled document. Rules below the support or confidence limits go,
+and so do rules that a shorter rule already covers. Rules are found by an inverted index: each is filed under its rarest token only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ BLOCK = "=block"
 MIN_SUPPORT = 0.001
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.8
-MOST_BROADCAST = 100_000
 
 
 def _lower(text: Column) -> Column:
@@ -118,23 +118,38 @@ def filed(rules: DataFrame) -> DataFrame:
     return rules.join(key, "rule_id")
 
 
+def evidence(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+    """``page_id, bad`` of the pages that something is known of.
+
+    Where an explicit rule decides, its verdict is the label. Other pages have the label of the document that their URL
+    names: the number that is a path segment behind the first one, with or without an ending (``labels``: doc_id, toxic).
+    """
+    urls = with_rule(parts(pages), rules)
+    decided = urls.filter("own is not null").select("page_id", (F.col("own") == "block").cast("int").alias("bad"))
+    number = F.regexp_extract("path", r"^/[^/]+/(\d{1,18})(?:\.[a-z]+)?/?$", 1)
+    toxic = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("bad"))
+    named = urls.filter("own is null").select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    return decided.unionByName(named.join(toxic, "doc_id").select("page_id", "bad"))
+
+
 def verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per page: ``page_id, host, path, rule, verdict, mined_rule``.
+    """One row per page: ``page_id, host, path, rule, verdict, mined_rule``, from ``labels`` (page_id, bad).
 
     An explicit rule decides where one fits; else a page that has all tokens of a mined rule is blocked (``mined_rule``
-    names the most confident), and all others are allowed. Repeated pages are judged each by itself, extra columns are
-    ignored, an empty table gives no rows.
+    names the most confident), and all others are allowed. Repeated pages are judged each by itself, a null id or URL is a
+    page like others, extra columns are ignored, an empty table gives no rows. Pages meet their rules by row, so that a
+    URL crawled very often is no hot key.
     """
-    urls = tokens(with_rule(parts(pages)))
+    urls = written(tokens(with_rule(parts(pages))).drop("url").withColumn("row", F.monotonically_increasing_id()), "urls")
     index = filed(mined_rules(urls, labels)).select("rule_id", F.col("tokens").alias("needs"), "confidence", "token")
     fired = (
-        urls.filter("own is null").select("url", "tokens").distinct().withColumn("token", F.explode("tokens"))
-        .join(broadcast_if_small(written(index, "rule-index"), MOST_BROADCAST), "token")
+        urls.filter("own is null").select("row", "tokens", F.explode("tokens").alias("token"))
+        .join(broadcast_if_small(written(index, "rule-index")), "token")
         .filter(F.size(F.array_except("needs", "tokens")) == 0)
-        .groupBy("url").agg(F.max(F.struct("confidence", "rule_id"))["rule_id"].alias("mined_rule"))
+        .groupBy("row").agg(F.max(F.struct("confidence", "rule_id"))["rule_id"].alias("mined_rule"))
     )
     return (
-        urls.drop("tokens").join(fired, "url", "left")
+        urls.drop("tokens").join(fired, "row", "left")
         .select(
             "page_id", "host", "path", "rule",
             F.coalesce("own", F.when(F.col("mined_rule").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "mined_rule",
@@ -143,6 +158,5 @@ def verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Labels are those of the documents with the pages' ids; toxic ones are bad."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), F.coalesce("toxic", F.lit(0)).alias("bad"))
-    return verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), labels)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return verdicts(pages, evidence(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))

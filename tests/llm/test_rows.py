@@ -5,10 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lossworks.llm import media, mixing, packing, pii, quality_model, quality_rules, sharding, urls
@@ -185,6 +187,77 @@ def test_media_round_trip(spark):
         assert r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored)
 
 
+def own_payload(text):
+    raw = (text or "").encode("utf-8")
+    while len(raw) % 576 or not raw:
+        raw += b"\xff"
+    return raw
+
+
+def own_parse(media):
+    """A plain reader of one-track files: boxes by search in their parents, samples by nested loops."""
+
+    def inside(data, *path):
+        for kind in path:
+            at = 0
+            while data[at + 4 : at + 8] != kind:
+                at += int.from_bytes(data[at : at + 4], "big")
+            data = data[at + 8 : at + int.from_bytes(data[at : at + 4], "big")]
+        return data
+
+    def numbers(data):
+        return [int.from_bytes(data[i : i + 4], "big") for i in range(0, len(data), 4)]
+
+    table = lambda kind: numbers(inside(media, b"moov", b"trak", b"mdia", b"minf", b"stbl", kind))
+    chunks, runs, (_, size, n) = table(b"stco")[2:], table(b"stsc")[2:], table(b"stsz")[:3]
+    out, k = [], 0
+    for number, start in enumerate(chunks, 1):
+        per = [runs[i + 1] for i in range(0, len(runs), 3) if runs[i] <= number][-1]
+        for j in range(per):
+            if k < n:
+                out.append((start + j * size, size))
+                k += 1
+    keys = [out[i - 1] for i in table(b"stss")[2:]]
+    times = table(b"stts")[2:]
+    return out, keys, sum(a * b for a, b in zip(times[::2], times[1::2], strict=True))
+
+
+def test_media_against_a_plain_reader(spark):
+    rows = documents()
+    encoded = media.encode_media(frame(spark, rows))
+    stored = {r["doc_id"]: bytes(r["media"]) for r in encoded.collect()}
+    for r in media.media_features(encoded).withColumn("feature", media.feature()).collect():
+        if r["doc_id"] is None or sum(x[0] == r["doc_id"] for x in rows) > 1:
+            continue
+        text = next(x[1] for x in rows if x[0] == r["doc_id"])
+        payload, data = own_payload(text), stored[r["doc_id"]]
+        ranges, keys, ticks = own_parse(data)
+        assert b"".join(data[a : a + n] for a, n in ranges) == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest())
+        assert [tuple(k) for k in r["keyframes"]] == keys and (r["duration_ms"], r["n_frames"], r["problem"]) == (ticks, len(payload) // 576, None)
+        digest = hashlib.sha256(b"".join(x.to_bytes(8, "big") for k in keys for x in k)).hexdigest()[:16]
+        assert r["feature"] == f"codec=raw;ms={ticks};frames={len(payload) // 576};keyframes={len(keys)};first={keys[0][0]}+576;last={keys[-1][0]}+576;ranges={digest}"
+
+
+def test_media_that_cannot_be_read(spark):
+    """Null, empty, foreign, cut off at any place, and with samples in fragments: a row each, with a problem."""
+    stored = media.write_media(bytes(range(256)) * 9 * 3)
+    moov = stored.index(b"moov") - 4
+    fragmented = media.box(b"ftyp", b"iso5") + media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.full_box(b"stsz", bytes(8))))))) + media.box(b"moof", bytes(16)) + media.box(b"mdat", bytes(64))
+    late = stored[:moov].replace(b"mdat", b"free") + stored[moov:].replace(b"stss", b"xxxx")  # without stss every sample is a keyframe
+    bad = [None, b"", b"no media at all, only text", bytes(64), stored[:moov], stored[moov:], fragmented, *(stored[:n] for n in range(8, len(stored), 97))]
+    df = spark.createDataFrame([(i, 0, None if m is None else bytearray(m)) for i, m in enumerate([stored, late, *bad])], "doc_id long, n_bytes long, media binary")
+    out = {r["doc_id"]: r for r in media.media_features(df).withColumn("feature", media.feature()).collect()}
+    assert out[0]["problem"] is None and out[1]["problem"] is None and len(out[1]["keyframes"]) == out[1]["n_frames"] == 12
+    for i in range(2, len(bad) + 2):
+        assert out[i]["problem"] and out[i]["payload_bytes"] == 0 and out[i]["keyframes"] == [] and out[i]["codec"] is None and out[i]["feature"].startswith("codec=;ms=0")
+    audio = media.box(b"trak", media.box(b"mdia", media.full_box(b"mdhd", bytes(8) + (48000).to_bytes(4, "big") + bytes(8)), media.box(b"minf", media.box(b"stbl", media.full_box(b"stsd", bytes(4) + b"\0\0\0\x10mp4a"), media.full_box(b"stts", b"\0\0\0\1\0\0\0\2\0\0\4\0"), media.full_box(b"stz2", b"\0\0\0\4\0\0\0\2\x35"), media.full_box(b"stsc", b"\0\0\0\1\0\0\0\1\0\0\0\2\0\0\0\1"), media.full_box(b"stco", b"\0\0\0\1\0\0\0\x0a")))))
+    trak = stored.index(b"trak", moov) - 4
+    found = media.read_media(stored[:moov] + media.box(b"moov", stored[moov + 8 : trak], audio, stored[trak:]))
+    assert (found["codec"], found["duration"], found["timescale"]) == ("mp4a", 2048, 48000) and list(zip(found["offsets"], found["sizes"], strict=True)) == [(10, 3), (13, 5)]
+
+
 def test_media_tables():
     payload = bytes(range(256)) * 9 * 30
     stored = media.write_media(payload)
@@ -258,6 +331,71 @@ def test_url_rules_are_mined(spark):
     assert not any(set(a["tokens"]) < set(b["tokens"]) for a in rules for b in rules)
 
 
+def plain_tokens(url):
+    rest = (url or "").partition("://")[2]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    path = re.split("[?#]", rest[len(host):], maxsplit=1)[0]
+    labels = [x for x in reversed(host.split(".")) if x]
+    out = {f"h{i}:{x}" for i, x in enumerate(labels)} | {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    query = (url or "").partition("#")[0].partition("?")[2]
+    out |= {"q:" + x.split("=")[0] for x in query.split("&") if x.split("=")[0]}
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*)://", url or "")
+    return host, path, out | ({"fragment"} if "#" in (url or "") else set()) | {"s:" + (scheme[1] if scheme else "")}
+
+
+def plain_rule(host, path):
+    fits = [r for r in urls.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    return max(fits, key=lambda r: len(r[0]) + len(r[1]), default=(None, None, None))
+
+
+def plain_miner(baskets):
+    """Every token set frequent enough among the bad pages and confident enough, without those that hold a smaller one."""
+    seen, bad = collections.Counter(), collections.Counter()
+    for tokens, is_bad in baskets:
+        for n in range(1, len(tokens) + 1):
+            for found in itertools.combinations(sorted(tokens), n):
+                seen[found] += 1
+                bad[found] += is_bad
+    least = max(urls.MIN_SUPPORT, urls.MIN_COUNT / len(baskets))
+    rules = {k: bad[k] / seen[k] for k in bad if bad[k] and bad[k] / len(baskets) >= least and bad[k] / seen[k] >= urls.MIN_CONFIDENCE}
+    return {k: v for k, v in rules.items() if not any(set(j) < set(k) for j in rules)}
+
+
+def test_url_query_against_a_plain_miner(spark, tmp_path):
+    """The whole query on a table of the box, with repeated, null and odd pages added, against enumeration of all token sets."""
+    src = "/root/testdata/sf0.01"
+    own = spark.read.parquet(f"{src}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(None, None), (None, "http://x.org/en/1"), (-1, "http://M.Example.com/fr/5?q=1&r"), (0, "https://b.net/es/3.html#f")] + [(9000 + i, "http://hot.org/de/7") for i in range(50)], "page_id long, url string")
+    own.unionByName(odd).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.read.parquet(f"{src}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    pages = [tuple(r) for r in spark.read.parquet(str(tmp_path / "pages.parquet")).collect()]
+    toxic = {r["doc_id"]: r["toxic"] or 0 for r in spark.read.parquet(str(tmp_path / "labels.parquet")).collect()}
+    label = {}
+    for page, url in pages:
+        host, path, _ = plain_tokens(url)
+        rule = plain_rule(host, path)
+        number = re.fullmatch(r"/[^/]+/([0-9]{1,18})(?:[.][a-z]+)?/?", path)
+        known = int(rule[2] == "block") if rule[2] else toxic.get(int(number[1])) if number else None
+        if page is not None and known is not None:
+            label[page] = max(label.get(page, 0), known)
+    rules = plain_miner([(plain_tokens(u)[2], label[p]) for p, u in pages if p in label])
+    want = []
+    for page, url in pages:
+        host, path, tokens = plain_tokens(url)
+        rule = plain_rule(host, path)
+        fired = [(c, " ".join(k)) for k, c in rules.items() if set(k) <= tokens] if rule[2] is None else []
+        want.append((page, host, path, None if rule[0] is None else rule[0] + rule[1], rule[2] or ("block" if fired else "allow"), max(fired)[1] if fired else None))
+    got = urls.op9(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "mined_rule").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    assert rules and sum(w[5] is not None for w in want) > 10
+
+
+def test_url_rules_of_empty_tables(spark):
+    pages, labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert urls.verdicts(pages, urls.evidence(pages, labels)).count() == 0
+
+
 def test_url_rules_of_five_tokens(spark):
     """Five path tokens together are bad; any four of them are as often good."""
     steps = ["a", "b", "c", "d", "e"]
@@ -308,6 +446,47 @@ def test_surrogates_never_run_out(spark, monkeypatch):
     assert all(re.fullmatch(r"\+1 \d\d(?:[ .-]?\d{2,4}){1,4}", r["surrogate"]) for r in out if r["kind"] == "phone")
 
 
+def test_surrogates_of_any_script(spark):
+    """Addresses of many scripts: replaced in the same script, case and length."""
+    mails = ["张三@例子.中国", "žš@čř.cz", "αβγ@δεζ.gr", "ёлка@ёж.рф", "김철수@한국.kr", "ひら@カタ.jp", "אבג@דהו.il", "a@b.com", "ß@ss.de", "ŽŠ@X.CZ", "ա@բ.am", "x١٢@z.eg"]
+    text = "; ".join(mails)
+    out = pii.replaced(frame(spark, [(1, text, "en", "s", 0), (2, text + " and more", "en", "s", 0)])).collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    new = got[1].split("; ")
+    assert got[2] == got[1] + " and more" and len(set(new)) == len(mails) and not set(new) & set(mails)
+    block = lambda c: "digit" if c.isdigit() else (unicodedata.name(c).split()[0], c.isupper())
+    for old, fresh in zip(mails, new, strict=True):
+        assert old.rpartition(".")[2] == fresh.rpartition(".")[2] and len(old) == len(fresh)
+        assert [block(c) if c.isalnum() else c for c in old] == [block(c) if c.isalnum() else c for c in fresh], (old, fresh)
+
+
+def plain_units(match):
+    for kind, pattern in pii.KINDS.items():
+        if kind != "name" and regex.fullmatch(pattern, match, regex.ASCII):
+            return [(kind, match)]
+    title = regex.match(rf"(?:{pii.TITLE})\.? ", match)[0]
+    names = match[len(title):].split(" ")
+    gender = "given_m" if title.strip().removesuffix(".") in pii.MALE else "given_f"
+    return [(None, title), (gender, names[0]), (None, " "), ("surname", names[1])] if len(names) > 1 else [(None, title), ("surname", names[0])]
+
+
+def test_surrogates_against_a_plain_search(spark):
+    """All documents of a table of the box: what is found, what is replaced by what, and what stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = {doc: [plain_units(m[0]) for m in regex.finditer(pii.MASTER, text or "", regex.ASCII)] for doc, text in rows}
+    entities = {u for units in found.values() for match in units for u in match if u[0]}
+    assert len({k for k, _ in entities}) >= 4 and len(entities) > 50
+    mapped = {(r["kind"], r["value"]): r["surrogate"] for r in pii.surrogates(spark.createDataFrame(sorted(entities), "kind string, value string")).collect()}
+    assert set(mapped) == entities and len({(k, s) for (k, _), s in mapped.items()}) == len(entities) and not {(k, s) for (k, _), s in mapped.items()} & entities
+    got = {r["doc_id"]: r for r in pii.replaced(docs).collect()}
+    for doc, text in rows:
+        pieces = regex.split(pii.MASTER, text or "", flags=regex.ASCII)
+        new = ["".join(mapped.get(u, u[1]) for u in match) for match in found[doc]]
+        want = None if text is None else "".join(itertools.chain(*itertools.zip_longest(pieces, new, fillvalue="")))
+        assert got[doc]["text"] == want and got[doc]["n_entities"] == len(new), doc
+
+
 def test_surrogates_in_upper_case(spark):
     """Whatever is found in a text is found in the text in upper case, and its surrogate is in upper case."""
     text = "token = '9233a8ecf7c5b09fe5949719b6b82bc439e9329b' of mrs Smith; ghp_" + "a1" * 18 + "; sk-" + "b2" * 12 + "; 9a:bb:cc:dd:ee:f1; Señora López."
