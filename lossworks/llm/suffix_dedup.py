@@ -27,13 +27,14 @@ SORTED_BYTES = 56
 #: Bytes that go through one suffix array; a minimiser with more distinct text than that is split into single strings.
 MOST_SORTED = 2_000_000
 MOST_HELD = 100_000
+MOST_FETCHED = 4_000_000  # bytes that leave in one batch
 MOST_BROADCAST = 16 << 20  # bytes
 LONGEST_RUN = 1 << 20
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.Philox(7))
 BYTE_HASH = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEPS = _RANDOM.integers(1, 1 << 63, 8, dtype=np.uint64) | U(1)
-START_BITS = 48
+START_BITS = 32  # a text has less than 2^31 bytes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,22 +58,27 @@ class Powers:
 POWERS = Powers()
 
 
-def minimisers(data: np.ndarray, length: int) -> np.ndarray:
-    """For each string of ``length`` bytes the smallest hash of its 16-byte pieces (doubling: 2, 4, 8, 16 bytes)."""
+def minimisers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``length`` bytes the smallest hash of its 16-byte pieces; and those (by doubling: 2, 4, 8, 16)."""
     h = BYTE_HASH[data]
     for k, step in zip((1, 2, 4, 8), STEPS, strict=False):
         h = h[:-k] * step + h[k:]
-    h = _mix(h)
+    pieces = h = _mix(h)
     width, have = length - PIECE + 1, 1
     while have * 2 <= width:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
-    return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if width > have else h
+    return (np.minimum(h[: len(h) - (width - have)], h[width - have :]) if width > have else h), pieces
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, content hash, first string, strings) of each stretch; stretches overlap by ``length`` - 1 bytes."""
-    m = minimisers(data, length)
+def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, content hash, sides, first string, strings) of each stretch; they overlap by ``length`` - 1 bytes.
+
+    Every string has half of its other bytes or more on one side of the minimiser's piece. ``sides`` holds a 32-bit hash of
+    the piece with that many bytes before it, and one with those behind it (0 where the stretch has fewer). Texts that
+    share a string share the one or the other; 0 as a whole says that the piece stands at several places.
+    """
+    m, pieces = minimisers(data, length)
     starts = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
     counts = np.diff(np.append(starts, len(m)))
     if counts.max() > LONGEST_RUN:
@@ -80,17 +86,31 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
         counts = np.diff(np.append(starts, len(m)))
     up, down = POWERS(len(data) + 1)
     sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(BYTE_HASH[data] * up[: len(data)], dtype=U)))
-    content = _mix((sums[starts + counts + length - 1] - sums[starts]) * down[starts] + counts.astype(U))
-    return m[starts], content, starts, counts
+    # powers alone let long texts be made that collide; the pieces' mixed hashes don't
+    of_pieces = np.concatenate((np.zeros(1, dtype=U), np.cumsum(pieces, dtype=U)))
+    ends = starts + counts + length - 1
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sums[b] - sums[a]) * down[a]
+
+    content = _mix(hashed(starts, ends) + counts.astype(U) + (of_pieces[ends - PIECE + 1] - of_pieces[starts]) * STEPS[6])
+    width, half = length - PIECE + 1, -(-(length - PIECE) // 2)
+    first = starts + (np.lib.stride_tricks.sliding_window_view(pieces, width)[starts] == m[starts][:, None]).argmax(axis=1)
+    once = first >= starts + counts - 1
+    left, right = first - half >= starts, first + PIECE + half <= ends
+    a, b = np.where(left, first - half, starts), np.where(right, first + PIECE + half, ends)
+    before = np.where(left & once, _mix(hashed(a, first + PIECE)) >> U(32) | U(1), U(0))
+    behind = np.where(right & once, _mix(hashed(first, b)) >> U(32) | U(1), U(0))
+    return m[starts], content, before << U(32) | behind, starts, counts
 
 
 def _tag(text: bytes) -> int:
-    """15 bits of the text, above a place in it: tells different texts of one id apart."""
-    return (xxhash.xxh3_64_intdigest(text) & 0x7FFF) << START_BITS
+    """31 bits of the text, above a place in it: tells different texts of one id apart."""
+    return (xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF) << START_BITS
 
 
 def _cut(length: int):
-    """Stretches as (k1, k2, doc, at): 40 bits of the minimiser and 64 of the content, the count, the tagged place."""
+    """Stretches as (k1, k2, sides, doc, at): 40 bits of the minimiser and 64 of the content, the count, the tagged place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +119,10 @@ def _cut(length: int):
                 raw = text.as_py().encode()
                 if len(raw) < length:
                     continue
-                m, c, starts, counts = stretches(np.frombuffer(raw, dtype=np.uint8), length)
+                m, c, sides, starts, counts = stretches(np.frombuffer(raw, dtype=np.uint8), length)
                 k1 = (m & ~U(0xFFFFFF)) | (c >> U(40))
                 k2 = ((c & U(0xFFFFFFFFFF)) << U(24)) | counts.astype(U)
-                held.append((k1.view(np.int64), k2.view(np.int64), starts + _tag(raw)))
+                held.append((k1.view(np.int64), k2.view(np.int64), sides.view(np.int64), starts + _tag(raw)))
                 docs.append((doc, len(starts)))
                 size += len(starts)
                 if size > 200_000:
@@ -116,30 +136,42 @@ def _cut(length: int):
 
 def _stretch_batch(held: list, docs: list) -> pa.RecordBatch:
     ids = np.repeat(np.array([d for d, _ in docs], dtype=np.int64), [n for _, n in docs])
-    k1, k2, at = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(ids), pa.array(at.astype(np.int64))], names=["k1", "k2", "doc", "at"])
+    k1, k2, sides, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, sides, ids, at.astype(np.int64))], names=["k1", "k2", "sides", "doc", "at"])
+
+
+def _repeated(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row of the group has the same side; 0 is no side."""
+    key = group.astype(U) << U(32) | side
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    out = np.zeros(len(key), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out & (side != 0)
 
 
 def _meet(length: int):
     """Rows sorted by (k1, k2, doc, at) to spans (group null) and to stretches for the suffix array (group set).
 
     Within equal stretches all documents but the first lose theirs at once. First ones go on if their minimiser has
-    other texts and documents. Only first ones wait for their minimiser's end, and no more than ``MOST_HELD`` of them.
+    other documents and one of their sides another text. Only first ones wait for their minimiser's end, and no more
+    than ``MOST_HELD`` of them.
     """
 
     def out(group, doc, at, size) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([group, pa.array(doc), pa.array(at), pa.array(size)], names=["grp", "doc", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), dtype=np.int64)
+        rest = np.empty((5, 0), dtype=np.int64)
         sure = None  # a minimiser whose stretches go on in any case, as some have gone already
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.concatenate((rest, np.stack([batch.column(i).to_numpy() for i in range(4)])), axis=1)
+            rows = np.concatenate((rest, np.stack([batch.column(i).to_numpy() for i in range(5)])), axis=1)
             spans, firsts = settle(rows)
             if spans.shape[1]:
-                yield out(pa.nulls(spans.shape[1], pa.int64()), spans[2], spans[3], (spans[1] & 0xFFFFFF) + length - 1)
+                yield out(pa.nulls(spans.shape[1], pa.int64()), spans[3], spans[4], (spans[1] & 0xFFFFFF) + length - 1)
             group = firsts[0] >> 24
             cut = int(np.searchsorted(group, group[-1]))
             done, rest = firsts[:, :cut], firsts[:, cut:]
@@ -147,12 +179,12 @@ def _meet(length: int):
                 last = (rest[0] == rest[0, -1]) & (rest[1] == rest[1, -1])
                 done, sure, rest = np.concatenate((done, rest[:, ~last]), axis=1), group[-1], rest[:, last]
             if (kept := mixed(done, sure)).shape[1]:
-                yield out(pa.array(kept[0] >> 24), kept[2], kept[3], (kept[1] & 0xFFFFFF) + length - 1)
+                yield out(pa.array(kept[0] >> 24), kept[3], kept[4], (kept[1] & 0xFFFFFF) + length - 1)
         if (kept := mixed(rest, sure)).shape[1]:
-            yield out(pa.array(kept[0] >> 24), kept[2], kept[3], (kept[1] & 0xFFFFFF) + length - 1)
+            yield out(pa.array(kept[0] >> 24), kept[3], kept[4], (kept[1] & 0xFFFFFF) + length - 1)
 
     def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k1, k2, doc, _ = rows
+        k1, k2, _, doc, _ = rows
         new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = doc > first
@@ -162,10 +194,16 @@ def _meet(length: int):
         if not rows.shape[1]:
             return rows
         group = rows[0] >> 24
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        of = np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1
-        several = np.minimum.reduceat(rows[2], starts) != np.maximum.reduceat(rows[2], starts)
-        return rows[:, several[of] | (group == sure if sure is not None else False)]
+        new = np.concatenate(([True], group[1:] != group[:-1]))
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        several = (np.minimum.reduceat(rows[3], starts) != np.maximum.reduceat(rows[3], starts))[of]
+        any_side = np.logical_or.reduceat(rows[2] == 0, starts)
+        at = np.flatnonzero(several)
+        sides = rows[2, at].view(U)
+        met = any_side[of[at]] | _repeated(of[at], sides >> U(32)) | _repeated(of[at], sides & U(0xFFFFFFFF))
+        keep = group == sure if sure is not None else np.zeros(len(group), dtype=bool)
+        keep[at[met]] = True
+        return rows[:, keep]
 
     return run
 
@@ -264,39 +302,60 @@ def _sort(length: int):
     return run
 
 
+def _places(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """(first value of each list and of the one behind the last, the named fields of all values) of lists of structs."""
+    values = column.flatten()
+    lengths = np.array(column.value_lengths().fill_null(0), dtype=np.int64)
+    return np.concatenate(([0], np.cumsum(lengths))), *(values.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the list of their stretches to (grp, doc, at, bytes)."""
     for batch in batches:
-        for doc, text, wanted in zip(*batch.columns, strict=True):
+        bounds, grp, at, size = _places(batch.column(2), "grp", "at", "size")
+        held, cut, total = [], [], 0
+
+        def made(held: list, cut: list) -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], names=["grp", "doc", "at", "bytes"])
+
+        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             raw = text.as_py().encode()
             tag = _tag(raw)
-            own = [w for w in wanted.as_py() if w["at"] >> START_BITS << START_BITS == tag]
-            if own:
-                cut = [raw[w["at"] - tag : w["at"] - tag + w["size"]] for w in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["grp"] for w in own]), pa.array([doc.as_py()] * len(own), pa.int64()), pa.array([w["at"] for w in own]), pa.array(cut, pa.binary())],
-                    names=["grp", "doc", "at", "bytes"],
-                )
+            own = np.arange(bounds[i], bounds[i + 1])
+            own = own[at[own] >> START_BITS << START_BITS == tag]
+            if len(own):
+                held.append((grp[own], np.full(len(own), doc, dtype=np.int64), at[own]))
+                starts = (at[own] - tag).tolist()
+                cut.extend([raw[x : x + n] for x, n in zip(starts, size[own].tolist(), strict=True)])
+                total += int(size[own].sum())
+                if total > MOST_FETCHED:
+                    yield made(held, cut)
+                    held, cut, total = [], [], 0
+        if held:
+            yield made(held, cut)
 
 
 def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*batch.columns, strict=True):
+            bounds, at, size = _places(batch.column(2), "at", "size")
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 raw = (text.as_py() or "").encode()
                 kept, runs = raw, 0
-                if spans.is_valid:
+                if bounds[i] < bounds[i + 1]:
                     tag = _tag(raw)
-                    own = sorted((w["at"] - tag, w["at"] - tag + w["size"]) for w in spans.as_py() if w["at"] >> START_BITS << START_BITS == tag)
-                    pieces, end = [], 0
-                    for a, b in own:
-                        if a > end or not runs:
-                            pieces.append(raw[end:a])
-                            runs += 1
-                        end = max(end, b)
-                    kept = b"".join((*pieces, raw[end:]))
-                rows.append((doc.as_py(), len(raw), len(raw) - len(kept), runs, kept))
+                    starts, sizes = at[bounds[i] : bounds[i + 1]], size[bounds[i] : bounds[i + 1]]
+                    own = starts >> START_BITS << START_BITS == tag
+                    a, b = starts[own] - tag, starts[own] - tag + sizes[own]
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], np.maximum.accumulate(b[order])
+                    first = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1]))) if len(a) else np.empty(0, dtype=np.int64)
+                    last = np.append(first[1:] - 1, len(a) - 1) if len(a) else first
+                    edges = [0, *np.stack((a[first], b[last]), axis=1).ravel().tolist(), len(raw)]
+                    kept, runs = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]), len(first)
+                rows.append((doc, len(raw), len(raw) - len(kept), runs, kept))
             ids, sizes, gone, runs, kept = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (ids, sizes, gone, runs)] + [pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
@@ -312,8 +371,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most_sorted: int = MOST_
     input. Null texts are empty; a null id is no smaller and no larger than any, so such rows stay whole and take nothing;
     rows that share an id take nothing from each other; an empty table gives no rows.
 
-    Exact copies of a smaller id's text go first (when their list is counted small enough to broadcast; else they take the
-    general way to the same result). Stretches shuffle once, by minimiser, with about 20 bytes each; a string that very
+    Exact copies of a smaller id's text go first (when their list is measured small enough to broadcast; else they take
+    the general way to the same result). Stretches shuffle once, by minimiser, with about 20 bytes each; a string that very
     many documents share makes rows of one key, but no more than one row in a document's hundreds, and they stream.
     """
     if not PIECE <= length <= SORTED_BYTES:
@@ -327,7 +386,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most_sorted: int = MOST_
     if few is not copies:
         mark = F.md5(F.encode("text", "UTF-8"))
         known = known.withColumn("mark", mark).join(few, ["doc", "mark"], "left_anti").drop("mark")
-    cut = known.mapInArrow(_cut(length), "k1 long, k2 long, doc long, at long")
+    cut = known.mapInArrow(_cut(length), "k1 long, k2 long, sides long, doc long, at long")
     met = cut.repartition(F.shiftright("k1", 24)).sortWithinPartitions("k1", "k2", "doc", "at")
     met = written(met.mapInArrow(_meet(length), "grp long, doc long, at long, size long"), "stretches")
     spans = met.filter("grp is null").select("doc", "at", "size")

@@ -150,6 +150,7 @@ def dedup_rows():
     rows = documents() + clump(rng, 3000, 12)
     rows += [(5000 + i, "ab" * 200 + str(i) + "a" * 300, "en", "s", 0) for i in range(4)]
     rows += [(5100, prose(rng, 40), "en", "s", 0), (5100, rows[2][1] + " other text of this id", "en", "s", 0)]
+    rows += [(5150, prose(rng, 20) + rows[i % 40][1][:200] if rows[i % 40][1] else None, "en", "s", 0) for i in range(80)]  # many texts of one id
     rows += [(5200, rows[1][1][:49], "en", "s", 0), (5201, rows[1][1][:50], "en", "s", 0), (5202, "\x00" * 120, "en", "s", 0), (5203, "\x00" * 70, "en", "s", 0)]
     rows += [(5300 + i, prose(rng, 5) + "é中" * 40 + prose(rng, 5), "en", "s", 0) for i in range(3)]
     return rows
