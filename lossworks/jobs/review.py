@@ -73,9 +73,11 @@ def review_claims(snapshots: DataFrame, as_of: str | None = None) -> tuple[DataF
 
 def shown(findings: DataFrame, most: int = SHOWN) -> DataFrame:
     """The first findings of each check, in order of claim, date and input, with how many more there are."""
-    own = Window.partitionBy("segment", "check_id")
-    out = findings.withColumns({"nth": F.row_number().over(own.orderBy("claim_id", "evaluation_date", "seq", "detail")), "_n": F.count("*").over(own)})
-    return out.filter(F.col("nth") <= most).withColumn("more", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
+    counts = findings.groupBy("segment", "check_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    order = Window.partitionBy("segment", "check_id").orderBy("claim_id", "evaluation_date", "seq", "detail")
+    # ranked before the shuffle as well: a task holds the first few of each other task, not a check's whole list
+    first = findings.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    return first.join(counts, ["segment", "check_id"])
 
 
 def triangle_findings(paid: DataFrame, incurred: DataFrame) -> DataFrame:

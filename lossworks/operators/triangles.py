@@ -126,6 +126,11 @@ def from_grid(rows: DataFrame, kind: str, ages: list[int]) -> tuple[DataFrame, D
     return cells.select("segment", F.lit(kind).alias("kind"), "origin", "origin_idx", age.alias("age"), "age_idx", F.col("value").cast("double").alias("value")), errors
 
 
+def from_grid_rows(rows: DataFrame) -> DataFrame:
+    """Cells from a row per origin: ``agesMonths`` and ``vals`` side by side, as long as each other; other columns stay."""
+    return rows.select("*", F.posexplode("vals").alias("age_idx", "value")).withColumn("age", F.get(F.col("agesMonths"), F.col("age_idx"))).drop("vals", "agesMonths")
+
+
 def incremental(cells: DataFrame) -> DataFrame:
     """Cumulative to incremental: the first cell as it is; null where this or the cell before is null."""
     before = F.lag(finite("value")).over(Window.partitionBy(*ROW).orderBy("age_idx"))

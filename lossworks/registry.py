@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, growth, large_losses, levels, munich, review, severity, stochastic, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, documents, growth, large_losses, levels, munich, review, severity, stochastic, variance
 from lossworks.operators import factors, triangles
 from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view, parsed_loss_run
 
@@ -337,17 +337,37 @@ def review_claims(spark, sf_dir):
 @query(
     "review_triangles",
     with_triangles("""
-, g AS (
-  SELECT segment, sum((paid - incurred > 1e-9 * greatest(1, abs(paid), abs(incurred)))::INT) AS over_, sum(coalesce(paid < lp, false)::INT) AS np, sum(coalesce(incurred < li, false)::INT) AS ni
-  FROM (SELECT *, lag(paid) OVER w AS lp, lag(incurred) OVER w AS li FROM tri WINDOW w AS (PARTITION BY segment, origin_idx ORDER BY age_idx)) GROUP BY 1
+, p AS (
+  SELECT segment, origin_idx, age_idx, CASE WHEN origin_idx = 1 AND age_idx = 0 THEN 'nan'::DOUBLE WHEN origin_idx = 0 AND age_idx = 2 THEN NULL WHEN origin_idx = 2 AND age_idx = 1 THEN -paid ELSE paid END AS v FROM tri
+), i AS (
+  SELECT segment, origin_idx, age_idx, CASE WHEN origin_idx = 3 AND age_idx = 1 THEN incurred / 4 ELSE incurred END AS v FROM tri WHERE NOT (segment = 'BUILDING' AND origin_idx = 0 AND age_idx = 0)
+), sh AS (
+  SELECT segment, bool_or(odd) AS odd FROM (SELECT coalesce(p.segment, i.segment) AS segment, p.origin_idx IS NULL OR i.origin_idx IS NULL AS odd FROM p FULL JOIN i ON p.segment = i.segment AND p.origin_idx = i.origin_idx AND p.age_idx = i.age_idx) GROUP BY 1
+), c AS (
+  SELECT p.segment, 'p' AS k, origin_idx, age_idx, v FROM p UNION ALL SELECT segment, 'i', origin_idx, age_idx, v FROM i
+), w AS (
+  SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY segment, k, origin_idx ORDER BY age_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+         min(CASE WHEN v IS NOT NULL THEN age_idx END) OVER o AS lo, max(CASE WHEN v IS NOT NULL THEN age_idx END) OVER o AS hi FROM c WINDOW o AS (PARTITION BY segment, k, origin_idx)
+), g AS (
+  SELECT segment, max(odd::INT) AS odd, sum((isfinite(pv) AND isfinite(iv) AND pv - iv > 1e-9 * greatest(1, abs(pv), abs(iv)))::INT) AS over_ FROM (SELECT p.segment, sh.odd, p.v AS pv, i.v AS iv FROM p JOIN sh USING (segment) LEFT JOIN i USING (segment, origin_idx, age_idx)) GROUP BY 1
+), f AS (
+  SELECT segment, sum((v IS NOT NULL AND NOT isfinite(v))::INT) AS nf, sum((k = 'p' AND v < b)::INT) AS np, sum((k = 'i' AND v < b)::INT) AS ni, sum((v IS NULL AND age_idx BETWEEN lo AND hi)::INT) AS gap FROM w GROUP BY 1
 )
-SELECT segment, check_id, CASE WHEN n = 0 THEN 'pass' ELSE bad END AS status, CAST(n AS BIGINT) AS n_findings FROM (
-  SELECT segment, unnest(['non-finite-value', 'shape-mismatch', 'paid-exceeds-incurred', 'negative-incremental-paid', 'negative-incremental-incurred', 'interior-missing']) AS check_id,
-         unnest(['fail', 'fail', 'fail', 'warning', 'warning', 'warning']) AS bad, unnest([0, 0, over_, np, ni, 0]) AS n FROM g)"""),
+SELECT segment, check_id, CASE WHEN odd = 1 AND place > 1 THEN 'not-evaluated' WHEN n = 0 THEN 'pass' ELSE bad END AS status, CAST(n AS BIGINT) AS n_findings FROM (
+  SELECT segment, odd, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['non-finite-value', 'shape-mismatch', 'paid-exceeds-incurred', 'negative-incremental-paid', 'negative-incremental-incurred', 'interior-missing']) AS check_id,
+         unnest(['fail', 'fail', 'fail', 'warning', 'warning', 'warning']) AS bad, unnest([nf, odd, (1 - odd) * over_, (1 - odd) * coalesce(np, 0), (1 - odd) * coalesce(ni, 0), (1 - odd) * gap]) AS n FROM g JOIN f USING (segment))"""),
 )
 def review_triangles(spark, sf_dir):
+    """Triangles with a value that is no number, a gap, a negative payment, a falling amount, and in one segment a missing cell."""
     tri = built(spark, sf_dir)
-    return review.review_triangles(triangles.measure(tri, "paid"), triangles.measure(tri, "incurred"))[0].drop("place")
+    at = lambda o, a: (F.col("origin_idx") == o) & (F.col("age_idx") == a)
+    paid, incurred = F.col("paid"), F.col("incurred")
+    tri = tri.withColumns({
+        "paid": F.when(at(1, 0), float("nan")).when(at(0, 2), F.lit(None).cast("double")).when(at(2, 1), -paid).otherwise(paid),
+        "incurred": F.when(at(3, 1), incurred / 4).otherwise(incurred),
+    })
+    other = tri.filter(~((F.col("segment") == "BUILDING") & at(0, 0)))
+    return review.review_triangles(triangles.measure(tri, "paid"), triangles.measure(other, "incurred"))[0].drop("place")
 
 
 LATEST_SQL = """
@@ -625,7 +645,7 @@ def odp_bootstrap(spark, sf_dir):
 @query(
     "crosscheck",
     with_chain_ladder("paid", f"""{MACK_SQL}, o AS (SELECT origin, segment, ultimate, ultimate * CASE WHEN segment = 'BUILDING' THEN 1.01 ELSE 1 END AS u2 FROM mk WHERE origin IS NOT NULL)
-SELECT segment, count(*) AS common, round(max(abs(ultimate - u2) / greatest(ultimate, u2)), 8) AS max_ultimate, CASE WHEN segment = 'BUILDING' THEN 'disagree' ELSE 'agree' END AS verdict FROM o GROUP BY 1"""),
+SELECT segment, count(*) AS common, round(max(abs(ultimate - u2) / greatest(ultimate, u2)), 8) AS max_ultimate, CASE WHEN max(abs(ultimate - u2) / greatest(ultimate, u2)) <= 1e-6 THEN 'agree' ELSE 'disagree' END AS verdict FROM o GROUP BY 1"""),
 )
 def crosscheck(spark, sf_dir):
     """Chain ladder against Mack, with one segment's ultimates moved by a hundredth."""
@@ -789,3 +809,173 @@ def settlement_adjustment(spark, sf_dir):
     counts = triangles.measure(tri, "reported_count")
     ultimate = chainladder.chain_ladder(counts, chainladder.selected(counts)).select("segment", "origin", F.col("ultimate").alias("ultimate_counts"))
     return adjust.settlement(triangles.measure(tri, "paid"), triangles.measure(tri, "closed_count"), ultimate)
+
+
+@query("triangle_from_long", with_triangles(" SELECT segment, origin, origin_idx, age, age_idx, round(paid, 2) AS value FROM tri WHERE segment <> 'BUILDING'"))
+def triangle_from_long(spark, sf_dir):
+    """Observed cells as a long table; one segment has a cell twice and fails."""
+    rows = built(spark, sf_dir).filter("paid is not null").select("segment", "origin", "age", F.col("paid").alias("value"))
+    rows = rows.unionByName(rows.filter("segment = 'BUILDING' and age = 12"))
+    return rounded(triangles.from_long(rows, "paid")[0].drop("kind"), value=2)
+
+
+@query("add_triangles", with_triangles(" SELECT segment, origin, age, round(paid + case_reserve, 2) AS value FROM tri"))
+def add_triangles(spark, sf_dir):
+    tri = built(spark, sf_dir)
+    return rounded(triangles.add(triangles.measure(tri, "paid"), triangles.measure(tri, "case_reserve")).select("segment", "origin", "age", "value"), value=2)
+
+
+@query("cumulative_triangle", with_triangles(" SELECT segment, origin, age, CASE WHEN open_count IS NOT NULL THEN sum(open_count) OVER (PARTITION BY segment, origin ORDER BY age) END AS value FROM tri"))
+def cumulative_triangle(spark, sf_dir):
+    """Open counts summed over the ages."""
+    return triangles.cumulative(triangles.measure(built(spark, sf_dir), "open_count")).select("segment", "origin", "age", "value")
+
+
+@query("triangle_documents", with_triangles(""" SELECT segment, 'paid' AS kind, origin, origin_idx, age, age_idx, round(paid, 2) AS value FROM tri
+UNION ALL SELECT segment, 'incurred', origin, origin_idx, age, age_idx, round(incurred, 2) FROM tri"""))
+def triangle_documents(spark, sf_dir):
+    """Triangles through JSON documents and back: incurred as it is, paid by its increments."""
+    tri = built(spark, sf_dir)
+    straight, _ = documents.triangle_documents(triangles.measure(tri, "incurred"), AS_OF)
+    steps, _ = documents.triangle_documents(triangles.incremental(triangles.measure(tri, "paid")), AS_OF, is_cumulative=False)
+    return rounded(documents.cells_from_documents(written(straight.unionByName(steps), "documents"))[0], value=2)
+
+
+COHERENCE_SQL = """
+, l AS (
+  SELECT *, max(CASE WHEN ldf IS NOT NULL THEN origin_idx END) OVER (PARTITION BY segment, age_idx) AS lastrow FROM ldf
+), a AS (
+  SELECT segment, age_idx, from_age, to_age, sum(c1) / sum(c0) AS f FROM l WHERE ldf IS NOT NULL AND origin_idx > lastrow - 5 GROUP BY 1, 2, 3, 4
+), s AS (
+  SELECT *, CASE age_idx WHEN 2 THEN f * (1 + 1e-8) WHEN 3 THEN 1.25 ELSE f END AS actual FROM a
+)
+SELECT segment, from_age, to_age, CASE WHEN age_idx = 3 THEN 'value-only' ELSE 'exact' END AS capability, round(CASE WHEN age_idx <> 3 THEN f END, 8) AS expected, round(actual, 8) AS actual,
+       CASE WHEN age_idx <> 3 THEN abs(actual - f) / greatest(actual, f) <= 1e-9 END AS coherent FROM s"""
+
+
+@query("selection_coherence", with_triangles(f", {factors.RATIOS_SQL.format(kind='paid')}{COHERENCE_SQL}"))
+def selection_coherence(spark, sf_dir):
+    """Five-year weighted factors through JSON documents, one of them moved by a hundred-millionth and one a judgment."""
+    cells = triangles.measure(built(spark, sf_dir), "paid")
+    picked = factors.averages(factors.link_ratios(cells)).filter("avg_key = '5-wtd' and value is not null")
+    stated = picked.withColumns({
+        "value": F.when(F.col("age_idx") == 2, F.col("value") * (1 + 1e-8)).when(F.col("age_idx") == 3, 1.25).otherwise(F.col("value")),
+        "avg_key": F.when(F.col("age_idx") != 3, F.col("avg_key")), "rationale": F.when(F.col("age_idx") == 3, "changed settlement"),
+    })
+    entries, _, _ = documents.selections_from_documents(written(documents.selection_documents(stated), "documents"))
+    out = documents.check_coherence(entries, cells)[0]
+    return rounded(out.select("segment", "from_age", "to_age", "capability", "expected", "actual", "coherent"), expected=8, actual=8)
+
+
+@query("trend_value", with_claims(" SELECT segment, origin, round(earned_premium * pow(1.03, 2001 - CAST(origin AS INTEGER)), 2) AS value FROM expo"))
+def trend_value(spark, sf_dir):
+    """Premium at the level of 2001."""
+    value = levels.trend_value(F.col("earned_premium"), F.lit(0.03), F.col("origin").cast("int"), F.lit(2001))
+    return rounded(exposures_view(spark, sf_dir).select("segment", "origin", value.alias("value")), value=2)
+
+
+@query("percent_developed", with_chain_ladder("incurred", " SELECT segment, age, round(1 / cdf, 8) AS pct FROM cdf"))
+def percent_developed(spark, sf_dir):
+    cells = triangles.measure(built(spark, sf_dir), "incurred")
+    return rounded(cashflow.percent_developed(chainladder.cdfs(cells, chainladder.selected(cells))).select("segment", "age", "pct"), pct=8)
+
+
+@query(
+    "findings_shown",
+    with_claims(REVIEW_SQL[: REVIEW_SQL.index(", f AS (")] + """
+, k AS (
+  SELECT segment, 'negative-paid' AS check_id, claim_id, evaluation_date, seq FROM w WHERE paid < 0
+  UNION ALL SELECT segment, 'duplicate-snapshot', claim_id, evaluation_date, seq FROM w WHERE nth > 1
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY segment, check_id ORDER BY claim_id, evaluation_date, seq) AS nth, count(*) OVER (PARTITION BY segment, check_id) AS n FROM k
+)
+SELECT segment, check_id, claim_id, CAST(nth AS INTEGER) AS nth, CAST(greatest(n - 20, 0) AS BIGINT) AS more FROM r WHERE nth <= 20"""),
+)
+def findings_shown(spark, sf_dir):
+    """Two checks' first twenty findings, with how many more there are."""
+    found = review.review_claims(dirty_claims(spark, sf_dir), AS_OF)[1].filter("check_id in ('negative-paid', 'duplicate-snapshot')")
+    return review.shown(found).select("segment", "check_id", "claim_id", "nth", "more")
+
+
+LEDGER_SQL = """
+, e AS (
+  SELECT segment AS analysis_id, CAST(age_idx + 1 + (age_idx > 4)::INT AS INTEGER) AS seq, 'ldf-' || age_idx AS field, CASE WHEN age_idx % 2 = 0 THEN 'actuary' ELSE 'default' END AS actor,
+         CASE WHEN age_idx % 4 = 0 THEN ' ' ELSE 'weighted' END AS rationale FROM sel
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY seq) AS nth FROM e
+)
+SELECT analysis_id, seq, field, CASE WHEN actor <> 'default' AND trim(rationale) = '' THEN 'NO_RATIONALE' ELSE 'BAD_SEQUENCE' END AS code FROM n WHERE (actor <> 'default' AND trim(rationale) = '') OR seq <> nth"""
+
+
+@query("ledger_errors", with_chain_ladder("paid", LEDGER_SQL))
+def ledger_errors(spark, sf_dir):
+    """A ledger of factors with blank rationales, default entries and a gap in its numbers."""
+    k = F.col("age_idx")
+    picked = chainladder.selected(triangles.measure(built(spark, sf_dir), "paid"))
+    ledger = picked.select(
+        F.col("segment").alias("analysis_id"), (k + 1 + (k > 4).cast("int")).cast("int").alias("seq"), F.concat(F.lit("ldf-"), k.cast("string")).alias("field"),
+        F.when(k % 2 == 0, "actuary").otherwise("default").alias("actor"), F.when(k % 4 == 0, " ").otherwise("weighted").alias("rationale"),
+    )
+    return compare.ledger_errors(ledger)
+
+
+ULAE_SQL = """
+, b AS (
+  SELECT segment, sum(ultimate) AS l, 0.04 * sum(latest) AS m, sum(r) AS r, sum(latest) AS p, 0.9 * sum(latest) AS c
+  FROM cl JOIN (SELECT segment, origin, arg_max(incurred, age_idx) AS r FROM tri WHERE incurred IS NOT NULL GROUP BY 1, 2) USING (segment, origin) GROUP BY 1
+)
+SELECT segment, form, round(CASE form WHEN 'expected' THEN 0.05 * l - m WHEN 'bf' THEN 0.05 * (0.3 * (l - r) + 0.3 * (l - p) + 0.4 * (l - c)) ELSE m * l / (0.3 * r + 0.3 * p + 0.4 * c) - m END, 2) AS reserve
+FROM b CROSS JOIN (VALUES ('expected'), ('bf'), ('development')) t(form)"""
+
+
+@query("ulae_reserve", with_chain_ladder("paid", ULAE_SQL))
+def ulae_reserve(spark, sf_dir):
+    """Expenses are 4 % of payments so far and 5 % in the end; nine tenths of payments belong to closed claims."""
+    tri = built(spark, sf_dir)
+    incurred = triangles.latest(triangles.measure(tri, "incurred")).select("segment", "origin", F.col("latest").alias("r"))
+    cells = triangles.measure(tri, "paid")
+    both = chainladder.chain_ladder(cells, chainladder.selected(cells)).join(incurred, ["segment", "origin"])
+    rows = both.groupBy("segment").agg(F.sum("ultimate").alias("ultimate_losses"), (0.04 * F.sum("latest")).alias("ulae_paid"), F.sum("r").alias("reported_ultimate"), F.sum("latest").alias("paid"), (0.9 * F.sum("latest")).alias("closed_ultimate"))
+    rows = written(rows.withColumn("selected_w", F.lit(0.05)), "ulae")
+    out = None
+    for form in ("expected", "bf", "development"):
+        part = cashflow.ulae_reserve(rows, (0.3, 0.3, 0.4), form).select("segment", F.lit(form).alias("form"), "reserve")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, reserve=2)
+
+
+ILF_SQL = """
+, t AS (
+  SELECT segment, lim, avg(least(greatest(v, 0), lim)) / avg(least(greatest(v, 0), 10000)) AS f FROM lt CROSS JOIN (VALUES (10000.0::DOUBLE), (50000.0), (100000.0), (250000.0)) x(lim) GROUP BY 1, 2
+), q AS (
+  SELECT segment, round(avg(v) * k, 2) AS lim FROM lt CROSS JOIN (VALUES (0.01), (0.5), (1), (2)) x(k) GROUP BY segment, k
+), nb AS (
+  SELECT q.segment, q.lim, max(t.lim) FILTER (t.lim <= q.lim) AS lo, min(t.lim) FILTER (t.lim > q.lim) AS hi FROM q JOIN t USING (segment) GROUP BY 1, 2
+)
+SELECT nb.segment, nb.lim AS "limit", round(a.f * pow(b.f / a.f, ln(nb.lim / lo) / ln(hi / lo)), 8) AS factor FROM nb LEFT JOIN t a ON a.segment = nb.segment AND a.lim = lo LEFT JOIN t b ON b.segment = nb.segment AND b.lim = hi"""
+
+
+@query("increased_limits", with_claims(LATEST_SQL + ILF_SQL))
+def increased_limits(spark, sf_dir):
+    """A table of limited averages of the claims, read at multiples of the average claim; null outside the table."""
+    latest = large_losses.latest_snapshots(claims_view(spark, sf_dir), AS_OF).select("segment", (F.col("paid_to_date") + F.col("case_reserve")).alias("v"))
+    limits = (10_000.0, 50_000.0, 100_000.0, 250_000.0)
+    means = written(latest.groupBy("segment").agg(F.avg("v").alias("mean"), *(F.avg(F.least(F.greatest("v", F.lit(0.0)), F.lit(x))).alias(f"m{k}") for k, x in enumerate(limits))), "limited-means")
+    rows = F.explode(F.array(*(F.struct(F.lit(x).alias("limit"), (F.col(f"m{k}") / F.col("m0")).alias("factor")) for k, x in enumerate(limits))))
+    table = means.select("segment", rows.alias("r")).select("segment", "r.*")
+    asked = means.select("segment", F.explode(F.array(*(F.round(F.col("mean") * k, 2) for k in (0.01, 0.5, 1.0, 2.0)))).alias("limit"))
+    return rounded(severity.interpolated_ilf(table, asked), factor=8)
+
+
+@query("tail_fit_inverse_power", with_chain_ladder("paid", TAIL_SQL.replace("SELECT segment, age_idx + 1 AS j, f, CASE", "SELECT segment, ln(age_idx + 1) AS x, age_idx + 1 AS j, f, CASE").replace("regr_slope(y, j)", "regr_slope(y, x)").replace("regr_intercept(y, j)", "regr_intercept(y, x)").replace("slope * (last + k)", "slope * ln(last + k)")))
+def tail_fit_inverse_power(spark, sf_dir):
+    out = levels.fit_tail(chainladder.selected(triangles.measure(built(spark, sf_dir), "paid")), "inverse_power")
+    return rounded(out.select("segment", "n_points", "slope", "valid", "tail_factor"), slope=8, tail_factor=8)
+
+
+@query("origin_intervals", with_claims(" SELECT DISTINCT segment, year(accident_date) || 'Q' || quarter(accident_date) AS origin, year(accident_date) + (quarter(accident_date) - 1) / 4 AS p0, year(accident_date) + quarter(accident_date) / 4 AS p1 FROM snap"))
+def origin_intervals(spark, sf_dir):
+    """Every quarter with a claim as a period in years."""
+    label = F.concat(F.year("accident_date").cast("string"), F.lit("Q"), F.quarter("accident_date").cast("string"))
+    rows = claims_view(spark, sf_dir).select("segment", label.alias("origin")).distinct()
+    return rows.withColumn("i", documents.origin_interval(F.col("origin"))).select("segment", "origin", "i.p0", "i.p1")
