@@ -58,14 +58,15 @@ def ulae_ratios(periods: DataFrame, weights: tuple[float, float, float], basis:
     """Per period (null: all) ``basis`` and ``ratio`` of expense paid to it; null where the basis isn't positive.
 
     ``periods``: segment, period, ulae_paid, reported_ultimate, paid, closed_ultimate. The weights of opening, maintaining
-    and closing lie in [0, 1] and add up to 1.
+    and closing lie in [0, 1] and add up to 1. A segment with an amount below 0 has no rows (``errors.ulae_errors``).
     """
     if any(not 0 <= w <= 1 for w in weights) or abs(sum(weights) - 1) > 1e-6:
         raise ValueError("BAD_WEIGHTS: weights lie in [0, 1] and add up to 1")
     u1, u2, u3 = weights
     own = F.col("paid") if basis == "paid" else u1 * F.col("reported_ultimate") + u2 * F.col("paid") + u3 * F.col("closed_ultimate")
-    good = periods.filter("ulae_paid >= 0 and paid >= 0 and reported_ultimate >= 0 and closed_ultimate >= 0")
-    out = good.withColumn("basis", own).rollup("segment", "period").agg(F.sum("ulae_paid").alias("ulae_paid"), F.sum("basis").alias("basis")).filter("segment is not null")
+    bad = ~F.coalesce(F.least(*(F.when(finite(c) >= 0, 1).otherwise(0) for c in ("ulae_paid", "paid", "reported_ultimate", "closed_ultimate"))) == 1, F.lit(False))
+    whole = periods.withColumn("_bad", F.max(bad.cast("int")).over(Window.partitionBy("segment"))).filter("_bad = 0").drop("_bad")
+    out = whole.withColumn("basis", own).rollup("segment", "period").agg(F.sum("ulae_paid").alias("ulae_paid"), F.sum("basis").alias("basis")).filter("segment is not null")
     return out.withColumn("ratio", F.when(F.col("basis") > 0, F.col("ulae_paid") / F.col("basis")))
 
 

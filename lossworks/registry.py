@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, documents, growth, large_losses, levels, munich, review, severity, stochastic, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, documents, errors, growth, large_losses, levels, munich, review, severity, stochastic, variance
 from lossworks.operators import factors, triangles
 from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view, parsed_loss_run
 
@@ -979,3 +979,30 @@ def origin_intervals(spark, sf_dir):
     label = F.concat(F.year("accident_date").cast("string"), F.lit("Q"), F.quarter("accident_date").cast("string"))
     rows = claims_view(spark, sf_dir).select("segment", label.alias("origin")).distinct()
     return rows.withColumn("i", documents.origin_interval(F.col("origin"))).select("segment", "origin", "i.p0", "i.p1")
+
+
+ERRORS_SQL = """
+, d AS (
+  SELECT segment, origin_idx, age_idx, age, CASE WHEN (segment = 'BUILDING' AND age_idx = 3) OR (segment = 'FURNITURE' AND origin_idx = 1 AND age_idx = 1) THEN NULL WHEN segment = 'MACHINERY' AND origin_idx = 2 AND age_idx = 0 THEN -paid ELSE paid END AS v
+  FROM tri WHERE NOT (segment = 'AUTOMOBILE' AND age_idx > 0) AND NOT (segment = 'HOUSEHOLD' AND origin_idx > 4)
+), z AS (
+  SELECT segment, max(origin_idx) + 1 AS o, max(age_idx) + 1 AS k, bool_or(origin_idx + age_idx <= mo AND coalesce(v, 0) <= 0) AS hole, bool_or(origin_idx + age_idx > mo AND v IS NOT NULL) AS beyond FROM (SELECT *, max(origin_idx) OVER (PARTITION BY segment) AS mo FROM d) GROUP BY 1
+), e AS (
+  SELECT segment, min(age_idx) FILTER (n = 0) AS bare FROM (
+    SELECT segment, age_idx, count(CASE WHEN v > 0 THEN nx END) AS n FROM (SELECT *, lead(v) OVER w AS nx, lead(age) OVER w AS na FROM d WINDOW w AS (PARTITION BY segment, origin_idx ORDER BY age_idx)) WHERE na IS NOT NULL GROUP BY 1, 2) GROUP BY 1
+), m AS (
+  SELECT segment, 'mack' AS method, CASE WHEN k < 2 THEN 'TOO_SMALL' WHEN bare IS NOT NULL THEN 'NO_FACTOR' END AS code FROM z LEFT JOIN e USING (segment)
+  UNION ALL SELECT segment, 'odp_fit', CASE WHEN o < 3 OR k < 3 THEN 'TOO_SMALL' WHEN bare IS NOT NULL THEN 'NO_FACTOR' END FROM z LEFT JOIN e USING (segment)
+  UNION ALL SELECT segment, 'merz_wuthrich', CASE WHEN o <> k OR hole OR beyond THEN 'SHAPE' WHEN o < 2 THEN 'TOO_SMALL' END FROM z
+)
+SELECT segment, method, code FROM m WHERE code IS NOT NULL"""
+
+
+@query("method_errors", with_triangles(ERRORS_SQL))
+def method_errors(spark, sf_dir):
+    """Segments with one age, an age without values, a negative cell, a hole and missing origins, and who leaves them out."""
+    at = lambda s, o, a: (F.col("segment") == s) & (F.lit(True) if o is None else F.col("origin_idx") == o) & (F.col("age_idx") == a)
+    value = F.when(at("BUILDING", None, 3) | at("FURNITURE", 1, 1), F.lit(None).cast("double")).when(at("MACHINERY", 2, 0), -F.col("value")).otherwise(F.col("value"))
+    cells = triangles.measure(built(spark, sf_dir), "paid").withColumn("value", value)
+    cells = written(cells.filter("not (segment = 'AUTOMOBILE' and age_idx > 0) and not (segment = 'HOUSEHOLD' and origin_idx > 4)"), "dirty-triangles")
+    return errors.mack_errors(cells).unionByName(errors.odp_errors(cells)).unionByName(errors.merz_wuthrich_errors(cells)).drop("message")
