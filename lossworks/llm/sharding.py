@@ -20,7 +20,8 @@ SHARDS = 24
 HEAVY = 1 / 8
 #: Bins of one histogram pass, and the error allowed in a split as a part of a shard's bytes.
 BINS, SLACK = 512, 1 / 1000
-SLOT_BUCKETS = 64
+#: Rows that one slot window sorts on average; the number of windows follows the table.
+ROWS_PER_WINDOW = 200_000
 DIMENSIONS = ("k_size", "k_source", "k_lang")
 LOW = 1 << 32
 
@@ -151,7 +152,8 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     rows = written(points(docs), "shard-rows")
     groups = written(_grouped(rows), "shard-groups")
-    total = groups.agg(F.sum("weight")).first()[0] or 0
+    total, n_rows = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.col("weight") / F.col("size")), F.lit(0.0))).first()
+    buckets = 1 + int(n_rows) // (shards * ROWS_PER_WINDOW)
     most = max(1, int(total / shards * HEAVY))
     heavy = groups.filter(F.col("weight") > most).select("text_hash", "size", F.ceil(F.col("weight") / most).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
@@ -171,7 +173,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     leaves = kd_tree(at, shards).select("text_hash", "size", "part", F.col("node").cast("int").alias("shard"))
     placed = (
         rows.join(F.broadcast(heavy), ["text_hash", "size"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(part)).join(leaves, ["text_hash", "size", "part"])
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SLOT_BUCKETS)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "bucket")
     )
     placed = written(placed, "shard-placed")
@@ -180,7 +182,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     return (
         placed.withColumn("at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), ["shard", "bucket"])  # shards x SLOT_BUCKETS rows at most
+        .join(F.broadcast(starts), ["shard", "bucket"])  # a row for each window
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),

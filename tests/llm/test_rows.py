@@ -151,9 +151,10 @@ def test_plain_words_take_the_short_way_alike():
         packing.REMEMBERED = packing_limit
 
 
-def test_sharding(spark):
+def test_sharding(spark, monkeypatch):
     rows = documents(800) + [(5000 + i, "copy of one text " * 20, "en", f"src{i % 9}", 0) for i in range(900)]
     df = frame(spark, rows, clash=True)
+    monkeypatch.setattr(sharding, "ROWS_PER_WINDOW", 10)
     out = sharding.kd_shards(df).collect()
     assert len(out) == len(rows)
     assert sorted(map(str, out)) == sorted(map(str, sharding.kd_shards(df.repartition(7)).collect()))
