@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossworks.functions.numbers import finite
+from lossworks.functions.order import at_ranks, in_buckets, running
 
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 ANCHORS = (0.75, 0.9, 0.95, 0.99)
@@ -46,18 +47,15 @@ def cap_claims(snapshots: DataFrame, cap: float, index_rate: float = 0.0, base_y
     return rows.withColumn("_cap", limit).withColumns({"case_reserve": whole - paid, "paid_to_date": paid}).select(*snapshots.columns)
 
 
-def _ceil_rank(value: str, p: float, name: str) -> Column:
-    """The value of rank ceil(p n)."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})").alias(name)
-
-
 def size_by_year(snapshots: DataFrame, as_of: str | None = None) -> DataFrame:
     """``segment, year, claim_count, total_incurred, max_claim, nonzero_count`` and ceil-rank percentiles."""
     rows = latest_snapshots(snapshots, as_of).select("segment", F.year("accident_date").alias("year"), (F.col("paid_to_date") + F.col("case_reserve")).alias("incurred"))
-    return rows.groupBy("segment", "year").agg(
-        F.count("*").alias("claim_count"), F.sum("incurred").alias("total_incurred"), F.max("incurred").alias("max_claim"),
-        F.count_if(F.col("incurred") > 0).alias("nonzero_count"), *(_ceil_rank("incurred", p, f"p{round(p * 100)}") for p in PERCENTILES),
+    sizes = rows.groupBy("segment", "year").agg(
+        F.count("*").alias("claim_count"), F.sum("incurred").alias("total_incurred"), F.max("incurred").alias("max_claim"), F.count_if(F.col("incurred") > 0).alias("nonzero_count")
     )
+    ranks = at_ranks(rows, ["segment", "year"], "incurred", {f"p{round(p * 100)}": p for p in PERCENTILES}).withColumnsRenamed({"segment": "_segment", "year": "_year"})
+    same = F.col("segment").eqNullSafe(F.col("_segment")) & F.col("year").eqNullSafe(F.col("_year"))
+    return sizes.join(ranks, same, "left").drop("_segment", "_year")
 
 
 def nice(value: Column) -> Column:
@@ -72,7 +70,7 @@ def candidate_caps(snapshots: DataFrame, as_of: str | None = None, index_rate: f
     rows = latest_snapshots(snapshots, as_of).join(latest_accident_year(snapshots, as_of), "segment")
     level = F.pow(F.lit(1.0 + index_rate), F.year("accident_date") - F.col("base_year"))
     rows = rows.select("segment", ((F.col("paid_to_date") + F.col("case_reserve")) / level).alias("size")).filter("size > 0")
-    found = rows.groupBy("segment").agg(*(_ceil_rank("size", p, f"a{k}") for k, p in enumerate(ANCHORS)))
+    found = at_ranks(rows, ["segment"], "size", {f"a{k}": p for k, p in enumerate(ANCHORS)})
     caps = found.select("segment", F.explode(F.array(*(nice(F.col(f"a{k}")) for k in range(len(ANCHORS))))).alias("cap"))
     if more := [float(x) for x in extra if x > 0]:
         caps = caps.union(found.select("segment", F.explode(F.array(*map(F.lit, more))).alias("cap")))
@@ -106,13 +104,14 @@ def severity_observations(snapshots: DataFrame, base_year: int, as_of: str | Non
 def survival(observations: DataFrame) -> DataFrame:
     """``segment, value, events, at_risk, survival``: the product limit at each distinct closed value.
 
-    Values are counted first, so the windows run over distinct values, not claims.
+    Values are counted first, and the counts run over range buckets: no task holds a segment's values.
     """
     counts = observations.filter(finite("value").isNotNull()).groupBy("segment", "value").agg(F.count_if(~F.col("censored")).alias("events"), F.count("*").alias("n"))
-    down = Window.partitionBy("segment").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("segment").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("at_risk", F.sum("n").over(down)).filter("events > 0")
-    return out.withColumn("survival", F.product(1 - F.col("events") / F.col("at_risk")).over(up)).drop("n")
+    counts = running(in_buckets(counts, ["segment"], ["value"]), ["segment"], ["value"], sums={"upto": "n"})
+    whole = counts.groupBy("segment").agg(F.sum("n").alias("whole")).withColumnRenamed("segment", "_segment")
+    seen = counts.join(whole, F.col("segment").eqNullSafe(F.col("_segment"))).drop("_segment").withColumn("at_risk", F.col("whole") - F.col("upto") + F.col("n")).filter("events > 0")
+    out = running(seen, ["segment"], ["value"], products={"survival": 1 - F.col("events") / F.col("at_risk")})
+    return out.select("segment", "value", "events", "at_risk", "survival")
 
 
 def survival_quantiles(observations: DataFrame, probes: tuple[float, ...]) -> DataFrame:

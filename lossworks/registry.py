@@ -423,19 +423,19 @@ def cap_claims(spark, sf_dir):
 
 KM_SQL = """
 , o AS (
-  SELECT segment, round(v, 0) AS value, count(*) FILTER (status <> 'open') AS events, count(*) AS n FROM lt GROUP BY 1, 2
+  SELECT segment, v AS value, count(*) FILTER (status <> 'open') AS events, count(*) AS n FROM lt GROUP BY 1, 2
 ), r AS (
   SELECT *, sum(n) OVER (PARTITION BY segment ORDER BY value DESC) AS at_risk FROM o
 ), s AS (
   SELECT segment, value, product(1 - events / at_risk) OVER (PARTITION BY segment ORDER BY value) AS survival FROM r WHERE events > 0
 )
-SELECT segment, p::DOUBLE AS p, min(CASE WHEN survival <= 1 - p + 1e-12 THEN value END) AS quantile FROM s CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(p) GROUP BY 1, 2"""
+SELECT segment, p::DOUBLE AS p, round(min(CASE WHEN survival <= 1 - p + 1e-12 THEN value END), 4) AS quantile FROM s CROSS JOIN (VALUES (0.25), (0.5), (0.75)) t(p) GROUP BY 1, 2"""
 
 
 @query("survival_quantiles", with_claims(LATEST_SQL + KM_SQL))
 def survival_quantiles(spark, sf_dir):
     seen = large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF)
-    return large_losses.survival_quantiles(seen.withColumn("value", F.round("value", 0)), (0.25, 0.5, 0.75))
+    return rounded(large_losses.survival_quantiles(seen, (0.25, 0.5, 0.75)), quantile=4)
 
 
 TREND_SQL = """
