@@ -6,9 +6,10 @@ and every document is emitted floor(rate) times plus one more time when a keyed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lossworks.functions.order import in_buckets, running
 from lossworks.llm.common import broadcast_if_small, documents, n_words, text_or_empty, unused, written
 
 CAP = 3
@@ -21,34 +22,40 @@ def cyclic_weight(order: Column, cycle: int = 3) -> Column:
 
 
 def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
-    """Per-source targets from ``source, source_size``: one row per source, so a table as small as the list of sources.
+    """Per-source targets from ``source, source_size``, one row per source.
 
     All sizes are shared out by weight; a target stops at ``cap`` times its size and the excess goes to the others by
     weight, until none is above. With sources in order of cap/weight, the capped ones are a prefix: source i is capped
     when the level of the sources from i on, (total - caps before i) / (weights from i on), lifts it to its cap. All
-    terms are whole numbers, so the comparison is exact and the level is a single division.
+    terms are whole numbers, so the comparison is exact and the level is a single division. Both orders run over range
+    buckets, so no task holds all sources; the driver gets two totals and the level.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("place"))
-    whole = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("place", F.row_number().over(by_name) - 1)
+    by_name = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    by_ratio = [F.col("limit") / F.col("weight"), F.col("place")]
+    placed = running(in_buckets(sizes.select("source", "source_size"), [], by_name), [], by_name, sums={"place": F.lit(1).cast("long")})
+    weighed = (
+        placed.drop("bucket").withColumn("place", F.col("place") - 1)
         .withColumn("weight", cyclic_weight(F.col("place")))
         .withColumn("limit", F.col("source_size") * cap)
-        .withColumn("total", F.sum("source_size").over(whole))
-        .withColumn("room", F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0)))
-        .withColumn("heft", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("capped", F.col("room") * F.col("weight") >= F.col("limit") * F.col("heft"))
-        .withColumn("left", F.coalesce(F.max(F.when(~F.col("capped"), F.struct("room", "heft"))).over(whole), F.struct("room", "heft")))
-        .withColumn(
-            "target",
-            F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(
-                (F.col("left.room") * F.col("weight")).cast("double") / F.col("left.heft").cast("double")
-            ),
-        )
-        .select("source", "source_size", "target")
     )
+    weighed = in_buckets(weighed, [], by_ratio)
+    total, weights = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (
+        running(weighed, [], by_ratio, sums={"limits": "limit", "weights": "weight"})
+        .withColumn("room", F.lit(total) - (F.col("limits") - F.col("limit")))
+        .withColumn("heft", F.lit(weights) - (F.col("weights") - F.col("weight")))
+        .withColumn("capped", _wide("room") * _wide("weight") >= _wide("limit") * _wide("heft"))
+    )
+    level = written(level.select("source", "source_size", "weight", "limit", "room", "heft", "capped"), "levels")
+    left = level.agg(F.max(F.when(~F.col("capped"), F.struct("room", "heft"))).alias("left")).first()["left"]
+    room, heft = left or (0, 1)  # with all of them capped no target asks for the level
+    shared = (F.lit(room).cast("long") * F.col("weight")).cast("double") / F.lit(float(heft))
+    return level.select("source", "source_size", F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(shared).alias("target"))
+
+
+def _wide(name: str) -> Column:
+    """A whole number whose products don't overflow."""
+    return F.col(name).cast("decimal(19, 0)")
 
 
 def coin(seed: str = SEED) -> Column:

@@ -91,6 +91,30 @@ def test_targets(spark, sizes):
     assert sum(got.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_targets_of_many_sources(spark):
+    """A thousand sources, ties among them, over many buckets: the level found by giving the excess away round by round."""
+    rng = random.Random(3)
+    sizes = {f"s{i:04}": rng.choice((0, 1, 5, 5, 40, rng.randint(1, 10**6))) for i in range(1000)} | {None: 77}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    capped: set = set()
+    while True:
+        room = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+        heft = sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in order if s not in capped and room * weight[s] >= 3 * sizes[s] * heft}
+        if not over:
+            break
+        capped |= over
+    expected = {s: 3.0 * sizes[s] if s in capped else room * weight[s] / heft for s in order}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.targets(spark.createDataFrame([*sizes.items()], "source string, source_size long").repartition(7)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["source"]: r["target"] for r in got} == {s: pytest.approx(t, rel=1e-12) for s, t in expected.items()}
+    assert sum(r["target"] for r in got) == pytest.approx(sum(sizes.values()))
+
+
 def test_mixing(spark):
     df = frame(spark, clash=True)
     one, two = (sorted(map(str, mixing.mix(x).select("doc_id", "size", "source_size", "target", "taken").collect())) for x in (df, df.repartition(5)))
