@@ -36,6 +36,8 @@ SKETCH = tuple(f"bits{k}" for k in range(4))
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
 COUNTED = 4_000_000  # shingles that one task counts at a time
 REMEMBERED = 500_000
+#: Bits of a set's name. Names that different sets share are replaced, so fewer bits only cost more replacements.
+NAME_BITS = 64
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -73,9 +75,16 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def class_of(found: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), dtype=np.int64)[0])
+def names_of(found: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """A set's name and its second name: the halves of a 128-bit hash, the first one cut to ``bits``."""
+    first, second = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64)
+    return int(first) >> (64 - bits), int(second)
+
+
+def class_of(found: np.ndarray, bits: int, clashes: frozenset[int]) -> int:
+    """The set's name, or where sets of other second names share that, its second name."""
+    first, second = names_of(found, bits)
+    return second if first in clashes else first
 
 
 def _needed(n, percent: int):
@@ -83,44 +92,46 @@ def _needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _scan(words: int):
-    """Rows of documents (doc_id, mark, n, node) and rows of shingles seen twice or more in a batch (shingle, times)."""
+def _scan(words: int, bits: int):
+    """Rows of documents (doc_id, mark, n, node, second) and of shingles seen twice or more in a batch (shingle, times)."""
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
         return found[times > 1], times[times > 1]
 
-    def batch_of(ids, marks, n, node, shingle, times) -> pa.RecordBatch:
+    def batch_of(ids, marks, n, node, second, shingle, times) -> pa.RecordBatch:
         a, b = len(ids), len(shingle)
         columns = [
-            pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(b, pa.int64())]) for x in (ids, marks, n, node)
+            pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(b, pa.int64())]) for x in (ids, marks, n, node, second)
         ] + [pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(x, pa.int64())]) for x in (shingle, times)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "node", "shingle", "times"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "node", "second", "shingle", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         for batch in batches:
-            n, node = [], []
+            n, node, second = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
+                names = names_of(found, bits)
                 n.append(len(found))
-                node.append(class_of(found))
-                if node[-1] not in seen:
+                node.append(names[0])
+                second.append(names[1])
+                if names not in seen:
                     held.append(found)
                     size += len(found)
                     if len(seen) < REMEMBERED:
-                        seen.add(node[-1])
+                        seen.add(names)
             full = size >= COUNTED
-            yield batch_of(batch.column(0), batch.column(2), n, node, *(frequent(held) if full else ([], [])))
+            yield batch_of(batch.column(0), batch.column(2), n, node, second, *(frequent(held) if full else ([], [])))
             if full:
                 held, size = [], 0
         if held:
-            yield batch_of([], [], [], [], *frequent(held))
+            yield batch_of([], [], [], [], [], *frequent(held))
 
     return run
 
 
-def _prefixes(words: int, percent: int, frequent):
+def _prefixes(words: int, percent: int, frequent, bits: int, clashes: frozenset[int]):
     """The longest prefixes: (shingle, node, n, rank, end) in the order rare first, once for each set in a task.
 
     ``end`` is the place of a prefix's last shingle in the order, as a number.
@@ -134,7 +145,7 @@ def _prefixes(words: int, percent: int, frequent):
             nodes, sizes, lengths, ends = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
-                node, n = class_of(found), len(found)
+                node, n = class_of(found, bits, clashes), len(found)
                 if not n or node in seen:
                     continue
                 if len(seen) < REMEMBERED:
@@ -192,13 +203,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _sets(words: int):
+def _sets(words: int, bits: int, clashes: frozenset[int]):
     """(node, set), once for each set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found = {class_of(x): x for x in (shingles(t.as_py(), words) for t in batch.column(1))}
+            found = {class_of(x, bits, clashes): x for x in (shingles(t.as_py(), words) for t in batch.column(1))}
             found = {k: x for k, x in found.items() if k not in seen}
             if len(seen) < REMEMBERED:
                 seen.update(found)
@@ -311,17 +322,22 @@ def _may_be_first(a: str, b: str, percent: int):
     return near & room & (F.least(h1, h2) + 1 >= ask) & (shared_at_most(a, b, b1 + h1 + 1) >= ask) & (shared_at_most(b, a, b2 + h2 + 1) >= ask)
 
 
-def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = NAME_BITS) -> DataFrame:
     """One row per document: ``doc_id``, ``mark`` (a hash of the text), ``n``, ``root`` and ``component_id``.
 
-    ``root`` names the component (null without shingles), ``component_id`` is its smallest id.
+    ``root`` names the component (null without shingles), ``component_id`` is its smallest id. Names of ``bits`` bits that
+    sets of different second names share (of 64 bits: less than one among 10^9 sets, about 300 among 10^11) are listed
+    first, and these sets go by their second names, so that two sets are one only if all 128 bits agree.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("mark"))
-    rows = written(texts.mapInArrow(_scan(words), "doc_id long, mark long, n long, node long, shingle long, times long"), "sets")
-    own = rows.filter("node is not null").select("doc_id", "mark", "n", "node")
+    rows = written(texts.mapInArrow(_scan(words, bits), "doc_id long, mark long, n long, node long, second long, shingle long, times long"), "sets")
+    shared_names = rows.filter("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high")
+    clashes = frozenset(r["node"] for r in shared_names.select("node").collect())
+    own_name = F.when(F.col("node").isin(*clashes), F.col("second")).otherwise(F.col("node")) if clashes else F.col("node")
+    own = rows.filter("node is not null").select("doc_id", "mark", "n", own_name.alias("node"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows))
-    raw = texts.mapInArrow(_prefixes(words, percent, frequent), "shingle long, node long, n int, rank int, end long")
+    raw = texts.mapInArrow(_prefixes(words, percent, frequent, bits, clashes), "shingle long, node long, n int, rank int, end long")
     met = raw.repartition("shingle").sortWithinPartitions("shingle", "node", "rank")
     # a set that several tasks hold comes several times; its second row for a shingle goes
     shared = written(met.mapInArrow(_shared, "shingle long, node long, n int, rank int, end long, c long").dropDuplicates(["shingle", "node"]), "shared")
@@ -359,7 +375,7 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = broadcast_if_small(written(classes.join(ends, "node").select(F.col("first").alias("doc_id")).distinct(), "ends"))
         chosen = texts.join(ids, "doc_id").unionByName(texts.filter("doc_id is null"))
-        sets = written(chosen.mapInArrow(_sets(words), "node long, set array<long>"), "end-sets")
+        sets = written(chosen.mapInArrow(_sets(words, bits, clashes), "node long, set array<long>"), "end-sets")
         left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
         return written(met.filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b").distinct(), "links")
@@ -388,7 +404,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     Documents link when 100 x intersection >= ``percent`` x union of their shingle sets; ``component_id`` is the
     smallest id reachable. Null and empty texts have no shingles and their own id. A null id is returned with its
     component's smallest id (null when all are). Repeated rows are one class; an empty table gives no rows; other columns
-    are ignored. Sets are named by 64-bit hashes of sorted 64-bit shingle hashes.
+    are ignored. Sets are equal where 128-bit hashes of their sorted 64-bit shingle hashes are.
     """
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return classified(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -69,6 +69,13 @@ def test_ngram_join(spark, k, percent):
     assert count((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == count((r[0], len(s), c) for r, s, c in zip(rows, sets, want, strict=True))
 
 
+def test_ngram_join_with_names_that_clash(spark):
+    """Names of four bits: nearly all sets share theirs with others and go by their second names."""
+    own = "doc_id, mark, n, component_id"
+    long, short = (ngram_join.classified(frame(spark), 5, 80, bits).select(*own.split(", ")).collect() for bits in (64, 4))
+    assert sorted(map(repr, long)) == sorted(map(repr, short))
+
+
 def test_ngram_join_of_a_large_clump(spark):
     """2,000 near copies of one text, half of them too far from all others: components by matrices."""
     import numpy as np
