@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lossworks.llm import media, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, suffix_dedup, urls
+from lossworks.llm import media, mixing, ngram_join, packing, pieces, pii, quality_model, quality_rules, sharding, suffix_dedup, urls
 
 QUERIES = {
     "op1_quality_gam": quality_model.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_iso_media": media.op8,
     "op9_url_rules": urls.op9,
     "op10_pii_surrogates": pii.op10,
+    "op12_sentencepiece": pieces.op12,
 }
 
 ORACLE_SQL = {
