@@ -12,7 +12,8 @@ from __future__ import annotations
 import codecs
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,13 +25,15 @@ from lossworks.llm.common import documents, text_or_empty
 
 SPACE = "▁"
 #: Encoded parts of texts, and pairs of pieces, that one Python worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 # Field numbers and kinds of the model file format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
 
+NONE = float("-inf")
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -64,6 +67,19 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Known(dict):
+    """What ``make`` gives for short texts, remembered up to a number of them."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(self) < REMEMBERED and len(text) <= 64:
+            self[text] = found
+        return found
+
+
 class Model:
     """The pieces of a model, and encoding and decoding with them.
 
@@ -72,7 +88,7 @@ class Model:
     """
 
     def __init__(self, model: bytes):
-        self.names, self.scores, self.kinds = [], [], []
+        self.names, self.scores, self.kinds, self.id_of_foreign = [], [], [], {}
         trainer, normalizer = {}, {}
         for number, value in fields(model):
             if number == PIECES:
@@ -90,23 +106,40 @@ class Model:
         self.id = {self.names[i]: i for i in normal}
         self.bytes = {int(self.names[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known, self.pairs = Known(self.part), {}
         self._search()
         self._surfaces(trainer.get(44, " ⁇ ".encode()))
 
     def _search(self) -> None:
-        """The automaton of the pieces that merging can make, their longest proper prefixes, and where texts may be cut."""
+        """The automaton of the pieces that merging can make, their longest proper prefixes, and where texts may be cut.
+
+        Tokens are the pieces by their ids; characters that are no piece get numbers behind, as they turn up.
+        """
         import ahocorasick
 
-        self.automaton, self.shorter = ahocorasick.Automaton(), {}
-        made = {p for p in self.score if len(p) > 1 and self.merged(p) == [p]}
+        self.automaton, self.tokens = ahocorasick.Automaton(), list(self.names)
+        made = {p for p in self.score if self.merged(p) == [p]}
+        self.more, self.shorter = [0] * len(self.names), [-1] * len(self.names)
         for piece in made:
-            self.automaton.add_word(piece, len(piece) - 1)
-            self.shorter[piece] = next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in made), 1)
-        if made:
-            self.automaton.make_automaton()
-        self.parts = None if any(SPACE in p.lstrip(SPACE) for p in made) else re.compile(self._parts({p.lstrip(SPACE) for p in made}))
+            i = self.id[piece]
+            self.automaton.add_word(piece, i)
+            self.more[i] = len(piece) - 1
+            if len(piece) > 1:  # a first character that is no piece stands alone where nothing else fits
+                prefixes = (self.id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in made)
+                self.shorter[i] = next(prefixes, None) or self.foreign(piece[0])
+        self.automaton.make_automaton()
+        long = {p for p in made if len(p) > 1}
+        self.parts = None if any(SPACE in p.lstrip(SPACE) for p in long) else re.compile(self._parts({p.lstrip(SPACE) for p in long}))
+
+    def foreign(self, character: str) -> int:
+        """The number of a character that is no piece."""
+        found = self.id_of_foreign.get(character)
+        if found is None:
+            found = self.id_of_foreign[character] = len(self.tokens)
+            self.tokens.append(character)
+            self.more.append(0)
+            self.shorter.append(-1)
+        return found
 
     @staticmethod
     def _parts(pieces: set[str]) -> str:
@@ -127,67 +160,73 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging: the best score first, of equals the leftmost."""
-        out = list(text)
-        while True:
-            best = at = None
-            for i in range(len(out) - 1):
-                score = self.score.get(out[i] + out[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at is None:
-                return out
+        out, score = list(text), self.score.get
+        scores = [score(a + b, NONE) for a, b in zip(out, out[1:], strict=False)]
+        while scores and (best := max(scores)) > NONE:
+            at = scores.index(best)
             out[at : at + 2] = [out[at] + out[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(out[at - 1] + out[at], NONE)
+            if at < len(scores):
+                scores[at] = score(out[at] + out[at + 1], NONE)
+        return out
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging the characters of both gives these two pieces."""
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
-        found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        a, b = self.tokens[left], self.tokens[right]
+        found = self.pairs[left << 24 | right] = self.merged(a + b) == [a, b]
         return found
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text; a character that is no piece stands alone."""
-        n = len(text)
-        longest = [1] * n
-        if len(self.automaton):
-            for end, more in self.automaton.iter(text):  # of matches with one start, the longest ends last
-                longest[end - more] = more + 1
+    def cut(self, text: str) -> list[int]:
+        """The tokens of a text."""
+        n, more = len(text), self.more
+        longest = [-1] * n
+        for end, i in self.automaton.iter(text):  # of matches with one start, the longest ends last
+            longest[end - more[i]] = i
         pairs, shorter, failed = self.pairs, self.shorter, bytearray(n // 8 + 1)
-        out: list[str] = []
-        at, size, last = 0, longest[0] if n else 0, None
+        out: list[int] = []
+        at, last, i = 0, -1, -2
         while at < n:
-            piece = text[at : at + size]
-            end = at + size
-            if not size:  # nothing is left to try here
+            if i == -2:  # a new position
+                i = longest[at]
+                if i < 0:
+                    i = self.foreign(text[at])
+            if i < 0:  # nothing is left to try here
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(last)
-                size = shorter.get(last, 0)
+                at -= more[last] + 1
+                i = shorter[last]
                 out.pop()
-                last = out[-1] if out else None
-            elif failed[end >> 3] >> (end & 7) & 1 or last and not (pairs[last, piece] if (last, piece) in pairs else self.compatible(last, piece)):
-                size = shorter.get(piece, 0)
-            else:
-                out.append(piece)
-                last, at = piece, end
-                size = longest[at] if at < n else 0
+                last = out[-1] if out else -1
+                continue
+            end = at + more[i] + 1
+            if failed[end >> 3] >> (end & 7) & 1:
+                i = shorter[i]
+                continue
+            if last >= 0:
+                fits = pairs.get(last << 24 | i)
+                if not (self.compatible(last, i) if fits is None else fits):
+                    i = shorter[i]
+                    continue
+            out.append(i)
+            at, last, i = end, i, -2
         return out
 
     def part(self, text: str) -> bytes:
         """Ids of a text that is merged apart from its neighbours, as little-endian 32-bit integers."""
-        pieces = self.cut(text)
-        try:
-            out = [self.id[p] for p in pieces]
-            return struct.pack(f"<{len(out)}i", *out)
-        except KeyError:
-            out = []
-        for piece in pieces:
-            if piece in self.id:
-                out.append(self.id[piece])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in piece.encode())
-            elif not out or out[-1] != self.unknown:  # unknown characters in a row are one
-                out.append(self.unknown)
-        return struct.pack(f"<{len(out)}i", *out)
+        out = self.cut(text)
+        if max(out) >= len(self.names):
+            found, out = out, []
+            for i in found:
+                if i < len(self.names):
+                    out.append(i)
+                elif self.bytes:
+                    out.extend(self.bytes[b] for b in self.tokens[i].encode())
+                elif not out or out[-1] != self.unknown:  # unknown characters in a row are one
+                    out.append(self.unknown)
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -195,14 +234,7 @@ class Model:
         text = (SPACE if self.prefixed else "") + text.replace(" ", SPACE)
         if self.parts is None or not self.bytes:
             return self.part(text)
-        parts, known = self.parts.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = {x: self.part(x) for x in set(parts) if x not in known}
-            if len(known) < REMEMBERED:
-                known.update({x: ids for x, ids in new.items() if len(x) <= 64})
-            return b"".join([known[x] if x in known else new[x] for x in parts])
+        return b"".join(map(self.known.__getitem__, self.parts.findall(text)))
 
     def _surfaces(self, unknown: bytes) -> None:
         self.surface = []
@@ -210,10 +242,11 @@ class Model:
             own = bytes([int(name[3:5], 16)]) if kind == BYTE else unknown if kind == UNKNOWN else name.replace(SPACE, " ").encode()
             self.surface.append(b"" if kind == CONTROL else own)
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
+        self.plain = max(self.controls, default=-1) + 1
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, each by itself, and none is read across a control id."""
-        if not self.controls.isdisjoint(ids):
+        if min(ids, default=self.plain) < self.plain and not self.controls.isdisjoint(ids):
             runs: list[list[int]] = [[]]
             for i in ids:
                 if i in self.controls:
@@ -269,8 +302,10 @@ def pieces_text(ids: Column | str, model: bytes) -> Column:
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        decode = loaded(model).decode
-        return pa.array((None if x is None else decode(x) for x in lists.to_pylist()), pa.string())
+        decode, values = loaded(model).decode, lists.flatten().to_numpy()
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+        each = (decode(values[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False))
+        return pa.array([x if there else None for x, there in zip(each, lists.is_valid().to_pylist(), strict=True)], pa.string())
 
     return texts(ids)
 
