@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from lossworks.llm.common import documents, text_or_empty
 
-SPACE = "▁"
+#: A blank, and the sign that stands for it in the model's file; here pieces hold blanks as they are.
+SPACE, SIGN = " ", "▁"
 #: Encoded parts of texts, and pairs of pieces, that one Python worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 # Field numbers and kinds of the model file format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -93,7 +94,7 @@ class Model:
         for number, value in fields(model):
             if number == PIECES:
                 piece = dict(fields(value))
-                self.names.append(piece[1].decode())
+                self.names.append(piece[1].decode().replace(SIGN, SPACE))
                 self.scores.append(struct.unpack("<f", piece.get(2, bytes(4)))[0])
                 self.kinds.append(piece.get(3, NORMAL))
             elif number in (TRAINER, NORMALIZER):
@@ -125,8 +126,8 @@ class Model:
             self.automaton.add_word(piece, i)
             self.more[i] = len(piece) - 1
             if len(piece) > 1:  # a first character that is no piece stands alone where nothing else fits
-                prefixes = (self.id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in made)
-                self.shorter[i] = next(prefixes, None) or self.foreign(piece[0])
+                shorter = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in made), None)
+                self.shorter[i] = self.foreign(piece[0]) if shorter is None else self.id[shorter]
         self.automaton.make_automaton()
         long = {p for p in made if len(p) > 1}
         self.parts = None if any(SPACE in p.lstrip(SPACE) for p in long) else re.compile(self._parts({p.lstrip(SPACE) for p in long}))
@@ -231,7 +232,7 @@ class Model:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        text = (SPACE if self.prefixed else "") + text.replace(" ", SPACE)
+        text = (SPACE if self.prefixed else "") + text.replace(SIGN, SPACE)
         if self.parts is None or not self.bytes:
             return self.part(text)
         return b"".join(map(self.known.__getitem__, self.parts.findall(text)))
@@ -239,7 +240,7 @@ class Model:
     def _surfaces(self, unknown: bytes) -> None:
         self.surface = []
         for name, kind in zip(self.names, self.kinds, strict=True):
-            own = bytes([int(name[3:5], 16)]) if kind == BYTE else unknown if kind == UNKNOWN else name.replace(SPACE, " ").encode()
+            own = bytes([int(name[3:5], 16)]) if kind == BYTE else unknown if kind == UNKNOWN else name.encode()
             self.surface.append(b"" if kind == CONTROL else own)
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.plain = max(self.controls, default=-1) + 1
