@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: The most bytes that are broadcast, by a sum over the table itself.
+MOST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A broadcast hint where the bytes of all rows, counted as JSON text, prove the size; else the join shuffles. ``df`` is written."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df

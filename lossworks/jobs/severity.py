@@ -12,11 +12,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lossworks.functions.numbers import finite
 from lossworks.functions.tables import written
+from lossworks.jobs.large_losses import survival_quantiles
 
 # The rational approximation 7.1.26 of the error function.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+# The rational approximation of the normal quantile by P. J. Acklam (relative error below 1.15e-9), highest
+# powers first, and the probability below which it uses the tail's form.
+CENTRE_TOP = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+CENTRE_BOTTOM = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+TAIL_TOP = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+TAIL_BOTTOM = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+TAIL = 0.02425
+# The sizes and shares that make a fit thin or unusable.
 LEAST, THIN, LEAST_EXACT, MOST_CENSORED = 10, 30, 5, 0.8
+#: Probabilities at which a fit is held against the observed sizes.
+PROBES = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def normal_cdf(z: Column) -> Column:
@@ -29,6 +40,56 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
 
 
+def polynomial(powers: tuple[float, ...], x: Column) -> Column:
+    """By its coefficients, the highest power's first."""
+    out = F.lit(powers[0])
+    for a in powers[1:]:
+        out = out * x + a
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal's value with probability ``p`` below it; null unless 0 < p < 1."""
+    q = p - 0.5
+    centre = polynomial(CENTRE_TOP, q * q) * q / polynomial(CENTRE_BOTTOM, q * q)
+    far = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))  # the same on either side, with the other sign
+    tail = polynomial(TAIL_TOP, far) / polynomial(TAIL_BOTTOM, far)
+    inside = F.when(p < TAIL, tail).when(p > 1 - TAIL, -tail).otherwise(centre)
+    return F.when((p > 0) & (p < 1), inside)
+
+
+def severity_quantile(kind: Column, p1: Column, p2: Column, p: Column) -> Column:
+    """The size of a lognormal (mu, sigma) or a Pareto (theta, alpha) with probability ``p`` below it; null unless 0 < p < 1."""
+    pareto = F.when((p > 0) & (p < 1), p1 * (F.pow(1 - p, -1 / p2) - 1))
+    return F.when(kind == "lognormal", F.exp(p1 + p2 * normal_quantile(p))).otherwise(pareto)
+
+
+def quantile_check(observations: DataFrame, fits: DataFrame, probes: tuple[float, ...] = PROBES) -> DataFrame:
+    """``segment, kind, p, empirical, fitted``: quantiles of each fit (segment, kind, p1, p2) beside the observed ones.
+
+    The observed ones allow for open claims by the product-limit estimate, which runs over range buckets; they are null
+    where open claims leave nothing to see. A fit without parameters has null quantiles.
+    """
+    seen = survival_quantiles(observations, probes).select(F.col("segment").alias("_segment"), F.col("p").alias("_p"), "quantile")
+    each = fits.select("segment", "kind", "p1", "p2", F.explode(F.array(*map(F.lit, probes))).alias("p"))
+    both = each.join(seen, F.col("segment").eqNullSafe(F.col("_segment")) & (F.col("p") == F.col("_p")), "left")
+    return both.select("segment", "kind", "p", F.col("quantile").alias("empirical"), severity_quantile(F.col("kind"), F.col("p1"), F.col("p2"), F.col("p")).alias("fitted"))
+
+
+def closed_form_fits(observations: DataFrame) -> DataFrame:
+    """``segment, kind, p1, p2`` from averages of the positive sizes, as if all claims were closed: one combining aggregate.
+
+    A lognormal by its likelihood (mean and deviation of the logarithms), a Pareto by its first two moments: null where
+    these are those of a thinner tail. Starting points and a check for the censored fits; no substitute for them.
+    """
+    value = F.when(finite("value") > 0, finite("value"))
+    mean, square = F.avg(value), F.avg(value * value)
+    sums = observations.groupBy("segment").agg(F.avg(F.ln(value)).alias("mu"), F.stddev_pop(F.ln(value)).alias("sigma"), mean.alias("m"), (square - mean * mean).alias("v"))
+    alpha = F.when(F.col("v") > F.col("m") * F.col("m"), 2 * F.col("v") / (F.col("v") - F.col("m") * F.col("m")))
+    fits = F.array(F.struct(F.lit("lognormal").alias("kind"), F.col("mu").alias("p1"), F.col("sigma").alias("p2")), F.struct(F.lit("pareto").alias("kind"), (F.col("m") * (alpha - 1)).alias("p1"), alpha.alias("p2")))
+    return sums.select("segment", F.explode(fits).alias("f")).select("segment", "f.*")
+
+
 def severity_mean(kind: Column, p1: Column, p2: Column) -> Column:
     """Of a lognormal (mu, sigma) or a Pareto (theta, alpha); null where it is infinite."""
     return F.when(kind == "lognormal", F.exp(p1 + p2 * p2 / 2)).when(p2 > 1, p1 / (p2 - 1))

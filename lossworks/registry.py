@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.tables import written
-from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, documents, errors, growth, large_losses, levels, munich, review, severity, stochastic, variance
+from lossworks.jobs import adjust, apriori, cashflow, chainladder, compare, diagnostics, documents, errors, growth, large_losses, layers, levels, munich, review, severity, stochastic, variance
 from lossworks.operators import factors, triangles
 from lossworks.sources.claims import AS_OF, CLAIMS_SQL, claims_view, exposures_view, parsed_loss_run
 
@@ -967,6 +967,109 @@ def increased_limits(spark, sf_dir):
     return rounded(severity.interpolated_ilf(table, asked), factor=8)
 
 
+LAYERS_SQL = """
+, y AS (
+  SELECT segment, k, CASE WHEN k = 6 THEN round(avg(v), 2) ELSE cap END AS cap, CASE WHEN k = 6 THEN round(3 * avg(v), 2) ELSE target END AS target
+  FROM lt CROSS JOIN (VALUES (1, 20000.0::DOUBLE, 100000.0::DOUBLE), (2, 50000, 250000), (3, 100000, 100000), (4, 100000, 50000), (5, 200000, 400000), (6, 0, 0)) x(k, cap, target)
+  GROUP BY segment, k, cap, target
+)"""
+TABLE_FACTORS_SQL = """
+, t AS (
+  SELECT segment, lim, avg(least(greatest(v, 0), lim)) / avg(least(greatest(v, 0), 10000)) / CASE WHEN segment = 'MACHINERY' AND lim = 250000 THEN 9 ELSE 1 END AS f
+  FROM lt CROSS JOIN (VALUES (10000.0::DOUBLE), (50000.0), (100000.0), (250000.0)) x(lim) GROUP BY 1, 2
+), e AS (
+  SELECT segment, k, which, lim FROM y UNPIVOT (lim FOR which IN (cap, target))
+), nb AS (
+  SELECT e.segment, k, which, e.lim, max(t.lim) FILTER (t.lim <= e.lim) AS lo, min(t.lim) FILTER (t.lim > e.lim) AS hi FROM e JOIN t USING (segment) GROUP BY 1, 2, 3, 4
+), f AS (
+  SELECT nb.segment, k, which, CASE WHEN nb.lim = lo THEN a.f ELSE a.f * pow(b.f / a.f, ln(nb.lim / lo) / ln(hi / lo)) END AS f
+  FROM nb LEFT JOIN t a ON a.segment = nb.segment AND a.lim = lo LEFT JOIN t b ON b.segment = nb.segment AND b.lim = hi
+), g AS (
+  SELECT y.segment, y.k, cap, target, c.f AS below, u.f AS above, CASE WHEN target < cap THEN 'BAD_LIMIT' WHEN y.segment = 'MACHINERY' THEN 'BAD_TABLE' WHEN c.f IS NULL OR u.f IS NULL THEN 'TABLE_RANGE' END AS code
+  FROM y JOIN f c ON c.segment = y.segment AND c.k = y.k AND c.which = 'cap' JOIN f u ON u.segment = y.segment AND u.k = y.k AND u.which = 'target'
+)
+SELECT segment, cap, target, round(CASE WHEN code IS NULL THEN above / below END, 8) AS factor, code FROM g"""
+
+
+def claim_layers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Layers of each segment (segment, cap, target), one of them from its average claim and one upside down, and its limited averages."""
+    latest = large_losses.latest_snapshots(claims_view(spark, sf_dir), AS_OF).select("segment", (F.col("paid_to_date") + F.col("case_reserve")).alias("v"))
+    limits = (10_000.0, 50_000.0, 100_000.0, 250_000.0)
+    means = written(latest.groupBy("segment").agg(F.avg("v").alias("mean"), *(F.avg(F.least(F.greatest("v", F.lit(0.0)), F.lit(x))).alias(f"m{k}") for k, x in enumerate(limits))), "limited-means")
+    knots = F.explode(F.array(*(F.struct(F.lit(x).alias("limit"), (F.col(f"m{k}") / F.col("m0")).alias("factor")) for k, x in enumerate(limits))))
+    table = means.select("segment", knots.alias("r")).select("segment", "r.*")
+    fixed = ((20_000.0, 100_000.0), (50_000.0, 250_000.0), (100_000.0, 100_000.0), (100_000.0, 50_000.0), (200_000.0, 400_000.0))
+    own = F.struct(F.round("mean", 2).alias("cap"), F.round(F.col("mean") * 3, 2).alias("target"))
+    layers_ = means.select("segment", F.explode(F.array(*(F.struct(F.lit(a).alias("cap"), F.lit(b).alias("target")) for a, b in fixed), own)).alias("y")).select("segment", "y.*")
+    return layers_, table
+
+
+@query("layer_table_factors", with_claims(LATEST_SQL + LAYERS_SQL + TABLE_FACTORS_SQL))
+def layer_table_factors(spark, sf_dir):
+    """Layers by a table of the claims' limited averages; one segment's table falls and is refused."""
+    layers_, table = claim_layers(spark, sf_dir)
+    table = table.withColumn("factor", F.when((F.col("segment") == "MACHINERY") & (F.col("limit") == 250_000), F.col("factor") / 9).otherwise(F.col("factor")))
+    return rounded(layers.table_factors(table, layers_).drop("message"), factor=8)
+
+
+def _cdf_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))"
+    poly = f"(((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t})"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {poly} * exp(-{z} * {z} / 2) / 2 ELSE {poly} * exp(-{z} * {z} / 2) / 2 END"
+
+
+def _limited_sql(limit: str) -> str:
+    lognormal = f"exp(p1 + p2 * p2 / 2) * ({_cdf_sql(f'((ln({limit}) - p1 - p2 * p2) / p2)')}) + {limit} * (1 - ({_cdf_sql(f'((ln({limit}) - p1) / p2)')}))"
+    return f"CASE kind WHEN 'lognormal' THEN {lognormal} ELSE p1 / (p2 - 1) * (1 - pow(p1 / ({limit} + p1), p2 - 1)) END"
+
+
+CURVE_FACTORS_SQL = f"""
+, z AS (
+  SELECT segment, cap, CASE WHEN k <> 3 THEN target END AS target, curve, kind, p1::DOUBLE AS p1, p2::DOUBLE AS p2
+  FROM y CROSS JOIN (VALUES ('casualty-lognormal-moderate', 'lognormal', 9.2, 1.4), ('casualty-lognormal-heavy', 'lognormal', 9.0, 1.8), ('liability-pareto', 'pareto', 40000, 1.8)) c(curve, kind, p1, p2)
+)
+SELECT segment, cap, target, curve, CASE WHEN target < cap THEN 'BAD_LIMIT' END AS code,
+       round(CASE WHEN target >= cap THEN {_limited_sql('target')} WHEN target IS NULL THEN CASE kind WHEN 'lognormal' THEN exp(p1 + p2 * p2 / 2) ELSE p1 / (p2 - 1) END END / ({_limited_sql('cap')}), 8) AS factor FROM z"""
+
+
+@query("layer_curve_factors", with_claims(LATEST_SQL + LAYERS_SQL + CURVE_FACTORS_SQL))
+def layer_curve_factors(spark, sf_dir):
+    """The same layers by the illustrative curves; one without an upper limit."""
+    rows = claim_layers(spark, sf_dir)[0]
+    rows = rows.withColumn("target", F.when((F.col("cap") != 100_000) | (F.col("target") != 100_000), F.col("target")))
+    return rounded(layers.curve_factors(rows), factor=8)
+
+
+QUANTILES_SQL = (
+    KM_SQL[: KM_SQL.index("SELECT segment, p::DOUBLE")].rstrip()
+    + """, fit AS (
+  SELECT segment, avg(ln(v)) AS mu, stddev_pop(ln(v)) AS sigma, avg(v) AS m, avg(v * v) - avg(v) * avg(v) AS vr FROM lt WHERE v > 0 GROUP BY 1
+), k AS (
+  SELECT segment, 'lognormal' AS kind, mu AS p1, sigma AS p2 FROM fit
+  UNION ALL SELECT segment, 'pareto', CASE WHEN vr > m * m THEN m * (2 * vr / (vr - m * m) - 1) END, CASE WHEN vr > m * m THEN 2 * vr / (vr - m * m) END FROM fit
+), pr AS (
+  SELECT p, p - 0.5 AS q, sqrt(-2 * ln(least(p, 1 - p))) AS far FROM (VALUES (0.01::DOUBLE), (0.5), (0.75), (0.9), (0.95), (0.99)) t(p)
+), nq AS (
+  SELECT p, CASE WHEN p BETWEEN 0.02425 AND 1 - 0.02425 THEN
+    (((((-39.69683028665376::DOUBLE * q * q + 220.9460984245205) * q * q - 275.9285104469687) * q * q + 138.3577518672690) * q * q - 30.66479806614716) * q * q + 2.506628277459239) * q
+    / (((((-54.47609879822406::DOUBLE * q * q + 161.5858368580409) * q * q - 155.6989798598866) * q * q + 66.80131188771972) * q * q - 13.28068155288572) * q * q + 1)
+    ELSE sign(p - 0.5) * -1 * (((((-0.007784894002430293::DOUBLE * far - 0.3223964580411365) * far - 2.400758277161838) * far - 2.549732539343734) * far + 4.374664141464968) * far + 2.938163982698783)
+    / ((((0.007784695709041462::DOUBLE * far + 0.3224671290700398) * far + 2.445134137142996) * far + 3.754408661907416) * far + 1) END AS z FROM pr
+), km AS (
+  SELECT segment, p, min(CASE WHEN survival <= 1 - p + 1e-12 THEN value END) AS empirical FROM s CROSS JOIN pr GROUP BY 1, 2
+)
+SELECT k.segment, kind, nq.p, round(empirical, 4) AS empirical, round(CASE kind WHEN 'lognormal' THEN exp(p1 + p2 * z) ELSE p1 * (pow(1 - nq.p, -1 / p2) - 1) END, 4) AS fitted
+FROM k CROSS JOIN nq LEFT JOIN km ON km.segment = k.segment AND km.p = nq.p"""
+)
+
+
+@query("severity_quantiles", with_claims(LATEST_SQL + QUANTILES_SQL))
+def severity_quantiles(spark, sf_dir):
+    """Quantiles of closed-form fits beside those of the claims, in all three branches of the normal quantile."""
+    seen = written(large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF), "severity-observations")
+    return rounded(severity.quantile_check(seen, severity.closed_form_fits(seen), (0.01, *severity.PROBES)), empirical=4, fitted=4)
+
+
 @query("tail_fit_inverse_power", with_chain_ladder("paid", TAIL_SQL.replace("SELECT segment, age_idx + 1 AS j, f, CASE", "SELECT segment, ln(age_idx + 1) AS x, age_idx + 1 AS j, f, CASE").replace("regr_slope(y, j)", "regr_slope(y, x)").replace("regr_intercept(y, j)", "regr_intercept(y, x)").replace("slope * (last + k)", "slope * ln(last + k)")))
 def tail_fit_inverse_power(spark, sf_dir):
     out = levels.fit_tail(chainladder.selected(triangles.measure(built(spark, sf_dir), "paid")), "inverse_power")
