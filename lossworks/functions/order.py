@@ -37,8 +37,8 @@ def running(rows: DataFrame, groups: list[str], order: list[Column | str], sums:
     return out.withColumns(joined).drop(*(f"_{name}" for name in values))
 
 
-def at_ranks(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """One row per group: for each of ``shares`` the value of rank ceil(share x number of rows), nulls left out.
+def _counted(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Per group and distinct value ``_upto``, the number of rows up to it, and ``_all``; nulls left out.
 
     Rows are counted per distinct value first, and these counts run over range buckets.
     """
@@ -48,5 +48,23 @@ def at_ranks(rows: DataFrame, groups: list[str], value: str, shares: dict[str, f
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    upto = upto.join(whole, same)
-    return upto.groupBy(*groups).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_all")), F.col(value))).alias(name) for name, p in shares.items()))
+    return upto.join(whole, same)
+
+
+def at_ranks(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """One row per group: for each of ``shares`` the value of rank ceil(share x number of rows), nulls left out."""
+    at = {name: F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_all")), F.col(value))) for name, p in shares.items()}
+    return _counted(rows, groups, value).groupBy(*groups).agg(*(v.alias(name) for name, v in at.items()))
+
+
+def percentiles(rows: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """One row per group: for each of ``shares`` the value at place share x (rows - 1), between two ranks in proportion.
+
+    The two ranks next to a place are looked up in running counts: no task holds a group's values, however many they are.
+    """
+    counted = _counted(rows, groups, value)
+    place = {name: F.lit(float(p)) * (F.col("_all") - 1) for name, p in shares.items()}
+    ranks = [F.min(F.when(F.col("_upto") > f(x), F.col(value))).alias(f"_{k}_{name}") for name, x in place.items() for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = counted.groupBy(*groups).agg(*ranks, F.first("_all").alias("_all"))
+    between = [(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (x - F.floor(x))).alias(name) for name, x in place.items()]
+    return found.select(*groups, *between)

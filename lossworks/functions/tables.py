@@ -34,7 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 MOST_BYTES = 16 << 20
 
 
+def small_enough(df: DataFrame, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether the rows of ``df``, counted as JSON text, take at most so many bytes. ``df`` is written."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) <= most_bytes
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """A broadcast hint where the bytes of all rows, counted as JSON text, prove the size; else the join shuffles. ``df`` is written."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
-    return F.broadcast(df) if size <= most_bytes else df
+    """A broadcast hint where the bytes of all rows prove the size; else the join shuffles."""
+    return F.broadcast(df) if small_enough(df, most_bytes) else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.numbers import finite
+from lossworks.functions.order import in_buckets
 
 CENTRAL, ERRORS = 1e-6, 0.005
 
@@ -86,6 +87,40 @@ def ledger_errors(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("_n", F.row_number().over(own)).withColumn("code", code).filter("code is not null").select("analysis_id", "seq", "field", "code")
 
 
+def appended(ledger: DataFrame | None, entries: DataFrame, order: str = "recorded_at") -> tuple[DataFrame, DataFrame]:
+    """(``entries`` with ``seq``, errors): ``seq`` continues each analysis' numbers without a gap.
+
+    Entries have ``analysis_id, field, actor, rationale``, ``order`` and more. One that someone made without saying why is
+    refused (``analysis_id, field, code``), and the others go on.
+
+    Within an analysis entries are numbered by ``order``, ties by field and then by the whole entry. Entries that the ledger has
+    already, all columns alike, are left out, so that a batch sent twice, whole or in part, is appended once; of entries
+    alike within a batch one is. Numbers run over range buckets: an analysis may have any number of entries.
+    """
+    names = [c for c in entries.columns if c != "seq"]
+    silent = (F.coalesce("actor", F.lit("")) != "default") & (F.trim(F.coalesce("rationale", F.lit(""))) == "")
+    errors = entries.filter(silent).select("analysis_id", "field", F.lit("MISSING_RATIONALE").alias("code"))
+    new = entries.filter(~silent).select(*names).distinct()
+    if ledger is not None:
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        new = new.join(ledger.select(*(F.col(c).alias(f"_{c}") for c in names)), same, "left_anti")
+    by = [order, "field", *(c for c in names if c not in (order, "field", "analysis_id"))]
+    dealt = in_buckets(new, ["analysis_id"], by)
+    counts = dealt.groupBy("analysis_id", "bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("analysis_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("analysis_id").alias("_analysis"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("analysis_id", "bucket").orderBy(*by)
+    out = dealt.withColumn("_place", F.row_number().over(own)).join(starts, F.col("analysis_id").eqNullSafe(F.col("_analysis")) & (F.col("bucket") == F.col("_bucket")))
+    if ledger is None:
+        out = out.withColumn("_last", F.lit(0).cast("long"))
+    else:
+        last = ledger.groupBy(F.col("analysis_id").alias("_of")).agg(F.max("seq").cast("long").alias("_last"))
+        out = out.join(last, F.col("analysis_id").eqNullSafe(F.col("_of")), "left")
+    return out.select(*names, (F.coalesce("_last", F.lit(0)) + F.col("_before") + F.col("_place")).alias("seq")), errors
+
+
 def result_table(results: dict[str, DataFrame]) -> DataFrame:
     """``method, segment, origin, ultimate, unpaid, standard_error`` of several methods' rows; what one lacks is null."""
     out = None

@@ -32,6 +32,12 @@ INTENTS = {
     "all-wtd": ("volume-weighted", None, None), "all-str": ("simple", None, None), "5-wtd": ("volume-weighted", 5, None), "5-str": ("simple", 5, None),
     "3-wtd": ("volume-weighted", 3, None), "3-str": ("simple", 3, None), "med-5x1": ("medial", 5, 1), "geo-all": ("geometric", None, None),
 }
+RESULT_SCHEMA = (
+    "struct<kind:string,result:struct<segment:string,measure:string,method:string,appliesTo:struct<triangle:string,selection:string>,rows:array<struct<origin:string,ultimate:double,unpaid:double,standardError:double>>,"
+    "totals:struct<ultimate:double,unpaid:double,standardError:double>,warnings:array<string>>>"
+)
+# Methods whose results are documents, by their names there.
+METHODS = {"chain_ladder": "chainLadder", "mack": "mack", "bornhuetter_ferguson": "bornhuetterFerguson", "benktander": "benktander"}
 FAMILIES = {"exponential-decay": "exponential", "inverse-power": "inverse_power"}
 
 
@@ -175,6 +181,96 @@ def selections_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFram
     return entries, tails, _error(d, "selections_from_documents")
 
 
+def _amounts(x: Column) -> Column:
+    """Ultimate, unpaid and, where there is one, standard error, in the document's names."""
+    return F.struct(*(finite(x[c]).alias(n) for c, n in (("ultimate", "ultimate"), ("unpaid", "unpaid"), ("standard_error", "standardError"))))
+
+
+def _unsound(x: Column) -> Column:
+    """Whether an amount that must be there is no number, or a standard error is there and is none."""
+    error = x["standard_error"]
+    return finite(x["ultimate"]).isNull() | finite(x["unpaid"]).isNull() | (error.isNotNull() & finite(error).isNull())
+
+
+def result_documents(rows: DataFrame, triangles: DataFrame, totals: DataFrame | None = None, selections: DataFrame | None = None, warnings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``segment, method, document``, errors) from several methods' results, a document per segment and method.
+
+    ``rows``: ``segment, method, basis, origin, ultimate, unpaid`` and, where a method has them, ``standard_error`` and
+    ``origin_idx`` (the order of the rows; else by name). ``totals``: ``segment, method, ultimate, unpaid, standard_error``;
+    without them amounts are summed, and there is no total error, which no sum gives. A standard error that is absent
+    stays absent. ``triangles`` and ``selections`` (``segment, document``) are what the results rest on and are named by
+    their SHA-256. Another method, another basis than the triangle's measure, a selection of another measure, no
+    triangle, repeated origins, and amounts that are no numbers fail their result alone. ``warnings``: ``segment,
+    method, message``; without any the document has no such field.
+    """
+    own = ["segment", "method"]
+    for name, kind in (("standard_error", "double"), ("origin_idx", "int")):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    each = F.struct("origin_idx", "origin", *(F.col(c).cast("double").alias(c) for c in ("ultimate", "unpaid", "standard_error")))
+    whole = rows.groupBy(*own).agg(
+        F.sort_array(F.collect_list(each)).alias("r"), F.min("basis").alias("basis"), F.max("basis").alias("_basis"),
+        F.sum(finite("ultimate")).alias("_u"), F.sum(finite("unpaid")).alias("_v"), (F.count("*") - F.countDistinct("origin")).alias("_repeated"),
+    )
+    if totals is None:
+        whole = whole.withColumn("t", F.struct(F.col("_u").alias("ultimate"), F.col("_v").alias("unpaid"), F.lit(None).cast("double").alias("standard_error")))
+    else:
+        given = totals.select(*own, F.struct(*(F.col(c).cast("double").alias(c) for c in ("ultimate", "unpaid", "standard_error"))).alias("t"))
+        whole = whole.join(given, own, "left")
+    parsed = triangles.select("segment", F.sha2("document", 256).alias("_triangle"), F.from_json("document", TRIANGLE_SCHEMA)["triangle"]["measure"].alias("_measure"))
+    whole = whole.join(parsed, "segment", "left")
+    if selections is None:
+        whole = whole.withColumns({"_selection": F.lit(None).cast("string"), "_selected": F.lit(None).cast("string")})
+    else:
+        whole = whole.join(selections.select("segment", F.sha2("document", 256).alias("_selection"), F.from_json("document", SELECTION_SCHEMA)["selection"]["measure"].alias("_selected")), "segment", "left")
+    if warnings is None:
+        whole = whole.withColumn("_warnings", F.lit(None).cast("array<string>"))
+    else:
+        whole = whole.join(warnings.groupBy(*own).agg(F.sort_array(F.collect_list("message")).alias("_warnings")), own, "left")
+    methods, measures = (F.create_map(*(F.lit(x) for pair in table for x in pair)) for table in (METHODS.items(), ((v, k) for k, v in MEASURES.items())))
+    basis = F.element_at(measures, F.col("basis"))
+    whole = whole.withColumn(
+        "problem",
+        F.when(F.element_at(methods, F.col("method")).isNull(), F.concat(F.lit("no document for method "), F.coalesce("method", F.lit("null"))))
+        .when(F.col("_measure").isNull(), "no triangle document")
+        .when(~F.col("basis").eqNullSafe(F.col("_basis")) | F.coalesce(basis != F.col("_measure"), F.col("basis").isNotNull()), "the basis isn't the triangle's measure")
+        .when(F.col("_selection").isNotNull() & ~F.col("_selected").eqNullSafe(F.col("_measure")), "the selection is of another triangle")
+        .when(F.col("_repeated") > 0, "an origin is missing or stands twice")
+        .when(F.exists("r", _unsound), "an amount is no number").when(F.col("t").isNull() | _unsound(F.col("t")), "a total is no number"),
+    )
+    body = F.struct(
+        "segment", F.col("_measure").alias("measure"), F.element_at(methods, F.col("method")).alias("method"), F.struct(F.col("_triangle").alias("triangle"), F.col("_selection").alias("selection")).alias("appliesTo"),
+        F.transform("r", lambda x: F.struct(x["origin"].alias("origin"), *(_amounts(x)[n].alias(n) for n in ("ultimate", "unpaid", "standardError")))).alias("rows"), _amounts(F.col("t")).alias("totals"), F.col("_warnings").alias("warnings"),
+    )
+    good = whole.filter("problem is null").select(*own, F.to_json(F.struct(F.lit("method-result").alias("kind"), body.alias("result"))).alias("document"))
+    return good, _error(whole, "result_documents")
+
+
+def results_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, totals, errors) from ``document`` strings.
+
+    Rows: ``segment, method, kind, origin, ultimate, unpaid, standard_error``, an absent error null; totals the same without
+    an origin. Unreadable documents, other kinds and methods, absent rows or totals, repeated or unnamed origins and
+    absent amounts fail their document.
+    """
+    d = documents.withColumn("d", F.from_json("document", RESULT_SCHEMA)).select(F.col("d.kind").alias("_doc"), "d.result.*").withColumnRenamed("rows", "r").withColumnRenamed("totals", "t")
+    methods, kinds = (F.create_map(*(F.lit(x) for pair in table for x in pair)) for table in (((v, k) for k, v in METHODS.items()), MEASURES.items()))
+    absent = lambda x: finite(x["ultimate"]).isNull() | finite(x["unpaid"]).isNull()
+    names = F.transform("r", lambda x: x["origin"])
+    d = d.withColumn(
+        "problem",
+        F.when(~F.col("_doc").eqNullSafe(F.lit("method-result")) | F.col("method").isNull(), "no result document")
+        .when(F.element_at(methods, F.col("method")).isNull(), F.concat(F.lit("no result of method "), F.col("method")))
+        .when(F.element_at(kinds, F.col("measure")).isNull(), "no triangle of this measure")
+        .when(F.col("r").isNull() | F.col("t").isNull(), "rows or totals are absent")
+        .when((F.size(F.array_distinct(names)) < F.size(names)) | F.exists(names, lambda n: n.isNull()), "an origin is missing or stands twice")
+        .when(F.exists("r", absent), "an amount is no number").when(absent(F.col("t")), "a total is no number"),
+    )
+    good = d.filter("problem is null").select("segment", F.element_at(methods, F.col("method")).alias("method"), F.element_at(kinds, F.col("measure")).alias("kind"), "r", "t")
+    amounts = lambda x: [F.col(f"{x}.ultimate"), F.col(f"{x}.unpaid"), F.col(f"{x}.standardError").alias("standard_error")]
+    rows = good.select("segment", "method", "kind", F.explode("r").alias("x")).select("segment", "method", "kind", "x.origin", *amounts("x"))
+    return rows, good.select("segment", "method", "kind", *amounts("t")), _error(d, "results_from_documents")
+
+
 def selections_on_columns(entries: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries with ``age_idx``, errors): each interval must be one of the triangle's adjacent ages, and stand once.
 

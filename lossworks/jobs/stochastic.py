@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lossworks.functions.draws import text_key, uniform_array
+from lossworks.functions.order import percentiles
+from lossworks.functions.tables import written
 from lossworks.jobs.variance import estimators
 from lossworks.operators.triangles import ROW, latest
 
@@ -45,14 +48,17 @@ def odp_fit(cells: DataFrame) -> DataFrame:
     return out.filter("n > p").withColumn("phi", F.col("_ss") / (F.col("n") - F.col("p"))).drop("_ss")
 
 
-def bootstrap(cells: DataFrame, n_sims: int = 1000, seed: int = 1, bias_adjust: bool = True, process_variance: bool = True) -> DataFrame:
+def bootstrap(cells: DataFrame, n_sims: int = 1000, seed: int = 1, bias_adjust: bool = True, process_variance: bool = True, counted: bool = False) -> DataFrame:
     """``segment, kind, origin, sim, unpaid``: simulated reserves per origin.
 
     A segment is one row of small arrays; blocks of simulations are dealt to tasks and drawn by a generator of their own
     (seed, segment, block), so results don't depend on the partitioning. Residuals are resampled, the triangle refitted
     and projected; each future cell then varies as a gamma with the fit's dispersion. A resample that can't be refitted
-    keeps the original factors; non-positive future means are added as they are.
+    keeps the original factors; non-positive future means are added as they are. ``counted`` picks residuals by a counter
+    hash of seed, segment, origin, age and simulation that any engine can compute; it has no process variance.
     """
+    if counted and process_variance:
+        raise ValueError("BAD_OPTION: counted draws have no process variance")
     if n_sims < LEAST_SIMS:
         raise ValueError(f"TOO_FEW_SIMS: at least {LEAST_SIMS}")
     fit = odp_fit(cells).filter(F.col("pool") >= LEAST_POOL)
@@ -60,7 +66,7 @@ def bootstrap(cells: DataFrame, n_sims: int = 1000, seed: int = 1, bias_adjust:
     segments = odp_cells(cells).groupBy(*SEG).agg(one.alias("cells")).join(fit, SEG)
     factors = estimators(cells).groupBy(*SEG).agg(F.transform(F.sort_array(F.collect_list(F.struct("age_idx", "f"))), lambda x: x["f"]).alias("f"))
     blocks = -(-n_sims // BLOCK)
-    dealt = segments.join(factors, SEG).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.xxhash64("segment", "kind"))
+    dealt = segments.join(factors, SEG).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", text_key(F.col("segment")) if counted else F.xxhash64("segment", "kind"))
     dealt = dealt.repartition("segment", "kind", "block")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +74,14 @@ def bootstrap(cells: DataFrame, n_sims: int = 1000, seed: int = 1, bias_adjust:
             for r in frame.itertuples():
                 sims = min(BLOCK, n_sims - r.block * BLOCK)
                 rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, r.salt & 0xFFFFFFFFFFFFFFFF, r.block])))
-                names, unpaid = simulate(r.cells, np.asarray(r.f), r.phi, r.n, r.p, sims, rng, bias_adjust, process_variance)
+
+                def picks(pool: int, size: int, k: int, sims=sims, rng=rng, r=r) -> np.ndarray:
+                    if not counted:
+                        return rng.integers(0, pool, (size, k, sims))
+                    origins = np.array(sorted({c["origin_idx"] for c in r.cells}))
+                    return (uniform_array(seed, r.salt, origins[:, None, None], np.arange(k)[None, :, None], np.arange(sims) + r.block * BLOCK) * pool).astype(int)
+
+                names, unpaid = simulate(r.cells, np.asarray(r.f), r.phi, r.n, r.p, sims, rng, bias_adjust, process_variance, picks)
                 yield pd.DataFrame({
                     "segment": r.segment, "kind": r.kind, "origin": np.repeat(names, sims), "sim": np.tile(np.arange(sims) + r.block * BLOCK, len(names)), "unpaid": unpaid.ravel(),
                 })
@@ -76,8 +89,11 @@ def bootstrap(cells: DataFrame, n_sims: int = 1000, seed: int = 1, bias_adjust:
     return dealt.select("segment", "kind", "cells", "f", "phi", "n", "p", "block", "salt").mapInPandas(run, "segment string, kind string, origin string, sim long, unpaid double")
 
 
-def simulate(cells, f, phi, n, p, sims, rng, bias_adjust, process_variance) -> tuple[list[str], np.ndarray]:
-    """(origins, unpaid by origin and simulation) of one block, vectorised over its simulations."""
+def simulate(cells, f, phi, n, p, sims, rng, bias_adjust, process_variance, picks) -> tuple[list[str], np.ndarray]:
+    """(origins, unpaid by origin and simulation) of one block, vectorised over its simulations.
+
+    ``picks`` gives, for each origin, age and simulation, the place of a residual in the pool, which is in order of cells.
+    """
     origins = sorted({c["origin_idx"] for c in cells})
     size, k = len(origins), len(f) + 1
     place = {o: i for i, o in enumerate(origins)}
@@ -88,7 +104,7 @@ def simulate(cells, f, phi, n, p, sims, rng, bias_adjust, process_variance) -> t
     pool = np.array([c["residual"] for c in cells if c["residual"] is not None and abs(c["residual"]) > ZERO]) * (np.sqrt(n / (n - p)) if bias_adjust else 1)
     seen = ~np.isnan(mean)
     good = seen & (np.nan_to_num(mean) > 0)
-    cells_ = np.where(seen, np.nan_to_num(mean), 0.0)[:, :, None] + np.where(good, np.sqrt(np.where(good, mean, 0)), 0)[:, :, None] * rng.choice(pool, (size, k, sims))
+    cells_ = np.where(seen, np.nan_to_num(mean), 0.0)[:, :, None] + np.where(good, np.sqrt(np.where(good, mean, 0)), 0)[:, :, None] * pool[picks(len(pool), size, k)]
     cum = np.cumsum(np.where(seen[:, :, None], cells_, 0), axis=1)
     factors = np.empty((k - 1, sims))
     for j in range(k - 1):
@@ -110,8 +126,18 @@ def simulate(cells, f, phi, n, p, sims, rng, bias_adjust, process_variance) -> t
 
 
 def summary(samples: DataFrame) -> DataFrame:
-    """Per origin, and with a null origin per segment, ``mean, sd, cv`` and exact percentiles of simulated amounts."""
+    """Per origin, and with a null origin per segment, ``n, mean, sd, cv`` and interpolated percentiles of simulated amounts.
+
+    Percentiles come from running counts over range buckets, so that a segment of very many simulations is no task of its own.
+    """
     total = samples.groupBy(*SEG, "sim").agg(F.sum("unpaid").alias("unpaid")).withColumn("origin", F.lit(None).cast("string"))
-    rows = samples.select(*SEG, "origin", "sim", "unpaid").unionByName(total)
-    out = rows.groupBy(*SEG, "origin").agg(F.count("*").alias("n"), F.avg("unpaid").alias("mean"), F.stddev_samp("unpaid").alias("sd"), F.percentile("unpaid", F.array(*map(F.lit, PERCENTILES))).alias("percentiles"))
-    return out.filter("n >= 2").withColumn("cv", F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean")))
+    rows = written(samples.select(*SEG, "origin", "sim", "unpaid").unionByName(total), "simulated")
+    own = [*SEG, "origin"]
+    out = rows.groupBy(*own).agg(F.count("*").alias("n"), F.avg("unpaid").alias("mean"), F.stddev_samp("unpaid").alias("sd")).filter("n >= 2")
+    found = percentiles(rows, own, "unpaid", {f"p{k}": p for k, p in enumerate(PERCENTILES)})
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in own), F.array(*(f"p{k}" for k in range(len(PERCENTILES)))).alias("percentiles"))
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = out.join(found, same).select(*own, "n", "mean", "sd", "percentiles")
+    return out.withColumn("cv", F.when(F.col("mean") != 0, F.col("sd") / F.abs("mean")))

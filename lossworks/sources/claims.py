@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lossworks.functions.tables import written
+from lossworks.sources import csv_ranges
 
 AS_OF = "2001-12-31"
+# The columns of a loss run.
 LOSS_RUN = ("claim_id", "accident_date", "report_date", "evaluation_date", "paid_to_date", "case_reserve", "status")
 
 
@@ -82,33 +85,25 @@ ln AS (
 )"""
 
 
-def _header(name: str) -> str:
-    return "_".join(name.replace("\ufeff", "").strip().lower().split())
-
-
-def loss_run_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(claims, errors) from a loss-run CSV file or folder.
+def loss_run_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, errors) from a loss-run CSV file or folder, read in byte ranges whatever the sizes of the files.
 
-    Headers match in any case, blanks count as ``_``; of repeated ones the first counts, further columns are ignored, a
-    missing one raises ``SHAPE``. All fields are read as text; a row with any error gives no claim but an error row per
-    message, with the file and the row's fields.
+    Each file is read by its own header: in any case, blanks count as ``_``; of repeated ones the first counts, further
+    columns are ignored. A file that lacks a column fails alone, by an error of code ``SHAPE``; so does a record whose
+    quoted field isn't closed. All fields are read as text; a row with any error gives no claim but an error row per
+    message, with the file, the record's first line and its fields.
     """
-    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE") if columns is None else None
-    if columns is None:
-        columns = [str(x or "") for x in raw.first()]  # one row: the header
-    names: list[str] = []
-    for place, name in enumerate(map(_header, columns)):
-        names.append(f"_{place}" if name in names or not name else name)
-    missing = [c for c in LOSS_RUN if c not in names]
-    if missing:
-        raise ValueError(f"SHAPE: missing column {', '.join(missing)}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    return parsed_loss_run(rows.withColumn("source_file", F.input_file_name()))
+    rows, files = csv_ranges.table(spark, path, LOSS_RUN)
+    rows = written(rows, "loss-run")
+    claims, errors = parsed_loss_run(rows.filter("not broken"))
+    nothing = F.struct(*(F.lit(None).cast("string").alias(c) for c in LOSS_RUN))
+    open_ = rows.filter("broken").select("source_file", "line", nothing.alias("row"), F.lit("a quoted field is not closed").alias("message"))
+    lacks = files.filter(F.size("missing") > 0).select("source_file", F.lit(1).cast("long").alias("line"), nothing.alias("row"), F.concat(F.lit("SHAPE: missing column "), F.array_join("missing", ", ")).alias("message"))
+    return claims, errors.unionByName(open_).unionByName(lacks)
 
 
 def parsed_loss_run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, errors) from loss-run rows whose columns are text."""
+    """(claims, errors) from loss-run rows whose columns are text; ``source_file``, ``line`` and ``seq`` may come with them."""
     text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in LOSS_RUN}
     date = {c: F.when(text[c].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text[c], "yyyy-MM-dd")) for c in ("accident_date", "report_date", "evaluation_date")}
     amount = {c: F.when(text[c].rlike(r"^-?\d+(\.\d+)?$"), text[c].try_cast("double")) for c in ("paid_to_date", "case_reserve")}
@@ -122,10 +117,11 @@ def parsed_loss_run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         (date["evaluation_date"] < date["report_date"], "evaluation_date is before report_date"),
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(said)) for test, said in checks)))
-    marked = rows.withColumn("_errors", found).withColumn("_seq", F.monotonically_increasing_id())
+    marked = rows.withColumn("_errors", found).withColumn("_seq", F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id())
     claims = marked.filter(F.size("_errors") == 0).select(
         text["claim_id"].alias("claim_id"), *(date[c].alias(c) for c in date), *(amount[c].alias(c) for c in amount), status.alias("status"), F.col("_seq").alias("seq")
     )
     source = F.col("source_file") if "source_file" in rows.columns else F.lit(None).cast("string")
-    errors = marked.select(source.alias("source_file"), F.struct(*LOSS_RUN).alias("row"), F.explode("_errors").alias("message"))
+    line = F.col("line") if "line" in rows.columns else F.lit(None).cast("long")
+    errors = marked.select(source.alias("source_file"), line.alias("line"), F.struct(*LOSS_RUN).alias("row"), F.explode("_errors").alias("message"))
     return claims, errors

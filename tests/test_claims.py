@@ -93,11 +93,14 @@ def test_loss_run(spark, tmp_path):
     )
     rows, errors = claims.loss_run_csv(spark, str(path))
     assert [(r["claim_id"], r["case_reserve"], r["status"]) for r in rows.collect()] == [("CL-1", 500.5, "open")]
-    said = [r["message"] for r in errors.collect()]
-    assert len(said) == 6 and any("evaluation_date is before" in s for s in said)
-    (tmp_path / "bad.csv").write_text("claim_id,accident_date\n")
-    with pytest.raises(ValueError, match="SHAPE"):
-        claims.loss_run_csv(spark, str(tmp_path / "bad.csv"))
+    said = errors.collect()
+    assert len(said) == 6 and any("evaluation_date is before" in r["message"] for r in said)
+    assert {(r["line"], r["row"]["claim_id"] or "") for r in said} == {(3, "CL-2"), (5, "")}
+    (tmp_path / "bad.csv").write_text("claim_id,accident_date\n1,2\n")
+    rows, errors = claims.loss_run_csv(spark, str(tmp_path))
+    assert rows.count() == 1
+    found = [r["message"] for r in errors.collect() if r["source_file"].endswith("bad.csv")]
+    assert found == ["SHAPE: missing column report_date, evaluation_date, paid_to_date, case_reserve, status"]
 
 
 def test_review_lists_every_check(spark):
