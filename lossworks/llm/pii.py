@@ -1,7 +1,8 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detected entities (e-mail and network addresses, telephone, card and social-security numbers, account numbers, secrets,
-titled names) are listed once each for the whole corpus. Every one gets a replacement drawn by a keyed hash within its own
+titled names, birth dates behind their keyword, streets with a house number) are listed once each for the whole corpus.
+Names without a title are not found: only a word list could tell them from other capitalised words. Every one gets a replacement drawn by a keyed hash within its own
 format: digits for digits, letters for letters of the same case and script, valid octets, card numbers that pass the same
 check, names of the same gender. Draws that meet another entity's replacement or a real entity are drawn again, so
 different entities stay different and equal ones stay equal in all documents.
@@ -28,28 +29,40 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 # Syllables that names are made of, and the endings of given names.
 LATIN = ("ba", "bel", "car", "da", "del", "fa", "fen", "ga", "han", "jo", "kar", "la", "len", "ma", "mer", "na", "nor", "pa", "ran", "ro", "sa", "sol", "ta", "tor", "va", "ven", "wil", "yar", "za", "zen", "bri", "cla")
 CYRILLIC = ("ба", "бел", "вар", "да", "дел", "га", "ган", "жо", "кар", "ла", "лен", "ма", "мер", "на", "нор", "па", "ран", "ро", "са", "сол", "та", "тор", "ва", "вен", "вил", "яр", "за", "зен", "бри", "кла", "ми", "ни")
-ENDINGS = {"given_m": ("n", "rd", "s", "l"), "given_f": ("na", "lia", "ra", "sa"), "surname": ("man", "son", "ler", "ner")}
-ENDINGS_CYRILLIC = {"given_m": ("н", "р", "с", "л"), "given_f": ("на", "лия", "ра", "са"), "surname": ("ов", "ин", "ко", "ев")}
-
-MALE, FEMALE = (tuple(dict.fromkeys((*titles, *(t.upper() for t in titles)))) for titles in (MALE, FEMALE))
-
-TITLE = "|".join(MALE + FEMALE)
+ENDINGS = {"given_m": ("n", "rd", "s", "l"), "given_f": ("na", "lia", "ra", "sa"), "given": ("ley", "ry", "dy", "sy"), "surname": ("man", "son", "ler", "ner")}
+ENDINGS_CYRILLIC = {"given_m": ("н", "р", "с", "л"), "given_f": ("на", "лия", "ра", "са"), "given": ("ся", "ля", "ня", "ша"), "surname": ("ов", "ин", "ко", "ев")}
+
+NEUTRAL = ("Dr", "Prof", "Mx", "Dra")
+# Words before a birth date, and the last words of street names.
+BORN = ("born", "born on", "date of birth", "birth date", "DOB", "geboren am", "Geburtsdatum", "né le", "née le", "date de naissance", "nacido el", "nacida el", "fecha de nacimiento")
+STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace")
+MALE, FEMALE, NEUTRAL, STREETS = (tuple(dict.fromkeys((*titles, *(t.upper() for t in titles)))) for titles in (MALE, FEMALE, NEUTRAL, STREETS))
+
+TITLE = "|".join(MALE + FEMALE + NEUTRAL)
+#: One name: parts joined by hyphens and apostrophes, two letters at least. Possessive, as all repeated groups here: Java
+#: matches these in a loop, where others take a stack frame for every round of a long text.
+NAME = r"\p{Lu}(?=['’-]?\p{L})\p{L}*+(?:['’-]\p{L}++)*+"
+BIRTH = rf"(?:{'|'.join(f'(?i:{b})' for b in sorted(BORN, key=len, reverse=True))})[: ]{{1,3}}+"
+DATE = r"(?:(?:19|20)\d{2}[-./]\d{2}[-./]\d{2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d{2})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they claim a match; each stands by itself within the text.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "mac": r"(?<![\w:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?=[A-Fa-f:]*+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}|AKIA[0-9A-Z]{16}|(?:gh[pousr]|GH[POUSR])_[A-Za-z0-9]{36}|(?:sk|SK)-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
-    "name": rf"(?<!\w)(?:{TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?!\p{{L}})",
+    "street": rf"(?<![\w.,-])\d{{1,5}} {NAME}(?: {NAME})? (?:{'|'.join(STREETS)})(?!\w)",
+    "birth": rf"(?<!\w){BIRTH}{DATE}(?!\d)",
+    "name": rf"(?<!\w)(?:{TITLE})\.? {NAME}(?: {NAME})?(?!\p{{L}})",
 }
 MASTER = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Every entity has a digit, an @ or a title in it: a cheap test before the long pattern.
-HINT = rf"[0-9@]|(?:{TITLE})\.? \p{{Lu}}"
+#: Every entity has a digit, an @, a title or the start of a secret in it: a cheap test before the long pattern.
+HINT = rf"[0-9@]|(?:{TITLE})\.? \p{{Lu}}|(?:sk|SK)-|(?:gh[pousr]|GH[POUSR])_|AKIA|[A-Fa-f]{{32}}"
 UNIT = "struct<kind:string,value:string>"
 
 
@@ -62,19 +75,29 @@ def _is(value: Column, kind: str) -> Column:
 
 
 def units(match: Column) -> Column:
-    """A match as an array of (kind, value); kind is null for what stays: a name's title and blanks.
+    """A match as an array of (kind, value); kind is null for what stays: titles, keywords, blanks, and other numbers.
 
-    After a title, a first of two names is a given name of the title's gender, the last one a surname.
+    After a title, a first of two names is a given name of the title's gender, the last one a surname. Thirteen digits or
+    more are a card where they pass its check, or stand in four groups of four behind a card's first digit; times in
+    milliseconds, book and order numbers stay.
     """
     title = F.regexp_extract(match, rf"^(?:{TITLE})\.? ", 0)
     names = F.split(F.regexp_replace(match, rf"^(?:{TITLE})\.? ", ""), " ")
     male = F.regexp_replace(F.trim(title), r"\.$", "").isin(*MALE)
-    given = F.when(male, F.lit("given_m")).otherwise(F.lit("given_f"))
+    neutral = F.regexp_replace(F.trim(title), r"\.$", "").isin(*NEUTRAL)
+    given = F.when(male, F.lit("given_m")).when(neutral, F.lit("given")).otherwise(F.lit("given_f"))
     two = F.array(_unit(None, title), _unit(given, names[0]), _unit(None, F.lit(" ")), _unit(F.lit("surname"), F.get(names, F.lit(1))))
     one = F.array(_unit(None, title), _unit(F.lit("surname"), names[0]))
     found = F.when(F.size(names) > 1, two).otherwise(one)
+    keyword = F.regexp_extract(match, f"^{BIRTH}", 0)
+    last = F.concat(F.lit(" "), F.substring_index(match, " ", -1))
+    parts = {
+        "birth": F.array(_unit(None, keyword), _unit(F.lit("date"), F.substring(match, F.length(keyword) + 1, F.length(match)))),
+        "street": F.array(_unit(F.lit("street"), F.substring(match, F.lit(1), F.length(match) - F.length(last))), _unit(None, last)),
+        "card": F.array(_unit(F.when((luhn(match) == 0) | match.rlike(r"^[3-6]\d{3}([ -]\d{4}){3}$"), "card"), match)),
+    }
     for kind in reversed([k for k in KINDS if k != "name"]):
-        found = F.when(_is(match, kind), F.array(_unit(F.lit(kind), match))).otherwise(found)
+        found = F.when(_is(match, kind), parts.get(kind, F.array(_unit(F.lit(kind), match)))).otherwise(found)
     return found
 
 
@@ -184,9 +207,24 @@ def _name(secret: Column, value: Column, kind: str, more: int) -> Column:
         return F.initcap(F.concat(*parts))
 
     name = F.when(value.rlike(r"\p{IsCyrillic}"), made(CYRILLIC, ENDINGS_CYRILLIC)).otherwise(made(LATIN, ENDINGS))
+    joint = F.regexp_extract(value, "['’-]", 0)  # a name of two parts gets one of two parts
+    name = F.when(joint == "", name).otherwise(F.concat(name, joint, F.initcap(F.concat(*(_pick(secret, F.lit(200 + k), LATIN) for k in range(2))))))
     return F.when(value == F.upper(value), F.upper(name)).otherwise(name)
 
 
+def _date(secret: Column, value: Column) -> Column:
+    """A date written in the same way, and valid with day and month in either order."""
+
+    def drawn(k: int, like: Column) -> Column:
+        two, one = (F.pmod(F.xxhash64(secret, F.lit(300 + k)), F.lit(n)) + 1 for n in (12, 9))
+        return F.when(F.length(like) == 1, one.cast("string")).otherwise(F.lpad(two.cast("string"), 2, "0"))
+
+    numbers, signs = F.split(value, r"\D"), F.regexp_extract_all(value, F.lit(r"\D"), F.lit(0))
+    year = (F.pmod(F.xxhash64(secret, F.lit(299)), F.lit(90)) + 1920).cast("string")
+    parts = [F.when(F.length(numbers[k]) == 4, year).otherwise(drawn(k, numbers[k])) for k in range(3)]
+    return F.concat(parts[0], signs[0], parts[1], signs[1], parts[2])
+
+
 def surrogate(kind: Column, value: Column, nonce: int, key: str = KEY) -> Column:
     """The replacement that ``key`` and ``nonce`` draw for an entity, in the entity's format.
 
@@ -217,6 +255,9 @@ def surrogate(kind: Column, value: Column, nonce: int, key: str = KEY) -> Column
         )
         out = F.when(kind == "email", email).when(kind == "ip", _ip(s, value, nonce)).when(kind == "phone", phone).when(kind == "card", _card(s, value))
         out = out.when(kind == "iban", iban).when(kind == "ssn", ssn).when(kind == "secret", secret_).when(kind == "mac", _hex(s, value))
+        number = F.substring_index(value, " ", 1)
+        out = out.when(kind == "ipv6", _hex(s, value)).when(kind == "date", _date(s, value))
+        out = out.when(kind == "street", F.concat(_each(number, lambda c, i: _pick(s, i + 400, "123456789")), F.lit(" "), _name(s, F.substring_index(value, " ", -1), "surname", more)))
         for name in ENDINGS:
             out = out.when(kind == name, _name(s, value, name, more))
         return out.otherwise(whole)
@@ -229,7 +270,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     Each round draws for those still without one. Of several that drew the same the smallest value keeps it; it is drawn
     again if a real entity has it or an earlier round gave it away. Rounds go on until none is left, from ever wider
-    spaces; only a format of fixed size (an IP address, a social-security number) that is full fails, and loudly.
+    spaces. Where a format of fixed size (an IP address, a date, a social-security number) is full, those left over get a
+    mark of their kind and a keyed hash instead, so that nothing real stays and nothing fails.
     """
     real = written(entities.select("kind", "value").distinct(), "entities")
     left, given, nonce, barren = real, None, 0, 0
@@ -244,7 +286,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         if left.isEmpty():
             return given
         nonce, barren = nonce + 1, barren + 1 if got.isEmpty() else 0
-    raise ValueError("a format has more entities than distinct replacements")
+    mark = F.concat(F.lit("["), F.col("kind"), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256), 1, 32), F.lit("]"))
+    return given.unionByName(left.select("kind", "value", mark.alias("surrogate")))
 
 
 def cut(docs: DataFrame, pieces: str = "pieces", found: str = "found", row: str = "row") -> DataFrame:
@@ -285,7 +328,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     out = out.groupBy(row, number).agg(F.sort_array(F.collect_list(F.struct(unit_number, F.coalesce("surrogate", "_value").alias("s")))).alias("u"))
     out = out.withColumn("s", F.array_join("u.s", "")).groupBy(row).agg(F.sort_array(F.collect_list(F.struct(number, "s"))).alias(new))
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.col(new)["s"], lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    rewritten = hits.join(out, row).withColumn("text", whole).withColumn("n_entities", F.size(found).cast("long"))
+    rewritten = hits.join(out, row).withColumn("text", whole).withColumn("n_entities", F.size(F.filter(found, lambda m: F.exists(m, lambda u: u["kind"].isNotNull()))).cast("long"))
     plain = rows.filter(F.col(found).isNull()).withColumn("n_entities", F.lit(0).cast("long"))
     return plain.select(*names, "n_entities").unionByName(rewritten.select(*names, "n_entities"))
 
