@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossworks.functions.numbers import finite
@@ -20,6 +20,45 @@ RESULT = (
 )
 
 
+def growth_share(curve: str, x: Column, omega: Column, theta: Column) -> Column:
+    """The share of losses that has emerged at average age ``x``, as a column; 0 at 0 and before."""
+    if curve not in CURVES:
+        raise ValueError(f"BAD_CURVE: one of {', '.join(CURVES)}")
+    share = 1 / (1 + F.pow(theta / x, omega)) if curve == "loglogistic" else 1 - F.exp(-F.pow(x / theta, omega))
+    return F.when(x > 0, share).when(x.isNotNull(), 0.0)
+
+
+def average_age_of(months: Column) -> Column:
+    """``average_age`` as a column."""
+    return F.when(months > 0, F.greatest(months - 6.0, months / 2.0)).when(months.isNotNull(), 0.0)
+
+
+def first_order(cells: DataFrame, fits: DataFrame, step: float = 1e-5) -> DataFrame:
+    """``segment, curve, n, slope_omega, slope_theta``: how far fits with a level per origin are from a stationary point.
+
+    ``fits`` are ``growth_curve``'s rows. A slope is the derivative of the likelihood in the logarithm of a parameter, levels
+    held (they maximise it), over the sum of its terms' sizes: 0 at an optimum. It is worked out from the cells by
+    columns and one combining aggregate, apart from the optimiser.
+    """
+    good = fits.filter("valid and method = 'ldf_curve' and origin is not null").select("segment", "origin", "curve", "omega", "theta", (F.col("latest") / F.col("growth")).alias("_level"))
+    by_age = Window.partitionBy("segment", "origin").orderBy("age")
+    rows = cells.select("segment", "origin", "age", finite("value").alias("value")).filter("value is not null")
+    rows = rows.withColumns({"c": F.col("value") - F.coalesce(F.lag("value").over(by_age), F.lit(0.0)), "_to": average_age_of(F.col("age")), "_since": average_age_of(F.coalesce(F.lag("age").over(by_age), F.lit(0)))})
+    rows = rows.join(good, ["segment", "origin"])
+
+    def mean(a: float, b: float) -> Column:
+        out = F.lit(None).cast("double")
+        for curve in CURVES:
+            omega, theta = F.col("omega") * (1 + a), F.col("theta") * (1 + b)
+            out = F.when(F.col("curve") == curve, F.col("_level") * (growth_share(curve, F.col("_to"), omega, theta) - growth_share(curve, F.col("_since"), omega, theta))).otherwise(out)
+        return out
+
+    weight = F.col("c") / mean(0, 0) - 1
+    terms = {"omega": weight * (mean(step, 0) - mean(-step, 0)) / (2 * step), "theta": weight * (mean(0, step) - mean(0, -step)) / (2 * step)}
+    slopes = [(F.sum(t) / F.sum(F.abs(t))).alias(f"slope_{k}") for k, t in terms.items()]
+    return rows.groupBy("segment", "curve").agg(F.count("*").alias("n"), *slopes)
+
+
 def average_age(t: np.ndarray) -> np.ndarray:
     """Months from the average accident date: t - 6, and t / 2 within the first year."""
     return np.where(t > 0, np.maximum(t - 6.0, t / 2.0), 0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lossworks.functions.numbers import finite
 from lossworks.functions.order import at_ranks, in_buckets, running
+from lossworks.functions.tables import broadcast_if_small, written
 
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 ANCHORS = (0.75, 0.9, 0.95, 0.99)
@@ -59,7 +60,7 @@ def size_by_year(snapshots: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def nice(value: Column) -> Column:
-    """Rounded to 1, 2.5, 5 or 10 times a power of ten."""
+    """Rounded to 1, 2.5, 5 or 10 times a power of ten; fixed values: these steps and the bounds between them."""
     size = F.pow(F.lit(10.0), F.floor(F.log10(value)))
     scaled = value / size
     return F.when(value > 0, F.when(scaled < 1.5, 1.0).when(scaled < 3.5, 2.5).when(scaled < 7.5, 5.0).otherwise(10.0) * size).otherwise(0.0)
@@ -80,15 +81,20 @@ def candidate_caps(snapshots: DataFrame, as_of: str | None = None, index_rate: f
 def cap_candidates(snapshots: DataFrame, caps: DataFrame, as_of: str | None = None, index_rate: float = 0.0) -> DataFrame:
     """Per segment, cap and year (null: all): effective cap, claims above it, their share, and the excess share.
 
-    The caps (a few per segment) travel to the claims as one array, so claims shuffle once, by year, after combining.
+    The caps (a few per segment) travel to the claims as one array, and each year's sums are arrays with a place per cap:
+    claims shuffle once, by year, after combining, and are never multiplied by caps.
     """
     menu = caps.groupBy("segment").agg(F.sort_array(F.collect_set("cap")).alias("caps")).join(latest_accident_year(snapshots, as_of), "segment")
-    rows = latest_snapshots(snapshots, as_of).join(menu, "segment")
-    rows = rows.select("segment", F.year("accident_date").alias("year"), "base_year", (F.col("paid_to_date") + F.col("case_reserve")).alias("v"), F.explode("caps").alias("cap"))
-    rows = rows.withColumn("limit", F.col("cap") * F.pow(F.lit(1.0 + index_rate), F.col("year") - F.col("base_year")))
-    over = F.col("v") > F.col("limit")
-    out = rows.groupBy("segment", "cap", "year").agg(
-        F.first("limit").alias("effective_cap"), F.count("*").alias("n"), F.count_if(over).alias("pierce_count"), F.sum(F.when(over, F.col("v") - F.col("limit")).otherwise(0.0)).alias("excess"), F.sum("v").alias("incurred")
+    menu = written(menu, "caps")
+    most = menu.agg(F.max(F.size("caps"))).first()[0] or 1  # the longest menu: a handful
+    rows = latest_snapshots(snapshots, as_of).join(broadcast_if_small(menu), "segment")
+    rows = rows.select("segment", "caps", F.year("accident_date").alias("year"), "base_year", (F.col("paid_to_date") + F.col("case_reserve")).alias("v"))
+    level = F.pow(F.lit(1.0 + index_rate), F.col("year") - F.col("base_year"))
+    limits = [F.get("caps", F.lit(k)) * level for k in range(most)]
+    sums = [F.array(*(F.count_if(F.col("v") > x) for x in limits)).alias("pierced"), F.array(*(F.sum(F.when(F.col("v") > x, F.col("v") - x).otherwise(0.0)) for x in limits)).alias("excess")]
+    years = rows.groupBy("segment", "year", "caps", "base_year").agg(F.count("*").alias("n"), F.sum("v").alias("incurred"), *sums)
+    out = years.select("segment", "year", "base_year", "n", "incurred", "pierced", "excess", F.posexplode("caps").alias("k", "cap")).select(
+        "segment", "cap", "year", (F.col("cap") * level).alias("effective_cap"), "n", F.get("pierced", F.col("k")).alias("pierce_count"), F.get("excess", F.col("k")).alias("excess"), "incurred"
     )
     whole = out.groupBy("segment", "cap").agg(*(F.sum(c).alias(c) for c in ("n", "pierce_count", "excess", "incurred"))).select("segment", "cap", F.lit(None).cast("int").alias("year"), F.lit(None).cast("double").alias("effective_cap"), "n", "pierce_count", "excess", "incurred")
     share = F.when(F.col("incurred") > 0, F.col("excess") / F.col("incurred")).otherwise(0.0)

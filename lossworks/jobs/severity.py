@@ -254,3 +254,26 @@ def fit_severity(observations: DataFrame, kind: str) -> DataFrame:
         "segment", "n_excluded", F.lit(kind).alias("kind"), "p1", "p2", "log_likelihood", "n_exact", "n_censored", F.coalesce("valid", F.lit(False)).alias("valid"), "message"
     )
     return out.withColumn("message", F.when(F.col("n_exact").isNull(), F.lit("no usable observation")).otherwise(F.col("message")))
+
+
+def log_likelihood(kind: Column, p1: Column, p2: Column, value: Column, censored: Column) -> Column:
+    """One observation's term: the density of a closed claim, the probability of more than an open one's size."""
+    z = (F.ln(value) - p1) / p2
+    lognormal = F.when(censored, F.ln(F.greatest(1 - normal_cdf(z), F.lit(1e-300)))).otherwise(-F.ln(value) - F.ln(p2) - F.lit(0.5 * np.log(2 * np.pi)) - z * z / 2)
+    log = F.log1p(value / p1)
+    pareto = F.when(censored, -p2 * log).otherwise(F.ln(p2) - F.ln(p1) - (p2 + 1) * log)
+    return F.when(kind == "lognormal", lognormal).otherwise(pareto)
+
+
+def around_optimum(observations: DataFrame, fits: DataFrame, step: float = 0.01) -> DataFrame:
+    """``segment, kind, n_exact, n_censored, log_likelihood, best_neighbour``: what the data say at a fit and beside it.
+
+    Each parameter is moved up and down by ``step`` of itself, also both at once; all nine sums come from one combining
+    aggregate over the observations. A fit is an optimum if its own is the largest.
+    """
+    own = fits.filter("p1 is not null").select(F.col("segment").alias("_segment"), "kind", "p1", "p2")
+    rows = observations.filter(finite("value") > 0).withColumn("value", finite("value")).join(own, F.col("segment").eqNullSafe(F.col("_segment")))
+    moves = [(a, b) for a in (0, step, -step) for b in (0, step, -step)]
+    sums = [F.sum(log_likelihood(F.col("kind"), F.col("p1") * (1 + a), F.col("p2") * (1 + b), F.col("value"), F.col("censored"))).alias(f"l{k}") for k, (a, b) in enumerate(moves)]
+    out = rows.groupBy("segment", "kind").agg(F.count_if(~F.col("censored")).alias("n_exact"), F.count_if("censored").alias("n_censored"), *sums)
+    return out.select("segment", "kind", "n_exact", "n_censored", F.col("l0").alias("log_likelihood"), F.greatest(*(f"l{k}" for k in range(1, len(moves)))).alias("best_neighbour"))

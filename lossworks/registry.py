@@ -1312,6 +1312,41 @@ def ledger_appended(spark, sf_dir):
     return first.unionByName(compare.appended(first, entries.drop("age_idx"))[0])
 
 
+@query(
+    "growth_values",
+    with_triangles("""
+, x AS (
+  SELECT DISTINCT segment, age, CASE WHEN age > 0 THEN greatest(age - 6.0::DOUBLE, age / 2.0::DOUBLE) ELSE 0 END AS x, 1 + length(segment) / 10.0::DOUBLE AS omega, 20.0::DOUBLE + length(segment) AS theta FROM tri
+)
+SELECT segment, age, round(1 / (1 + pow(theta / x, omega)), 10) AS loglogistic, round(1 - exp(-pow(x / theta, omega)), 10) AS weibull FROM x"""),
+)
+def growth_values(spark, sf_dir):
+    """Both curves at each age, by parameters that differ by segment."""
+    ages = built(spark, sf_dir).select("segment", "age").distinct()
+    omega, theta, x = 1 + F.length("segment") / 10, F.lit(20.0) + F.length("segment"), growth.average_age_of(F.col("age"))
+    return ages.select("segment", "age", *(F.round(growth.growth_share(c, x, omega, theta), 10).alias(c) for c in growth.CURVES))
+
+
+@query("growth_optimum", with_triangles(" SELECT segment, 'loglogistic' AS curve, count(incurred) AS n, 0.0::DOUBLE AS slope_omega, 0.0::DOUBLE AS slope_theta FROM tri GROUP BY 1"))
+def growth_optimum(spark, sf_dir):
+    """The likelihood's slopes at the fitted curves, from the cells: none."""
+    cells = triangles.measure(built(spark, sf_dir), "incurred")
+    out = growth.first_order(cells, growth.growth_curve(cells))
+    return out.select("segment", "curve", "n", *((F.round(F.abs(c), 3) + 0.0).alias(c) for c in ("slope_omega", "slope_theta")))
+
+
+@query(
+    "severity_optimum",
+    with_claims(f"""{LATEST_SQL}, c AS (SELECT segment, count(*) FILTER (status <> 'open') AS n_exact, count(*) FILTER (status = 'open') AS n_censored FROM lt WHERE v > 0 GROUP BY 1)
+SELECT segment, kind, n_exact, n_censored, true AS optimum FROM c CROSS JOIN (VALUES ('lognormal')) k(kind)"""),
+)
+def severity_optimum(spark, sf_dir):
+    """No parameters near a lognormal fit's are likelier for the claims than its own. (A Pareto's tail on these claims gets thinner without end.)"""
+    seen = written(large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF), "severity-observations")
+    out = severity.around_optimum(seen, written(severity.fit_severity(seen, "lognormal"), "severity-fits"))
+    return out.select("segment", "kind", "n_exact", "n_censored", (F.col("log_likelihood") > F.col("best_neighbour")).alias("optimum"))
+
+
 @query("tail_fit_inverse_power", with_chain_ladder("paid", TAIL_SQL.replace("SELECT segment, age_idx + 1 AS j, f, CASE", "SELECT segment, ln(age_idx + 1) AS x, age_idx + 1 AS j, f, CASE").replace("regr_slope(y, j)", "regr_slope(y, x)").replace("regr_intercept(y, j)", "regr_intercept(y, x)").replace("slope * (last + k)", "slope * ln(last + k)")))
 def tail_fit_inverse_power(spark, sf_dir):
     out = levels.fit_tail(chainladder.selected(triangles.measure(built(spark, sf_dir), "paid")), "inverse_power")

@@ -68,19 +68,24 @@ def test_triangles_match_brute_force(spark, cadence, as_of):
         assert [r[k] for k in triangles.KINDS] == (pytest.approx(cell) if cell else [None] * 7), r
 
 
-def test_builder_example(spark):
+def test_cells_worked_by_hand(spark):
+    """X and Y of 2017 (Y reported a year later) end at 400 and 75, Z of 2018 closes without payment, W of 2019 is open."""
     rows = [
-        ("s", "A", D("2022-03-10"), D("2022-04-01"), D("2022-12-31"), 1000.0, 500.0, "open", 1),
-        ("s", "A", D("2022-03-10"), D("2022-04-01"), D("2023-12-31"), 1800.0, 0.0, "closed", 2),
-        ("s", "B", D("2023-06-15"), D("2023-07-01"), D("2023-12-31"), 0.0, 800.0, "open", 3),
-        ("none", "C", D("2024-06-15"), D("2024-07-01"), D("2024-12-31"), 0.0, 800.0, "open", 4),
+        ("s", "X", D("2017-02-20"), D("2017-05-05"), D("2017-12-31"), 120.0, 300.0, "open", 1), ("s", "X", D("2017-02-20"), D("2017-05-05"), D("2018-12-31"), 250.0, 90.0, "open", 2),
+        ("s", "X", D("2017-02-20"), D("2017-05-05"), D("2019-12-31"), 400.0, 0.0, "closed", 3), ("s", "Y", D("2017-11-02"), D("2018-01-15"), D("2018-12-31"), 60.0, 40.0, "open", 4),
+        ("s", "Y", D("2017-11-02"), D("2018-01-15"), D("2019-12-31"), 75.0, 0.0, "closed", 5), ("s", "Z", D("2018-08-09"), D("2018-09-01"), D("2018-12-31"), 0.0, 500.0, "open", 6),
+        ("s", "Z", D("2018-08-09"), D("2018-09-01"), D("2019-06-30"), 0.0, 0.0, "closed", 7), ("s", "W", D("2019-04-04"), D("2019-04-20"), D("2019-12-31"), 33.0, 67.0, "open", 8),
+        ("later", "V", D("2020-01-09"), D("2020-01-20"), D("2020-12-31"), 5.0, 5.0, "open", 9),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    out = triangles.build_triangles(df, "2023-12-31").orderBy("origin_idx", "age_idx").collect()
-    assert [r["incurred"] for r in out] == [1500, 1800, 800, None]
-    assert [r["closed_with_pay_count"] for r in out] == [0, 1, 0, None]
-    assert [(r["segment"], r["code"]) for r in triangles.build_errors(df, "2023-12-31").collect()] == [("none", "NO_CLAIMS")]
-    assert [r["origin"] for r in triangles.build_triangles(df, "2023-12-31", "quarterly").orderBy("origin_idx").collect()][0] == "2022Q1"
+    out = triangles.build_triangles(df, "2019-12-31").orderBy("origin_idx", "age_idx").collect()
+    none = None
+    assert [r["paid"] for r in out] == [120, 310, 475, 0, 0, none, 33, none, none]
+    assert [r["incurred"] for r in out] == [420, 440, 475, 500, 0, none, 100, none, none]
+    assert [r["closed_with_pay_count"] for r in out] == [0, 0, 2, 0, 0, none, 0, none, none]
+    assert [r["reported_count"] for r in out] == [1, 2, 2, 1, 1, none, 1, none, none]
+    assert [(r["segment"], r["code"]) for r in triangles.build_errors(df, "2019-12-31").collect()] == [("later", "NO_CLAIMS")]
+    assert triangles.build_triangles(df, "2019-12-31", "quarterly").orderBy("origin_idx").first()["origin"] == "2017Q1"
 
 
 def test_loss_run(spark, tmp_path):

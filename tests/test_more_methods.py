@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lossworks.jobs import adjust, munich, severity, variance
+from lossworks.jobs import adjust, growth, munich, severity, variance
 from tests.published import cells
 
 # A published pair of triangles.
@@ -110,3 +110,46 @@ def test_settlement_branches(spark):
     assert out[(1, 0)] == pytest.approx(300 + 700 * 20 / 50) and out[(1, 1)] == 1000 and out[(1, 2)] is None
     curve = {(r["origin_idx"], r["age_idx"]): r["value"] for r in adjust.settlement(paid, closed, ultimate).collect()}
     assert curve[(0, 0)] == pytest.approx(500 * (900 / 500) ** (10 / 30))
+
+
+def test_growth_curves_as_columns(spark):
+    rows = [(float(x), 1.4, 30.0) for x in (-3, 0, 0.5, 6, 18, 240)] + [(None, 1.4, 30.0)]
+    df = spark.createDataFrame(rows, "x double, omega double, theta double")
+    for curve, f in growth.CURVES.items():
+        got = [r["g"] for r in df.select(growth.growth_share(curve, F.col("x"), F.col("omega"), F.col("theta")).alias("g")).collect()]
+        assert got[:-1] == pytest.approx([float(f(np.array(x), 1.4, 30.0)) for x, *_ in rows[:-1]], abs=1e-14) and got[-1] is None
+    ages = [r["a"] for r in df.select(growth.average_age_of(F.col("x")).alias("a")).collect()]
+    assert ages[:-1] == [float(growth.average_age(np.array(x))) for x, *_ in rows[:-1]]
+    with pytest.raises(ValueError, match="BAD_CURVE"):
+        growth.growth_share("straight", F.col("x"), F.col("omega"), F.col("theta"))
+
+
+def test_fits_are_stationary(spark):
+    """Cells of a curve with some noise: at the fit the likelihood has no slope, elsewhere it has."""
+    cells = []
+    for o in range(6):
+        for k in range(6 - o):
+            t = 12 * (k + 1)
+            share = 1 / (1 + (25 / growth.average_age(t)) ** 1.6)
+            cells.append(("s", f"20{10 + o}", o, t, 1000.0 * (1 + 0.1 * o) * float(share) * (1 + 0.02 * ((o * 7 + k * 3) % 5 - 2))))
+    df = spark.createDataFrame(cells, "segment string, origin string, origin_idx int, age int, value double")
+    fits = growth.growth_curve(df).cache()
+    r = growth.first_order(df, fits).first()
+    assert r["n"] == 21 and abs(r["slope_omega"]) < 1e-3 and abs(r["slope_theta"]) < 1e-3
+    moved = fits.withColumn("theta", F.col("theta") * 1.2)
+    assert abs(growth.first_order(df, moved).first()["slope_theta"]) > 0.01
+
+
+def test_neighbours_of_a_fit_are_less_likely(spark):
+    import math
+
+    rows = [("s", math.exp(8 + 1.1 * (((k * 37) % 101) / 50.5 - 1)), k % 6 == 0) for k in range(300)]
+    seen = spark.createDataFrame(rows, "segment string, value double, censored boolean")
+    for kind in ("lognormal", "pareto"):
+        fits = severity.fit_severity(seen, kind).cache()
+        r = severity.around_optimum(seen, fits).first()
+        assert (r["n_exact"], r["n_censored"]) == (250, 50) and r["log_likelihood"] == pytest.approx(fits.first()["log_likelihood"], rel=1e-9)
+        if fits.first()["p1"] < 1e8:  # a Pareto of ever thinner tail has its optimum at infinity
+            assert r["log_likelihood"] > r["best_neighbour"]
+        moved = severity.around_optimum(seen, fits.withColumn("p1", F.col("p1") * 1.05)).first()
+        assert moved["log_likelihood"] < moved["best_neighbour"]
