@@ -59,8 +59,8 @@ def _wide(name: str) -> Column:
 
 
 def coin(seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and ``doc_id`` only."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """A number in [0, 1) that depends on the seed and ``doc_id`` only; on the text where there is no id."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text_or_empty())))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``; any columns of those names are replaced.
 
     A null text has size 0, a null source is a source of its own, last in the order. Repeated rows with one ``doc_id``
-    share one coin, all rows without an id as well: many of them can move their source off its target. A source of size 0 has target 0 and its documents are kept once (they hold no words).
+    share one coin, and so do rows without an id that have one text. A source of size 0 has target 0 and its documents are kept once (they hold no words).
     Sums per source combine before the shuffle. The table of targets, a row per source, is written and measured: up to
     16 MB it is broadcast, so a source with a third of all rows is no hot key; beyond, the join shuffles.
     """
@@ -104,7 +104,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), p AS (
@@ -125,7 +125,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS rate,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 AS coin
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'text:' || coalesce(d.text, ''))), 1, 8) AS BIGINT) / 4294967296.0 AS coin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
