@@ -8,6 +8,7 @@ where a window is full.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -51,12 +52,27 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(rest)}
 
 
+# The steps of a tokenizer whose texts may be cut at blanks, and how it splits words.
+NORMALIZERS, SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_blanks(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its JSON) is of the build that ``Encoder`` cuts into parts and plain words."""
+    steps, splits = (tokenizer.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    own = [x["type"] for x in steps.get("normalizers", [])], [x["type"] for x in splits.get("pretokenizers", [])]
+    if own != (NORMALIZERS, SPLITTERS) or tokenizer["model"].get("type") != "BPE" or tokenizer["model"].get("end_of_word_suffix") != "</w>":
+        return False
+    return splits["pretokenizers"][0].get("pattern", {}).get("Regex") == SPLIT and not splits["pretokenizers"][1].get("add_prefix_space")
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space before it merges, so the ids of a text are those of its blank-separated parts in
-    order. A part is encoded once and remembered, up to ``REMEMBERED`` of them; later new ones are encoded each time.
-    Plain words go straight to the tokenizer's merges, all others through the whole tokenizer.
+    A tokenizer of the known build drops white space before it merges, so the ids of a text are those of its blank-separated
+    parts in order. A part is encoded once and remembered, up to ``REMEMBERED`` of them; later new ones are encoded each
+    time. Plain words go straight to the tokenizer's merges, all others through the whole tokenizer. Any other tokenizer
+    gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -64,6 +80,7 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.by_parts = drops_blanks(json.loads(self.tokenizer.to_str()))
 
     def ids(self, part: str) -> bytes:
         if not (plain := PLAIN.fullmatch(part)):
@@ -84,6 +101,8 @@ class Encoder:
         return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_parts:
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join(map(known.__getitem__, parts))

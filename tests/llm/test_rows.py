@@ -132,10 +132,26 @@ def test_mixing(spark):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] / target[s] - 1) < 0.05 for s in target)
+    unnamed = [(None, f"w{i} " * (1 + i % 9), "en", f"s{i % 3}", 0) for i in range(6000)]  # each text has a coin of its own
+    found = mixing.mix(frame(spark, unnamed)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.05 for r in found)
     assert mixing.repeated(mixing.mix(frame(spark))).count() == sum(r["copies"] for r in rows)
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_any_tokenizer_gives_its_own_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", "Two words", "  Ärger, don't STOP\n\n12 ", "中文 x" * 9]
+    for name, by_parts in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+        assert encoder.by_parts == by_parts
+        for text in texts:
+            assert np.frombuffer(encoder(text), np.uint32).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
