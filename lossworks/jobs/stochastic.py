@@ -17,6 +17,8 @@ from lossworks.operators.triangles import ROW, latest
 
 SEG = ["segment", "kind"]
 ZERO = 1e-10
+#: A cell that the fit meets up to this share of its cumulative amount has no residual: what is left is rounding.
+ROUNDING = 1e-12
 LEAST_POOL, LEAST_SIMS, BLOCK = 10, 100, 500
 PERCENTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.995)
 
@@ -34,8 +36,11 @@ def odp_cells(cells: DataFrame) -> DataFrame:
         "incremental": F.when(F.col("age_idx") == 0, F.col("value")).otherwise(F.col("value") - F.lag("value").over(row)),
         "fitted": F.col("_cum") - F.coalesce(F.lag("_cum").over(row), F.lit(0.0)),
     })
-    r = F.when(F.col("fitted") > 0, (F.col("incremental") - F.col("fitted")) / F.sqrt("fitted"))
-    return rows.select(*SEG, "origin", "origin_idx", "age", "age_idx", "latest_idx", "incremental", "fitted", F.when(F.abs(r) <= ZERO, 0.0).otherwise(r).alias("residual"))
+    gap = F.col("incremental") - F.col("fitted")
+    r = F.when(F.col("fitted") > 0, gap / F.sqrt("fitted"))
+    # the rounding of a corner's residual grows with the amounts, beyond any fixed bound
+    zero = (F.abs(r) <= ZERO) | (r.isNotNull() & (F.abs(gap) <= ROUNDING * F.greatest(F.abs("value"), F.abs("_cum"))))
+    return rows.select(*SEG, "origin", "origin_idx", "age", "age_idx", "latest_idx", "incremental", "fitted", F.when(zero, 0.0).otherwise(r).alias("residual"))
 
 
 def odp_fit(cells: DataFrame) -> DataFrame:

@@ -159,6 +159,13 @@ def test_bootstrap_bands_and_partitioning(spark):
     assert other["mean"] == pytest.approx(total["mean"], rel=1e-9)
 
 
+def test_rounding_of_large_amounts_is_no_residual(spark):
+    """The two corners are met by the fit; with large amounts their rounding passes any fixed bound."""
+    large = [[[round(v * 1e6 * (1 + s / 7), 2) for v in row] for row in TAYLOR_ASHE] for s in range(8)]
+    fit = stochastic.odp_fit(cells(spark, *large)).collect()
+    assert [(r["n"], r["pool"]) for r in fit] == [(55, 53)] * 8
+
+
 def test_cash_flows_add_up(spark):
     tri = cells(spark, [[100, 160, 200], [120, 192, None], [150, None, None]], first=23)
     picked = chainladder.selected(tri)
