@@ -174,51 +174,69 @@ def minimised(f, start: np.ndarray, rounds: int = 200) -> np.ndarray:
             return found.value
 
 
-def _summed(kind: str, rows: DataFrame, asked: dict) -> dict:
-    """Per segment of ``asked`` (segment: points) the sums over ``rows`` of the log-likelihood terms at each point.
+def _summed(rows: DataFrame, asked: dict) -> dict:
+    """What ``asked`` ((kind, segment): points) needs of ``rows``, by (kind, segment, place, of open claims).
 
-    Of a lognormal only the open claims: its closed ones need no more than their two sums.
+    One aggregate for all kinds and segments. Of a lognormal (mu, ln sigma) the log-likelihood terms of the open claims at
+    each point: its closed ones need no more than their two sums. Of a Pareto (ln theta, ln alpha) the sums of
+    ln(1 + value / theta), open and closed claims apart: alpha is only a factor of them, so points of one theta ask once.
     """
-    segments, places, first, second = zip(*((s, k, p[0], p[1]) for s, ps in asked.items() for k, p in enumerate(ps)), strict=True)
-    first, second = np.array(first), np.array(second)
-    columns = [pa.array(segments, to_arrow_type(rows.schema["segment"].dataType)), pa.array(places, pa.int32()), first, second if kind == "pareto" else np.exp(-second), np.exp(first)]
-    at = F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns, names=["_segment", "k", "a", "b", "theta"])))
-    if kind == "lognormal":
-        rows = rows.filter("censored")
-        term = F.ln(F.greatest(1 - normal_cdf((F.ln("value") - F.col("a")) * F.col("b")), F.lit(1e-300)))
-    else:
-        log = F.log1p(F.col("value") / F.col("theta"))  # ln(value + theta) less ln(theta): exact for a large theta too
-        term = F.when(F.col("censored"), -F.exp("b") * log).otherwise(F.col("b") - F.col("a") - (F.exp("b") + 1) * log)
-    out = rows.join(at, F.col("segment").eqNullSafe(F.col("_segment"))).groupBy("_segment", "k").agg(F.sum(F.col("w") * term).alias("v")).collect()
-    sums = {(r["_segment"], r["k"]): r["v"] for r in out}
-    return {s: [sums.get((s, k), 0.0) for k in range(len(ps))] for s, ps in asked.items()}
+    lognormal = [("lognormal", s, k, p[0], np.exp(-p[1])) for (kind, s), ps in asked.items() if kind == "lognormal" for k, p in enumerate(ps)]
+    pareto = [("pareto", s, k, np.exp(a), 0.0) for (kind, s), ps in asked.items() if kind == "pareto" for k, a in enumerate(_firsts(ps))]
+    kinds, segments, places, first, second = zip(*lognormal, *pareto, strict=True)
+    columns = [pa.array(kinds), pa.array(segments, to_arrow_type(rows.schema["segment"].dataType)), pa.array(places, pa.int32()), np.array(first), np.array(second)]
+    at = F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns, names=["kind", "_segment", "k", "a", "b"])))
+    tail = F.ln(F.greatest(1 - normal_cdf((F.ln("value") - F.col("a")) * F.col("b")), F.lit(1e-300)))
+    # ln(value + theta) less ln(theta): exact for a large theta too
+    term = F.when(F.col("kind") == "lognormal", tail).otherwise(F.log1p(F.col("value") / F.col("a")))
+    met = rows.join(at, F.col("segment").eqNullSafe(F.col("_segment")) & ((F.col("kind") == "pareto") | F.col("censored")))
+    out = met.groupBy("kind", "_segment", "k", "censored").agg(F.sum(F.col("w") * term).alias("v")).collect()
+    return {(r["kind"], r["_segment"], r["k"], r["censored"]): r["v"] for r in out}
+
+
+def _firsts(points: list[np.ndarray]) -> list[float]:
+    return sorted({float(p[0]) for p in points})
 
 
 def fit_severity(observations: DataFrame, kind: str) -> DataFrame:
+    """``fit_severities`` of one kind."""
+    return fit_severities(observations, (kind,))
+
+
+def fit_severities(observations: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """``segment, kind, p1, p2, log_likelihood, n_exact, n_censored, n_excluded, valid, message`` by censored likelihood.
 
-    Observations are counted per distinct value and written; they stay partitioned, whatever a segment's size. Each step of
-    the optimiser is one aggregate for all segments, of which the driver holds two parameters and a few sums each. Too few
-    observations, too few closed ones, too many open ones, and implausible parameters make a fit invalid.
+    Observations are read once, whatever the kinds: counted per distinct value and written; they stay partitioned, whatever
+    a segment's size. Each step of the optimisers is one aggregate for all kinds and segments, of which the driver holds two
+    parameters and a few sums each. Too few observations, too few closed ones, too many open ones, and implausible
+    parameters make a fit invalid.
     """
     spark = observations.sparkSession
-    good = finite("value") > 0
-    excluded = observations.groupBy("segment").agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("n_excluded"))
-    rows = written(observations.filter(good).groupBy("segment", "censored", finite("value").alias("value")).agg(F.count("*").cast("double").alias("w")), "severities")
+    value = F.when(finite("value") > 0, finite("value"))
+    counts = written(observations.groupBy("segment", "censored", value.alias("value")).agg(F.count("*").cast("double").alias("w")), "severities")
+    excluded = counts.groupBy("segment").agg(F.sum(F.when(F.col("value").isNull(), F.col("w")).otherwise(0.0)).cast("long").alias("n_excluded"))
+    rows = counts.filter("value is not null")
     schema = f"segment {rows.schema['segment'].dataType.simpleString()}"
     exact = F.when(~F.col("censored"), F.col("w")).otherwise(0.0)
     log = F.ln("value")
     sums = rows.groupBy("segment").agg(F.sum("w").alias("n"), F.sum(exact).alias("ne"), F.sum(exact * F.col("value")).alias("s0"), F.sum(exact * log).alias("s1"), F.sum(exact * log * log).alias("s2")).collect()
     sums = {r["segment"]: r for r in sums}
 
-    def closed(r, p: np.ndarray) -> float:
-        if kind != "lognormal":
-            return 0.0
-        return -r["s1"] - r["ne"] * (p[1] + 0.5 * np.log(2 * np.pi)) - (r["s2"] - 2 * p[0] * r["s1"] + r["ne"] * p[0] ** 2) / (2 * np.exp(p[1]) ** 2)
+    def likelihood(kind: str, s, k: int, p: np.ndarray, places: dict, found: dict) -> float:
+        r = sums[s]
+        if kind == "lognormal":
+            closed = -r["s1"] - r["ne"] * (p[1] + 0.5 * np.log(2 * np.pi)) - (r["s2"] - 2 * p[0] * r["s1"] + r["ne"] * p[0] ** 2) / (2 * np.exp(p[1]) ** 2)
+            return closed + found.get((kind, s, k, True), 0.0)
+        closed, open_ = (found.get((kind, s, places[float(p[0])], c), 0.0) for c in (False, True))
+        return r["ne"] * (p[1] - p[0]) - (np.exp(p[1]) + 1) * closed - np.exp(p[1]) * open_
 
     def losses(asked: dict) -> dict:
-        open_ = _summed(kind, rows, asked)
-        return {s: [-(closed(sums[s], p) + v) for p, v in zip(ps, open_[s], strict=True)] for s, ps in asked.items()}
+        found = _summed(rows, asked)
+        out = {}
+        for (kind, s), ps in asked.items():
+            places = {a: k for k, a in enumerate(_firsts(ps))}
+            out[kind, s] = [-likelihood(kind, s, k, p, places, found) for k, p in enumerate(ps)]
+        return out
 
     running, asked, best = {}, {}, {}
     for s, r in sums.items():
@@ -226,32 +244,36 @@ def fit_severity(observations: DataFrame, kind: str) -> DataFrame:
         if n < LEAST or ne < LEAST_EXACT or (n - ne) / n > MOST_CENSORED:
             continue
         mean = r["s1"] / ne
-        start = np.array([mean, 0.5 * np.log(max(1e-6, r["s2"] / ne - mean**2))]) if kind == "lognormal" else np.log([r["s0"] / ne, 2.0])
-        running[s] = descent(start, least_gain=1e-12)
-        asked[s] = next(running[s])
+        for kind in kinds:
+            start = np.array([mean, 0.5 * np.log(max(1e-6, r["s2"] / ne - mean**2))]) if kind == "lognormal" else np.log([r["s0"] / ne, 2.0])
+            running[kind, s] = descent(start, least_gain=1e-12)
+            asked[kind, s] = next(running[kind, s])
     while asked:
         values, left = losses(asked), {}
-        for s in asked:
+        for key in asked:
             try:
-                left[s] = running[s].send(values[s])
+                left[key] = running[key].send(values[key])
             except StopIteration as found:
-                best[s] = found.value
+                best[key] = found.value
         asked = left
-    loss = losses({s: [p] for s, p in best.items()}) if best else {}
+    loss = losses({key: [p] for key, p in best.items()}) if best else {}
     fits = []
     for s, r in sums.items():
         n, ne = int(r["n"]), int(r["ne"])
-        if s not in best:
-            fits.append((s, None, None, None, ne, n - ne, False, "too few observations, or too few of them closed"))
-            continue
-        p1, p2 = (best[s][0], np.exp(best[s][1])) if kind == "lognormal" else np.exp(best[s])
-        fine = bool((1e-6 <= p2 <= 3.5 if kind == "lognormal" else p2 > 1) and np.isfinite(loss[s][0]))
-        said = None if fine else "the fitted tail is not usable"
-        fits.append((s, float(p1), float(p2), float(-loss[s][0]), ne, n - ne, fine, said or ("few observations" if n < THIN else None)))
-    fits = spark.createDataFrame(fits, f"{schema}, p1 double, p2 double, log_likelihood double, n_exact long, n_censored long, valid boolean, message string")
+        for kind in kinds:
+            if (kind, s) not in best:
+                fits.append((s, kind, None, None, None, ne, n - ne, False, "too few observations, or too few of them closed"))
+                continue
+            p, likely = best[kind, s], -loss[kind, s][0]
+            p1, p2 = (p[0], np.exp(p[1])) if kind == "lognormal" else np.exp(p)
+            fine = bool((1e-6 <= p2 <= 3.5 if kind == "lognormal" else p2 > 1) and np.isfinite(likely))
+            said = None if fine else "the fitted tail is not usable"
+            fits.append((s, kind, float(p1), float(p2), float(likely), ne, n - ne, fine, said or ("few observations" if n < THIN else None)))
+    fits = spark.createDataFrame(fits, f"{schema}, _kind string, p1 double, p2 double, log_likelihood double, n_exact long, n_censored long, valid boolean, message string")
     fits = fits.withColumnRenamed("segment", "_segment")
-    out = excluded.join(fits, F.col("segment").eqNullSafe(F.col("_segment")), "left").select(
-        "segment", "n_excluded", F.lit(kind).alias("kind"), "p1", "p2", "log_likelihood", "n_exact", "n_censored", F.coalesce("valid", F.lit(False)).alias("valid"), "message"
+    each = excluded.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    out = each.join(fits, F.col("segment").eqNullSafe(F.col("_segment")) & (F.col("kind") == F.col("_kind")), "left").select(
+        "segment", "n_excluded", "kind", "p1", "p2", "log_likelihood", "n_exact", "n_censored", F.coalesce("valid", F.lit(False)).alias("valid"), "message"
     )
     return out.withColumn("message", F.when(F.col("n_exact").isNull(), F.lit("no usable observation")).otherwise(F.col("message")))
 

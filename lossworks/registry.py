@@ -862,7 +862,7 @@ def munich_chain_ladder(spark, sf_dir):
 def fit_severity(spark, sf_dir):
     """Fits of either kind, with the factors from a cap of 50,000 to 250,000."""
     seen = large_losses.severity_observations(claims_view(spark, sf_dir), 2001, AS_OF)
-    fits = severity.fit_severity(seen, "lognormal").unionByName(severity.fit_severity(seen, "pareto"))
+    fits = severity.fit_severities(seen, ("lognormal", "pareto"))
     factor = severity.uncap_factor(F.col("kind"), F.col("p1"), F.col("p2"), F.lit(50_000.0), F.lit(250_000.0))
     return fits.withColumn("uncap_factor", F.when(F.col("valid"), factor))
 

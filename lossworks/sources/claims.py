@@ -22,7 +22,8 @@ def claims_view(spark: SparkSession, sf_dir: str, as_of: str | None = AS_OF, rec
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.pow(F.lit(0.5), F.col("l_linenumber") - 1) * 100 + 0.5)
     rows = read("lineitem").filter("l_returnflag = 'R'") if recoveries else read("lineitem")
-    lines = rows.groupBy("l_orderkey", "l_linenumber").agg(F.sum(cents).alias("cents"))
+    # dealt by order once: the sums, the windows and the join all keep an order's lines where they are
+    lines = rows.select("l_orderkey", "l_linenumber", cents.alias("cents")).repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("cents").alias("cents"))
     claim = Window.partitionBy("l_orderkey")
     lines = lines.withColumns({
         "paid": F.sum("cents").over(claim.orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)),
@@ -31,8 +32,9 @@ def claims_view(spark: SparkSession, sf_dir: str, as_of: str | None = AS_OF, rec
     })
     orders = read("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("accident_date"))
     customers = read("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    owned = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     out = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             "segment",
             F.col("o_orderkey").cast("string").alias("claim_id"),

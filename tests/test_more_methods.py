@@ -50,6 +50,25 @@ def test_severity_fit_recovers_the_parameters(spark):
     assert (fit["p"]["p1"], fit["p"]["p2"]) == (pytest.approx(20000, rel=0.25), pytest.approx(2.5, rel=0.2))
 
 
+def test_severity_fits_of_both_kinds_read_the_claims_once(spark):
+    rows = [(s, float(np.exp(8 + 1.1 * (((k * 37) % 101) / 50.5 - 1)) * (1 + k / 300) ** 2) if k else -1.0, k % 6 == 0) for s in "ab" for k in range(300)]
+    df = spark.createDataFrame(rows, "segment string, value double, censored boolean")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    key = lambda r: (r["segment"], r["kind"])
+    both = {key(r): r for r in severity.fit_severities(df.mapInArrow(seen, df.schema), ("lognormal", "pareto")).collect()}
+    assert read.value == len(rows) and len(both) == 4
+    for kind in ("lognormal", "pareto"):
+        for r in severity.fit_severity(df, kind).collect():
+            assert both[key(r)]["log_likelihood"] == pytest.approx(r["log_likelihood"], rel=1e-9) and both[key(r)]["n_excluded"] == 1
+            assert (both[key(r)]["n_exact"], both[key(r)]["n_censored"], r["valid"]) == (250, 49, True)
+
+
 def test_severity_fit_has_no_most_values(spark):
     """Over two million distinct values in a segment, spread over the quantiles of each distribution."""
     n = 2_100_000
