@@ -166,6 +166,17 @@ def test_rounding_of_large_amounts_is_no_residual(spark):
     assert [(r["n"], r["pool"]) for r in fit] == [(55, 53)] * 8
 
 
+def test_counted_draws_scale_with_the_amounts(spark):
+    tris = [[[round(v * (1 + s / 7), 2) for v in row] for row in TAYLOR_ASHE] for s in range(8)]
+
+    def means(factor: float) -> dict:
+        rows = cells(spark, *([[v * factor for v in row] for row in tri] for tri in tris))
+        drawn = stochastic.bootstrap(rows, 100, 7, process_variance=False, counted=True)
+        return {(r["segment"], r["origin"]): r["m"] / factor for r in drawn.groupBy("segment", "origin").agg(F.avg("unpaid").alias("m")).collect()}
+
+    assert means(1e6) == pytest.approx(means(1.0), rel=1e-9)
+
+
 def test_cash_flows_add_up(spark):
     tri = cells(spark, [[100, 160, 200], [120, 192, None], [150, None, None]], first=23)
     picked = chainladder.selected(tri)
