@@ -34,8 +34,12 @@ AT = ("rank", "before", "behind")
 #: Columns of 64 bits each that sketch a document's prefix: every shingle that other documents have too sets one bit.
 SKETCH = tuple(f"bits{k}" for k in range(4))
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
-COUNTED = 4_000_000  # shingles that one task counts at a time
-REMEMBERED = 500_000
+COUNTED = 2_000_000  # shingles that one task counts at a time
+#: Words that one Python worker remembers at most, and names that one task does: about 200 bytes each. Workers live on
+#: through other stages, whose own memory comes on top.
+REMEMBERED = 150_000
+#: Texts whose shingles are held at a time, whatever the size of Arrow's batches.
+TEXTS = 1000
 #: Bits of a set's name. Names that different sets share are replaced, so fewer bits only cost more replacements.
 NAME_BITS = 64
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -92,6 +96,13 @@ def _needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most ``TEXTS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _scan(words: int, bits: int):
     """Rows of documents (doc_id, mark, n, node, second) and of shingles seen twice or more in a batch (shingle, times)."""
 
@@ -108,7 +119,7 @@ def _scan(words: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        for batch in batches:
+        for batch in few_texts(batches):
             n, node, second = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
@@ -140,7 +151,7 @@ def _prefixes(words: int, percent: int, frequent, bits: int, clashes: frozenset[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few_texts(batches):
             out: list[np.ndarray] = []
             nodes, sizes, lengths, ends = [], [], [], []
             for text in batch.column(1):
@@ -208,7 +219,7 @@ def _sets(words: int, bits: int, clashes: frozenset[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few_texts(batches):
             found = {class_of(x, bits, clashes): x for x in (shingles(t.as_py(), words) for t in batch.column(1))}
             found = {k: x for k, x in found.items() if k not in seen}
             if len(seen) < REMEMBERED:

@@ -28,8 +28,8 @@ OPEN_WINDOWS = 64
 END_ID = 1
 #: Partitions whose leftovers one task merges: at most this many times OPEN_WINDOWS windows.
 MERGED_PARTITIONS = 64
-#: Encoded words that one Python worker remembers at most.
-REMEMBERED = 800_000
+#: Encoded words that one Python worker remembers at most, about 200 bytes each.
+REMEMBERED = 300_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 SEQUENCE_BITS = 33

@@ -76,6 +76,23 @@ def test_ngram_join_with_names_that_clash(spark):
     assert sorted(map(repr, long)) == sorted(map(repr, short))
 
 
+def test_ngram_join_holds_few_texts_at_a_time(monkeypatch):
+    """Slices of Arrow's batches, with the same rows."""
+    import pyarrow as pa
+
+    texts = [f"a{i} b{i % 7} c{i % 5} d e{i % 3}" for i in range(50)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(52), pa.int64()), pa.array(texts), pa.array(range(52), pa.int64())], names=["doc_id", "text", "mark"])
+
+    def rows(texts_held: int) -> tuple[int, list, list]:
+        monkeypatch.setattr(ngram_join, "TEXTS", texts_held)
+        sets, scanned = ([*run(iter([batch]))] for run in (ngram_join._sets(3, 64, frozenset()), ngram_join._scan(3, 64)))
+        key = lambda r: str(r)
+        return max(b.num_rows for b in sets), *(sorted((r for b in found for r in b.to_pylist()), key=key) for found in (sets, scanned))
+
+    most, *few = rows(8)
+    assert most <= 8 and few == [*rows(1000)[1:]]
+
+
 def test_ngram_join_of_a_large_clump(spark):
     """2,000 near copies of one text, half of them too far from all others: components by matrices."""
     import numpy as np
