@@ -15,7 +15,6 @@ left out joins two documents that are linked already or can't link, so component
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,48 +34,116 @@ AT = ("rank", "before", "behind")
 SKETCH = tuple(f"bits{k}" for k in range(4))
 LONGEST = 4  # the most prefix shingles that a pair is asked to share
 COUNTED = 2_000_000  # shingles that one task counts at a time
-#: Words that one Python worker remembers at most, and names that one task does: about 200 bytes each. Workers live on
-#: through other stages, whose own memory comes on top.
+#: Names that one task remembers at most, about 200 bytes each.
 REMEMBERED = 150_000
 #: Texts whose shingles are held at a time, whatever the size of Arrow's batches.
 TEXTS = 1000
+#: Bytes of texts that are hashed together; a longer text is on its own.
+BYTES = 1 << 20
+#: A longer word is hashed on its own.
+LONG_WORD = 128
+#: Places, as a power of two, of the table that tells most rare shingles from frequent ones.
+PLACES = 23
 #: Bits of a set's name. Names that different sets share are replaced, so fewer bits only cost more replacements.
 NAME_BITS = 64
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        found = xxhash.xxh3_64_digest(word)
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
-
-
-@cache
-def word_hashes() -> WordHashes:
-    """One for each Python worker."""
-    return WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MULTIPLIERS[1]
-    x = (x ^ (x >> np.uint64(27))) * MULTIPLIERS[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; A-Z count as a-z. Fewer words make one shingle; none, none."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.int64)
-    h = np.frombuffer(b"".join(map(word_hashes().__getitem__, parts)), dtype=">u8").astype(np.uint64)
-    k = min(words, len(h))
-    n = len(h) - k + 1
-    out = np.full(n, k, dtype=np.uint64)
-    for i in range(k):
-        out = mixed(out * MULTIPLIERS[0] + h[i : i + n])
-    return np.unique(out.view(np.int64))
+    x = x ^ (x >> np.uint64(30))
+    x *= MULTIPLIERS[1]
+    x ^= x >> np.uint64(27)
+    x *= MULTIPLIERS[2]
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text (bytes, eight zeros at its end), all at once: eight bytes of each word in turn."""
+    eights = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    out = mixed(sizes.astype(np.uint64) * MULTIPLIERS[0])
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    taken = 0
+    while len(at):
+        left = np.minimum(sizes[at] - taken, 8)
+        out[at] = mixed(out[at] * MULTIPLIERS[0] + (eights[starts[at] + taken] & FIRST_BYTES[left]))
+        taken += 8
+        at = at[sizes[at] > taken]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + sizes[i]].tobytes())
+    return out
+
+
+def chained(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the shingles of so many words that start at the places ``at`` of the word hashes."""
+    out = np.full(len(at), words, dtype=np.uint64)
+    for i in range(words):
+        out *= MULTIPLIERS[0]
+        out += h[at + i]
+        out = mixed(out)
+    return out
+
+
+def shingles(texts: pa.StringArray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct hashes of the texts' shingles, text after text, and their numbers, for some texts at a time.
+
+    A-Z count as a-z. Fewer words make one shingle; none, none.
+    """
+    if not len(texts):
+        return
+    _, ends, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends, done = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64), 0
+    while done < len(texts):
+        upto = max(done + 1, int(np.searchsorted(ends, ends[done] + BYTES, side="right")) - 1)
+        own = ends[done : upto + 1] - ends[done]
+        valid = texts.slice(done, upto - done).is_valid().to_numpy(zero_copy_only=False)
+        text = np.zeros(own[-1] + 8, np.uint8)
+        if own[-1]:
+            text[: own[-1]] = LOWER[np.frombuffer(data, np.uint8, own[-1], ends[done])]
+        yield _shingles(text, own, valid, words)
+        done = upto
+
+
+def _shingles(text: np.ndarray, ends: np.ndarray, valid: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    solid = ~BLANK[text[:-8]]
+    cut = np.zeros(len(text) - 7, bool)  # a text starts here
+    cut[ends] = True
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | cut[1:-1]
+    last[:-1] &= ~solid[1:] | cut[1:-1]
+    starts = np.flatnonzero(first)
+    h = word_hashes(text, starts, np.flatnonzero(last) + 1 - starts)
+    of_text = np.searchsorted(starts, ends)
+    begin, n_words = of_text[:-1], np.where(valid, np.diff(of_text), 0)
+    sizes = np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1))
+    stops = np.cumsum(sizes)
+    at = np.arange(stops[-1]) + np.repeat(begin - (stops - sizes), sizes)
+    out = np.empty(len(at), np.uint64)
+    lengths = np.repeat(np.minimum(n_words, words), sizes)
+    for k in range(1, words + 1):
+        if k == words or (lengths == k).any():
+            here = lengths == k
+            out[here] = chained(h, at[here], k)
+    found = out.view(np.int64)
+    for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+        if b - a > 1:
+            found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[(stops - sizes)[sizes > 0]] = True
+    numbers = np.diff(np.r_[0, np.r_[0, np.cumsum(new)][stops]])
+    return found[new], numbers
+
+
+def shingle_sets(texts: pa.StringArray, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    for found, numbers in shingles(texts, words):
+        stops = np.cumsum(numbers).tolist()
+        yield from (found[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True))
 
 
 def names_of(found: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
@@ -121,14 +188,13 @@ def _scan(words: int, bits: int):
         held, size, seen = [], 0, set()
         for batch in few_texts(batches):
             n, node, second = [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), words)
+            for found in shingle_sets(batch.column(1), words):
                 names = names_of(found, bits)
                 n.append(len(found))
                 node.append(names[0])
                 second.append(names[1])
                 if names not in seen:
-                    held.append(found)
+                    held.append(found.copy())
                     size += len(found)
                     if len(seen) < REMEMBERED:
                         seen.add(names)
@@ -148,32 +214,56 @@ def _prefixes(words: int, percent: int, frequent, bits: int, clashes: frozenset[
     ``end`` is the place of a prefix's last shingle in the order, as a number.
     """
 
+    def level_of(found: np.ndarray, keys: np.ndarray, levels: np.ndarray, places: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(found), np.int64)
+        maybe = np.flatnonzero(places[place_of(found)])
+        if len(maybe):
+            own = found[maybe]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            level[maybe] = np.where(keys[at] == own, levels[at], 0)
+        return level
+
+    def place_of(found: np.ndarray) -> np.ndarray:
+        return found.view(np.uint64) >> np.uint64(64 - PLACES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
+        places = np.zeros(1 << PLACES, bool)
+        places[place_of(keys)] = True
         seen: set[int] = set()
         for batch in few_texts(batches):
             out: list[np.ndarray] = []
-            nodes, sizes, lengths, ends = [], [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), words)
-                node, n = class_of(found, bits, clashes), len(found)
-                if not n or node in seen:
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(node)
-                level = np.zeros(n, dtype=np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    level = np.where(keys[at] == found, levels[at], 0)
-                    order = np.argsort(level, kind="stable")
-                    found, level = found[order], level[order]
-                out.append(found[: n - _needed(n, percent) + LONGEST])
-                last = len(out[-1]) - 1
-                ends.append((int(level[last]) << 56) + (int(found[last]) >> 8) + (1 << 55))
-                nodes.append(node)
-                sizes.append(n)
-                lengths.append(len(out[-1]))
+            nodes, sizes, ends = [], [], []
+            for found, numbers in shingles(batch.column(1), words):
+                # the first shingles by hash, twice as many as are wanted, mostly hold enough rare ones
+                stops = np.cumsum(numbers)
+                wanted = numbers - _needed(numbers, percent) + LONGEST
+                looked = np.minimum(2 * wanted + 8, numbers)
+                tops = np.cumsum(looked)
+                some = found[np.arange(tops[-1]) + np.repeat(stops - numbers - (tops - looked), looked)]
+                rare = level_of(some, keys, levels, places) == 0
+                n_rare = np.diff(np.r_[0, np.r_[0, np.cumsum(rare)][tops]])
+                first_rare = np.cumsum(n_rare) - n_rare
+                some = some[rare]
+                for n, stop, most, held, at in zip(*(x.tolist() for x in (numbers, stops, wanted, n_rare, first_rare)), strict=True):
+                    own = found[stop - n : stop]
+                    node = class_of(own, bits, clashes)
+                    if not n or node in seen:
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(node)
+                    if held >= most:
+                        own, last = some[at : at + most], 0
+                    else:
+                        level = level_of(own, keys, levels, places)
+                        order = np.argsort(level, kind="stable")[:most]
+                        own, last = own[order], int(level[order[-1]])
+                    out.append(own)
+                    ends.append((last << 56) + (int(own[-1]) >> 8) + (1 << 55))
+                    nodes.append(node)
+                    sizes.append(n)
             if out:
+                lengths = [*map(len, out)]
                 rank = np.concatenate([np.arange(x) for x in lengths])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out)), pa.array(np.repeat(nodes, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(np.repeat(ends, lengths))],
@@ -220,7 +310,7 @@ def _sets(words: int, bits: int, clashes: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in few_texts(batches):
-            found = {class_of(x, bits, clashes): x for x in (shingles(t.as_py(), words) for t in batch.column(1))}
+            found = {class_of(x, bits, clashes): x for x in shingle_sets(batch.column(1), words)}
             found = {k: x for k, x in found.items() if k not in seen}
             if len(seen) < REMEMBERED:
                 seen.update(found)

@@ -93,6 +93,34 @@ def test_ngram_join_holds_few_texts_at_a_time(monkeypatch):
     assert most <= 8 and few == [*rows(1000)[1:]]
 
 
+def test_ngram_join_hashes_words_together(monkeypatch):
+    """A text of 20,000 distinct words takes few calls, not some for each word; sets are those of the plain shingles."""
+    import sys
+
+    import pyarrow as pa
+
+    calls = collections.Counter()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"word{i}" for i in range(20_000))]), pa.array([1])], names=["doc_id", "text", "mark"])
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        found = [*ngram_join._sets(3, 64, frozenset())(iter([batch]))]
+    finally:
+        sys.setprofile(None)
+    assert len(found[0]["set"][0]) == 19_998 and calls.total() < 2_000
+
+    rng = random.Random(3)
+    texts = [None, "", " \t", "a", "A b", "\x00 \x00\x00 a\x00", "É ß\x0b\x0c中文", "w" * 8 + " " + "w" * 16 + " " + "w" * 9, "x" * 128 + " " + "y" * 129 + " " + "x" * 700]
+    texts += ["".join(rng.choice("abAB \t\n") for _ in range(rng.randrange(40))) for _ in range(400)]
+    for k, most in ((1, 1 << 20), (3, 1 << 20), (3, 30), (5, 1)):
+        monkeypatch.setattr(ngram_join, "BYTES", most)
+        sets = [frozenset(s.tolist()) for s in ngram_join.shingle_sets(pa.array(["skipped", *texts]).slice(1), k)]
+        want = [frozenset(shingle_set(t, k)) for t in texts]
+        names = {}
+        for own, plain in zip(sets, want, strict=True):
+            assert len(own) == len(plain) and names.setdefault(plain, own) == own
+        assert len(set(sets)) == len(set(want)) and len(frozenset().union(*sets)) == len(frozenset().union(*want))
+
+
 def test_ngram_join_of_a_large_clump(spark):
     """2,000 near copies of one text, half of them too far from all others: components by matrices."""
     import numpy as np
